@@ -35,7 +35,7 @@ def nan_safe(x) -> Column:
 
 def top_bucket(path) -> Column:
     """First directory if it is a known one, else other."""
-    top = F.substring_index(F.ltrim(F.lit("/"), c(path)), "/", 1)
+    top = F.substring_index(F.ltrim(c(path), F.lit("/")), "/", 1)
     return F.when(top.isin(*TOPS), top).otherwise("other")
 
 
