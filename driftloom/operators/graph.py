@@ -118,7 +118,7 @@ def betweenness(sources: DataFrame, edges: DataFrame, nodes: DataFrame, depth: i
 def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 20, weight: str | None = None) -> DataFrame:
     """Every node takes the label most common (or heaviest) among its neighbours,
     the smallest on a tie, all at once; a node that would swap labels with the round
-    before last keeps the smaller. Labels are then numbered from 0 by their first node."""
+    before last keeps the smaller. A community is named by one of its nodes' ids."""
     w = F.coalesce(F.col(weight), F.lit(1.0)) if weight else F.lit(1.0)
     e = edges.filter("src <> dst").select("src", "dst", w.alias("_w"))
     e = checkpointed(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "_w")))
@@ -133,8 +133,7 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 20, weig
         cur = nxt
         if not changed:
             break
-    names = cur.select("label").distinct()
-    return cur.select("id", "label").join(names, "label", "left_semi").withColumnRenamed("label", "community")
+    return cur.select("id", F.col("label").alias("community"))
 
 
 def connected(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
