@@ -76,17 +76,19 @@ def sequences(docs: DataFrame, vocabulary: str) -> DataFrame:
     return out.withColumn("part", F.spark_partition_id())
 
 
-def slots(numbered: DataFrame, n: int, key: int = KEY) -> DataFrame:
-    """Replaces ``number`` by ``slot``."""
-    names = [c for c in numbered.columns if c != "number"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in numbered.schema if f.name != "number")
+def slots(rows: DataFrame, offsets: dict[int, int], n: int, key: int = KEY) -> DataFrame:
+    """Replaces ``part`` and ``place`` by ``slot``. ``offsets`` has a number for each
+    partition that encoded, and goes to the tasks with the function."""
+    names = [c for c in rows.columns if c not in ("part", "place")]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slot = feistel(batch.column("number").to_numpy(), n, key)
+            first = np.array([offsets[p] for p in batch.column("part").to_pylist()], np.int64)
+            slot = feistel(first + batch.column("place").to_numpy(), n, key)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(slot)], names=[*names, "slot"])
 
-    return numbered.mapInArrow(run, f"{schema}, slot long")
+    return rows.mapInArrow(run, f"{schema}, slot long")
 
 
 def materialise(docs: DataFrame, vocabulary: str, path: str | None = None, key: int = KEY) -> DataFrame:
@@ -97,14 +99,11 @@ def materialise(docs: DataFrame, vocabulary: str, path: str | None = None, key:
     encoded = f"{path}-encoded"
     sequences(docs, vocabulary).write.parquet(encoded)
     rows = spark.read.parquet(encoded)
-    # one row for each partition that encoded; Spark broadcasts it only while it is small
     counts = sorted((r["part"], r["n"]) for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect())
     offsets, n = {}, 0
     for part, size in counts:
         offsets[part], n = n, n + size
-    first = spark.createDataFrame(list(offsets.items()) or [(-1, 0)], "part int, first long")
-    numbered = rows.join(first, "part").withColumn("number", F.col("first") + F.col("place"))
-    placed = slots(numbered.select("doc_id", "seq", "n_tokens", "ids", "number"), n, key)
+    placed = slots(rows, offsets, n, key)
     placed = placed.withColumn("shard", (F.col("slot") / SHARD).cast("long"))
     placed.repartitionByRange("slot").sortWithinPartitions("slot").write.parquet(path)
     return read(spark, path)
