@@ -97,7 +97,7 @@ def materialise(docs: DataFrame, vocabulary: str, path: str | None = None, key:
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
     encoded = f"{path}-encoded"
-    sequences(docs, vocabulary).write.parquet(encoded)
+    sequences(docs, vocabulary).write.option("compression", "zstd").parquet(encoded)
     rows = spark.read.parquet(encoded)
     counts = sorted((r["part"], r["n"]) for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect())
     offsets, n = {}, 0
@@ -105,7 +105,7 @@ def materialise(docs: DataFrame, vocabulary: str, path: str | None = None, key:
         offsets[part], n = n, n + size
     placed = slots(rows, offsets, n, key)
     placed = placed.withColumn("shard", (F.col("slot") / SHARD).cast("long"))
-    placed.repartitionByRange("slot").sortWithinPartitions("slot").write.parquet(path)
+    placed.repartitionByRange("slot").sortWithinPartitions("slot").write.option("compression", "zstd").parquet(path)
     return read(spark, path)
 
 
