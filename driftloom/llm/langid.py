@@ -72,8 +72,12 @@ class Model:
 def fit(rows: DataFrame, text: str = "text", declared: str = "declared") -> Model:
     """Counts of the sample's trigrams by language, summed by Spark."""
     known = rows.filter(F.col(declared).isNotNull() & (F.length(text).between(1, SAMPLE_CHARS)))
-    sample = known.select(F.col(declared).alias("declared"), F.col(text).alias("text"))
-    sample = sample.orderBy(F.xxhash64("text", "declared"), "declared", "text").limit(SAMPLE_ROWS)
+    sample = known.select(F.col(declared).alias("declared"), F.col(text).alias("text")).withColumn("_h", F.xxhash64("text", "declared"))
+    # hashes below a bound that lets about ten times the sample through, however many
+    # partitions there are; of these the smallest are the sample
+    n = rows.filter(F.col(declared).isNotNull()).select(declared).count()
+    bound = -(2**63) + int(2**64 * min(1.0, 10 * SAMPLE_ROWS / max(n, 1))) - 1
+    sample = sample.filter(F.col("_h") <= F.lit(bound)).orderBy("_h", "declared", "text").limit(SAMPLE_ROWS).drop("_h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
