@@ -1,14 +1,15 @@
 """Language identification by Bayesian fusion of evidence.
 
 P(language | row) is proportional to P(text | language) ** t · P(declared | language) ·
-P(suffix | language) · P(language | host).
+P(language | host, suffix).
 
 * Text: log likelihoods of hashed character trigrams under a multinomial model, fitted
   on a bounded, seeded sample of rows with a declared language (``SAMPLE_ROWS``, texts of
   at most ``SAMPLE_CHARS``). The power t tempers them, as neighbouring trigrams aren't
   independent. A language ``und`` with even likelihoods stands for what is no language.
 * Declared: the language that the row declares (the markup's attribute, or a column).
-* Suffix: the last part of the host name, where a row has an address.
+* Suffix: the last part of the host name, where a row has an address; it is what the
+  prior of a host is smoothed towards.
 * Host: how often each language won by text alone on the host, smoothed towards the
   counts of the suffix, and these towards those of all rows. Grouped sums over all rows.
 
@@ -74,10 +75,10 @@ def fit(rows: DataFrame, text: str = "text", declared: str = "declared") -> Mode
     known = rows.filter(F.col(declared).isNotNull() & (F.length(text).between(1, SAMPLE_CHARS)))
     sample = known.select(F.col(declared).alias("declared"), F.col(text).alias("text")).withColumn("_h", F.xxhash64("text", "declared"))
     # hashes below a bound that lets about ten times the sample through, however many
-    # partitions there are; of these the smallest are the sample
+    # partitions there are; of these the smallest are the sample, each text once
     n = rows.filter(F.col(declared).isNotNull()).select(declared).count()
     bound = -(2**63) + int(2**64 * min(1.0, 10 * SAMPLE_ROWS / max(n, 1))) - 1
-    sample = sample.filter(F.col("_h") <= F.lit(bound)).orderBy("_h", "declared", "text").limit(SAMPLE_ROWS).drop("_h")
+    sample = sample.filter(F.col("_h") <= F.lit(bound)).dropDuplicates(["_h"]).orderBy("_h", "declared", "text").limit(SAMPLE_ROWS).drop("_h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
