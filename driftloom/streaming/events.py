@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,6 +104,33 @@ def ewma_stream(events: DataFrame, key: str, lam: float = 0.15) -> DataFrame:
     return events.select(key, "seq", "value").groupBy(key).applyInPandasWithState(step, f"{key} {kind}, seq long, ewma double", "mean double, n long", "append", GroupStateTimeout.NoTimeout)
 
 
+def threshold_stream(events: DataFrame, key: str, n: int = 90, delta: float = 1.0, limit: float = 50.0, freeze: int = 20) -> DataFrame:
+    """q90, q95 and q99 of the last ``n`` values, Page-Hinkley drift and the value held
+    for ``freeze`` rows after a drift, by key in order of ``seq``. The state of a key is
+    those n values and six numbers; the batch twins are W8, W10 and W11."""
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ring, seen, total, c, low, since, held = state.get if state.exists else ([], 0, 0.0, 0.0, 0.0, freeze + 1, None)
+        ring, out = list(ring), []
+        rows = pd.concat(list(frames)).sort_values("seq")
+        for seq, x in zip(rows["seq"], rows["value"].astype(float), strict=True):
+            ring = [*ring[-(n - 1) :], x]
+            seen, total = seen + 1, total + x
+            c += x - total / seen - delta
+            low = c if seen == 1 else min(low, c)
+            since = 0 if c - low > limit else since + 1
+            q = np.quantile(ring, [0.90, 0.95, 0.99]).tolist()
+            held = held if since <= freeze else q[0]
+            out.append((k[0], int(seq), *q, c - low > limit, held))
+        state.update((ring, seen, total, c, low, since, held))
+        yield pd.DataFrame(out, columns=[key, "seq", "alpha", "beta", "z", "drift", "frozen"])
+
+    kind = events.schema[key].dataType.simpleString()
+    kept = "ring array<double>, seen long, total double, c double, low double, since long, held double"
+    out = f"{key} {kind}, seq long, alpha double, beta double, z double, drift boolean, frozen double"
+    return events.select(key, "seq", "value").groupBy(key).applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.NoTimeout)
+
+
 def replay(history: DataFrame, since) -> DataFrame:
     """The history from a time on, for the same transformations."""
     return history.filter(F.col("ts") >= F.lit(since))
