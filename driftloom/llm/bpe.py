@@ -31,7 +31,8 @@ SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 #: str.split() also cuts at these four, which are no white space here.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
-CACHED_CHARS, CACHE_WORDS, CACHE_PAIRS = 40, 1_000_000, 1_000_000
+#: Words kept in each of two generations, and pairs; fewer take less memory, more CPU.
+CACHED_CHARS, CACHE_WORDS, CACHE_PAIRS = 40, 350_000, 1_000_000
 
 
 def byte_letters() -> list[str]:
@@ -50,7 +51,8 @@ class WordBpe:
     512 + k, so that a smaller number always means an earlier merge.
     """
 
-    def __init__(self, content: str):
+    def __init__(self, content: str, cache_words: int = CACHE_WORDS):
+        self.cache_words = cache_words
         spec = json.loads(content)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         suffix = spec["model"]["end_of_word_suffix"]
@@ -78,7 +80,9 @@ class WordBpe:
         self.space = regex.compile(f"[{SPACE}]+")
         self.automaton = ahocorasick.Automaton()
         self.apart: dict[int, bool] = {}
+        # two generations: a full one becomes the older, whose words come back when met
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         for token, spelled in enumerate(self.spelling):
             # a token that its own spelling doesn't merge into can't occur in an encoding
             if token < 512 or self._stay_apart_until(*self.parts[token], token):
@@ -138,17 +142,26 @@ class WordBpe:
             at -= len(self.spelling[last[at]])
         return out[::-1]
 
+    def _keep(self, piece: str, ids: bytes) -> None:
+        if len(piece) <= CACHED_CHARS:
+            if len(self.words) >= self.cache_words:
+                self.words, self.older = {}, self.words
+            self.words[piece] = ids
+
+    def _word(self, word: str) -> bytes:
+        known = self.words.get(word)
+        if known is None:
+            known = self.older.get(word) or self.ids[self.encode_word(word)].tobytes()
+            self._keep(word, known)
+        return known
+
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a piece without white space, as little-endian 32-bit numbers."""
-        out = []
-        for word in self.word.findall(chunk):
-            known = self.words.get(word)
-            if known is None:
-                known = self.ids[self.encode_word(word)].tobytes()
-                if len(word) <= CACHED_CHARS:
-                    self.words[word] = known
-            out.append(known)
-        return b"".join(out)
+        known = self.words.get(chunk) or self.older.get(chunk)
+        if known is None:
+            known = b"".join(map(self._word, self.word.findall(chunk)))
+        self._keep(chunk, known)
+        return known
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, as little-endian unsigned 32-bit numbers."""
@@ -166,20 +179,9 @@ class WordBpe:
         # letter by letter: str.lower() alone would make a final sigma of some
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         chunks = self.space.split(text) if any(c in text for c in ODD_SPACE) else text.split()
-        words = self.words
-        got = list(map(words.get, chunks))
+        got = list(map(self.words.get, chunks))
         if None in got:
-            for k, known in enumerate(got):
-                if known is None:
-                    chunk = chunks[k]
-                    known = words.get(chunk)
-                    if known is None:
-                        if len(words) >= CACHE_WORDS:
-                            words.clear()
-                        known = self._chunk(chunk)
-                        if len(chunk) <= CACHED_CHARS:
-                            words[chunk] = known
-                    got[k] = known
+            got = [self._chunk(chunk) if known is None else known for chunk, known in zip(chunks, got, strict=True)]
         return b"".join(got)
 
     def decode(self, ids: bytes) -> str:
@@ -187,22 +189,22 @@ class WordBpe:
         return " ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def loader(df: DataFrame, vocabulary: str):
+def loader(df: DataFrame, vocabulary: str, cache_words: int = CACHE_WORDS):
     """A function that makes the coder in a task. The vocabulary file (a few MB, fixed
     size) goes to the executors as a broadcast of its text."""
     with open(vocabulary, encoding="utf-8") as f:
         sent = df.sparkSession.sparkContext.broadcast(f.read())
-    return lambda: coder_of(sent.value)
+    return lambda: coder_of(sent.value, cache_words)
 
 
 _CODER: list[tuple[int, WordBpe]] = []
 
 
-def coder_of(content: str) -> WordBpe:
+def coder_of(content: str, cache_words: int = CACHE_WORDS) -> WordBpe:
     """One coder for each worker process, kept between its tasks."""
-    key = hash(content)
+    key = hash((content, cache_words))
     if not _CODER or _CODER[0][0] != key:
-        _CODER[:] = [(key, WordBpe(content))]
+        _CODER[:] = [(key, WordBpe(content, cache_words))]
     return _CODER[0][1]
 
 

@@ -54,7 +54,7 @@ def feistel(number: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
 def sequences(docs: DataFrame, vocabulary: str) -> DataFrame:
     """``doc_id, seq, part, place, n_tokens, ids``: ids as little-endian 16-bit numbers,
     STRIDE bytes each."""
-    load = loader(docs, vocabulary)
+    load = loader(docs, vocabulary, cache_words=500_000)  # this job has memory to spare, but little CPU
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, place = load(), 0

@@ -482,3 +482,15 @@ def test_pipeline_stage_by_stage(spark, docs):
         at = kept
     last = p.STAGES[-1][1](spark, at, SF)
     assert last.count() == at.count() and p.run(spark, SF).count() == at.count()
+
+
+def test_bpe_cache_turns_over():
+    """Three words a generation give the ids of a full cache."""
+    from driftloom.llm.bpe import WordBpe
+    from driftloom.llm.queries import vocabulary
+
+    content = open(vocabulary(), encoding="utf-8").read()
+    small, full = WordBpe(content, 3), WordBpe(content)
+    for text in ("a b c d e a b, c-d e's a b c", "one two, three four five one two", ""):
+        assert small.encode(text) == full.encode(text) == small.encode(text)
+    assert len(small.words) <= 3 and len(small.older) <= 3
