@@ -32,6 +32,19 @@ def route(batch: DataFrame, valid, good: str, bad: str) -> None:
     batch.unpersist()
 
 
+def route_stream(events: DataFrame, valid, path: str):
+    """T3 as a stream that ends: ``good`` by topic and ``bad`` below ``path``. Every batch
+    has a folder of its own that a repeated batch overwrites, so each row is kept once."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        marked = batch.withColumn("_ok", F.coalesce(F.expr(valid), F.lit(False))).persist()
+        marked.filter("_ok").drop("_ok").write.mode("overwrite").partitionBy("topic").json(f"{path}/good/batch={number}")
+        marked.filter("NOT _ok").drop("_ok").write.mode("overwrite").json(f"{path}/bad/batch={number}")
+        marked.unpersist()
+
+    return events.writeStream.foreachBatch(one).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+
+
 def unfinished(starts: DataFrame, ends: DataFrame, key: str, within: str, late: str = "10 minutes") -> DataFrame:
     """T4: starts with their end within the time, null once it has passed: an outer
     interval join, whose state is bounded by watermark and interval."""
