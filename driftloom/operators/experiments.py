@@ -14,10 +14,10 @@ def paired(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def sign_test(counts: DataFrame) -> DataFrame:
-    """One and two tails of the binomial test on wins and losses. Log factorials are
+    """One and two tails of the binomial test, a row for each wins and losses. Log factorials are
     sums of logarithms over the range up to n, so large n don't overflow."""
     n, k = F.col("wins") + F.col("losses"), F.greatest("wins", "losses")
-    x = counts.withColumn("_n", n).withColumn("_k", k)
+    x = counts.select("wins", "losses").distinct().withColumn("_n", n).withColumn("_k", k)
     i = x.select("*", F.explode(F.sequence(F.lit(0), F.col("_n"))).alias("_i"))
     w = W.partitionBy("wins", "losses").orderBy("_i").rowsBetween(W.unboundedPreceding, 0)
     lf = i.withColumn("_lf", F.sum(F.when(F.col("_i") > 0, F.ln("_i")).otherwise(0.0)).over(w))

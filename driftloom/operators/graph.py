@@ -63,6 +63,23 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tol: float
     return ranks.select("id", "rank")
 
 
+def sampled(nodes: DataFrame, k: int = 32) -> DataFrame:
+    """W2 over all nodes: every ``n // k``-th id in order, the first k: ``source, id``. A
+    global sort numbers the rows; the driver sees a count a partition."""
+    at = checkpointed(nodes.select("id").distinct().orderBy("id").select("id", F.monotonically_increasing_id().alias("_m")))
+    part, place = F.shiftright("_m", 33), F.col("_m").bitwiseAND((1 << 33) - 1)
+    sizes = at.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()
+    n, starts = 0, []
+    for r in sizes:
+        starts += [F.lit(r["p"]), F.lit(n)]
+        n += r["n"]
+    if not n:
+        return at.select(F.col("id").alias("source"), "id")
+    step = max(1, n // min(k, n))
+    row = place + F.element_at(F.create_map(*starts), part)
+    return checkpointed(at.filter((row % step == 0) & (row < step * k)).select(F.col("id").alias("source"), "id"))
+
+
 def bfs(sources: DataFrame, edges: DataFrame, depth: int = 50, directed: bool = True) -> DataFrame:
     """Steps from every source (``source, id``) at once: ``source, id, dist``."""
     e = edges.select("src", "dst").distinct()

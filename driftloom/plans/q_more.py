@@ -10,7 +10,7 @@ from driftloom.operators import fields as FD
 from driftloom.operators import graph as G
 from driftloom.operators import pixels as PX
 from driftloom.operators import series as S
-from driftloom.plans.roles import EDGES, NATION_EDGES, NODES, PIXELS, TOKENS, graph, nation_graph, pixels, t, tokens
+from driftloom.plans.roles import EDGES, NATION_EDGES, NODES, PIXELS, TOKENS, graph, nation_graph, pixels, t, tokens, trade
 
 
 def r6(df, *names):
@@ -44,6 +44,10 @@ def ranks(s, d):
     return r6(G.pagerank(n, e), "rank")
 
 
+def number():
+    return F.substring("id", 2, 20).cast("long")
+
+
 def nodes_of(s, d):
     return nation_graph(s, d)[0]
 
@@ -77,9 +81,9 @@ QUERIES = {
     "g01_pagerank": (ranks, PR),
     "g02_bfs": (lambda s, d: G.bfs(sources(s, d), nation_graph(s, d)[1]).select("source", "id", F.col("dist").cast("int").alias("dist")), f"with recursive {BFS} select source, id, min(dist) as dist from b group by 1,2"),
     "g03_harmonic": (lambda s, d: r6(G.harmonic_in(sources(s, d), nation_graph(s, d)[1], nodes_of(s, d)), "harmonic"), f"with recursive {BFS}, m as (select source, id, min(dist) dist from b group by 1,2) select n_nationkey as id, round(coalesce(h,0),6) as harmonic from nation left join (select id, sum(1.0/dist)/5 h from m where dist>0 group by 1) on id=n_nationkey"),
-    "g04_betweenness": (lambda s, d: r6(G.betweenness(sources(s, d), nation_graph(s, d)[1], nodes_of(s, d)), "betweenness"), None),
-    "g05_label_propagation": (lambda s, d: G.label_propagation(nodes_of(s, d), nation_graph(s, d)[1]), None),
-    "g06_grid_label_propagation": (lambda s, d: G.label_propagation(nodes_of(s, d), nation_graph(s, d)[1].withColumn("weight", 1 + F.col("weight") / 1000), rounds=10, weight="weight"), None),
+    "g04_betweenness": (lambda s, d: r6(G.betweenness(G.sampled(graph(s, d)[0]), trade(s, d)[1], graph(s, d)[0]), "betweenness"), None),
+    "g05_label_propagation": (lambda s, d: G.label_propagation(*graph(s, d)), None),
+    "g06_grid_label_propagation": (lambda s, d: G.label_propagation(graph(s, d)[0], graph(s, d)[1].withColumn("weight", 1 + F.col("weight") / 1000), rounds=10, weight="weight"), None),
     "g09_components": (lambda s, d: G.connected(nodes_of(s, d), nation_graph(s, d)[1].filter("(src + dst) % 4 = 0")), f"with recursive e as (select src, dst from {NATION_EDGES} where (src+dst)%4=0), u as (select src, dst from e union select dst, src from e), r as (select n_nationkey id, n_nationkey lab from nation union select u.dst, r.lab from r join u on u.src=r.id) select id, min(lab) as component from r group by 1"),
     "g10_clustering": (
         lambda s, d: r6(G.clustering(nodes_of(s, d), nation_graph(s, d)[1]), "clustering"),
@@ -90,8 +94,8 @@ QUERIES = {
         lambda s, d: G.window(nodes_of(s, d), nation_graph(s, d)[1].withColumn("kind", F.lit("link")), sources(s, d).select(F.col("source").alias("lens"), "id"), 1, ["module"], ["link"], 6).select("lens", "id", F.col("dist").cast("int").alias("dist")),
         f"with u as (select src, dst from {NATION_EDGES} union select dst, src from {NATION_EDGES}), b as (select n_nationkey lens, n_nationkey id, 0 dist from nation where n_nationkey%5=0 union all select distinct src, dst, 1 from u where src%5=0) select lens, id, dist from (select *, row_number() over (partition by lens order by dist, id) r from b) where r<=6",
     ),
-    "g14_cycles": (lambda s, d: G.cyclic(nation_graph(s, d)[1].filter("src < dst or (src + dst) % 3 = 0")), None),
-    "j25_bridges": (lambda s, d: G.bridges(nodes_of(s, d).select("id", (F.col("id") % 3).alias("community")), nation_graph(s, d)[1], nodes_of(s, d).select("id", (F.col("id") * 11 % 25 / 25).alias("betweenness")), nodes_of(s, d).select("id", F.lit(0.8).alias("beta")), 0.5), None),
+    "g14_cycles": (lambda s, d: G.cyclic(trade(s, d)[1]), None),
+    "j25_bridges": (lambda s, d: G.bridges(graph(s, d)[0].select("id", (number() % 3).alias("community")), graph(s, d)[1], graph(s, d)[0].select("id", (number() * 11 % 25 / 25).alias("betweenness")), graph(s, d)[0].select("id", F.lit(0.8).alias("beta")), 0.5), None),
     "g12_graph_from_facts": (
         lambda s, d: G.from_facts(t(s, d, "part").selectExpr("p_brand as module", "p_type as file", "p_name as func").distinct(), t(s, d, "part").selectExpr("p_type as file", "p_name as func", "p_brand as name"), t(s, d, "part").selectExpr("p_type as file", "p_brand as module"))[1].groupBy("kind").agg(F.count("*").alias("edges")),
         "select 'define' as kind, (select count(*) from (select distinct p_brand, p_type from part)) + (select count(*) from (select distinct p_brand, p_type, p_name from part)) as edges union all select 'call', count(*) from part union all select 'import', count(*) from part",

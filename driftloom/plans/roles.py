@@ -64,6 +64,14 @@ EDGES = "(select 's' || l_suppkey as src, 'p' || l_partkey as dst, sum(l_quantit
 NODES = "(select 's' || s_suppkey as id, 'module' as kind, s_name as label from supplier union all select 'p' || p_partkey, 'file', p_name from part)"
 
 
+def trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``graph`` and its returns: every edge from a supplier to a part, and one back for
+    what was returned, so that directed paths and cycles go on past one step."""
+    n, e = graph(spark, sf_dir)
+    back = t(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").selectExpr("concat('p', l_partkey) as src", "concat('s', l_suppkey) as dst", "l_quantity as w")
+    return n, e.unionByName(back.groupBy("src", "dst").agg(F.sum("w").alias("weight")))
+
+
 def nation_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A directed graph of nations: from the customer's nation to the supplier's, where
     many orders go; small at any scale, for the iterative operators' twins."""
