@@ -4,10 +4,14 @@ P(language | row) is proportional to P(text | language) ** t · P(declared | lan
 P(language | host, suffix).
 
 * Text: log likelihoods of hashed character trigrams under a multinomial model, fitted
-  on a bounded, seeded sample of rows with a declared language (``SAMPLE_ROWS``, texts of
-  at most ``SAMPLE_CHARS``). The power t tempers them, as neighbouring trigrams aren't
-  independent. A language ``und`` with even likelihoods stands for what is no language.
-* Declared: the language that the row declares (the markup's attribute, or a column).
+  on a bounded sample of each declared language (the ``SAMPLE_ROWS`` distinct texts of
+  smallest hash, the first ``SAMPLE_CHARS`` of each). Every language declared by
+  ``MIN_ROWS`` rows of the table is one. The power t tempers them, as neighbouring
+  trigrams aren't independent. A language ``und`` with even likelihoods stands for what
+  is no language.
+* Declared: the language that the row declares (the markup's attribute, or a column). A
+  label that too few rows declare is one more choice for its rows, with the likelihood
+  of the text and the prior that ``und`` has.
 * Suffix: the last part of the host name, where a row has an address; it is what the
   prior of a host is smoothed towards.
 * Host: how often each language won by text alone on the host, smoothed towards the
@@ -30,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from driftloom.llm.common import saved, stored, texts_of
 
@@ -37,6 +42,7 @@ SAMPLE_ROWS, SAMPLE_CHARS, MIN_ROWS, BINS, SMOOTH = 2000, 20_000, 5, 1 << 14, 0.
 #: A text of n trigrams counts as TEMPER * sqrt(n) of them.
 TEMPER, DECLARED_TRUST, HOST_PRIOR, SUFFIX_PRIOR, ALL_PRIOR = 4.0, 0.8, 8.0, 32.0, 1.0
 UND, UND_SHARE, MIN_POSTERIOR = "und", 0.01, 0.5
+SAMPLE_TASKS = 16
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -61,53 +67,61 @@ class Model:
     def __init__(self, languages: list[str], table: np.ndarray):
         self.languages, self.table = languages, table
 
-    def scores(self, text: str) -> list[float]:
+    def scores(self, text: str) -> list[float] | None:
+        """None for a text without letters."""
         bins = trigrams(text)
         if not len(bins):
-            return [0.0] * len(self.languages)
+            return None
         total = self.table @ np.bincount(bins, minlength=BINS) if len(bins) > 2000 else self.table[:, bins].sum(axis=1)
         power = min(1.0, TEMPER / math.sqrt(len(bins)))
         return np.round((total - total.max()) * power, 6).tolist()
 
 
 def fit(rows: DataFrame, text: str = "text", declared: str = "declared") -> Model:
-    """Counts of the sample's trigrams by language, summed by Spark."""
-    known = rows.filter(F.col(declared).isNotNull() & (F.length(text).between(1, SAMPLE_CHARS)))
-    sample = known.select(F.col(declared).alias("declared"), F.col(text).alias("text")).withColumn("_h", F.xxhash64("text", "declared"))
-    # hashes below a bound that lets about ten times the sample through, however many
-    # partitions there are; of these the smallest are the sample, each text once
-    n = rows.filter(F.col(declared).isNotNull()).select(declared).count()
-    bound = -(2**63) + int(2**64 * min(1.0, 10 * SAMPLE_ROWS / max(n, 1))) - 1
-    sample = sample.filter(F.col("_h") <= F.lit(bound)).dropDuplicates(["_h"]).orderBy("_h", "declared", "text").limit(SAMPLE_ROWS).drop("_h")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lang, value in zip(batch.column("declared").to_pylist(), texts_of(batch), strict=True):
-                bins, n = np.unique(trigrams(value), return_counts=True)
-                bins, n = np.append(bins, -1), np.append(n, 1)  # -1 counts the rows
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(bins)), pa.array(bins), pa.array(n)], names=["declared", "bin", "n"])
-
-    counted = sample.mapInArrow(run, "declared string, bin long, n long").groupBy("declared", "bin").agg(F.sum("n").alias("n"))
-    got = counted.collect()  # at most SAMPLE_ROWS / MIN_ROWS languages of BINS numbers
-    docs = {r["declared"]: r["n"] for r in got if r["bin"] == -1}
-    languages = sorted(x for x, n in docs.items() if n >= MIN_ROWS and x != UND)
+    """Counts of the samples' trigrams by language, summed by Spark."""
+    known = rows.filter(F.col(declared).isNotNull() & (F.col(declared) != UND))
+    known = known.select(F.col(declared).alias("declared"), F.when(F.length(text) > 0, F.xxhash64(text, declared)).alias("_h"), F.substring(text, 1, SAMPLE_CHARS).alias("text"))
+    sizes = known.groupBy("declared").agg(F.count("*").alias("n"), F.approx_count_distinct("_h").alias("d")).filter(F.col("n") >= MIN_ROWS)
+    sizes = {r["declared"]: r["d"] for r in sizes.collect()}  # a row a language
+    languages = sorted(sizes)
     counts = np.full((len(languages), BINS), SMOOTH)
-    for r in got:
-        if r["bin"] >= 0 and r["declared"] in languages:
-            counts[languages.index(r["declared"]), r["bin"]] += r["n"]
-    table = np.log(counts / counts.sum(axis=1, keepdims=True)) if languages else np.zeros((0, BINS))
+    if languages:
+        # hashes below a bound that lets about twice the sample of a language through; of
+        # these the smallest are the sample, each text once
+        bound = {x: -(2**63) + int(2**64 * min(1.0, 2 * SAMPLE_ROWS / max(d, 1))) - 1 for x, d in sizes.items()}
+        bounds = F.create_map(*[F.lit(v) for x in bound.items() for v in x])
+        sample = known.filter(F.col("declared").isin(languages) & (F.col("_h") <= bounds[F.col("declared")])).dropDuplicates(["declared", "_h"])
+        sample = sample.withColumn("_r", F.row_number().over(Window.partitionBy("declared").orderBy("_h"))).filter(F.col("_r") <= SAMPLE_ROWS)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own: dict[str, np.ndarray] = {}  # BINS numbers a language
+            for batch in batches:
+                for lang, value in zip(batch.column("declared").to_pylist(), texts_of(batch), strict=True):
+                    own.setdefault(lang, np.zeros(BINS, np.int64))
+                    own[lang] += np.bincount(trigrams(value), minlength=BINS)
+            for lang, n in own.items():
+                bins = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(bins), pa.string()), pa.array(bins, pa.int64()), pa.array(n[bins])], names=["declared", "bin", "n"])
+
+        counted = sample.select("declared", "text").repartition(SAMPLE_TASKS).mapInArrow(run, "declared string, bin long, n long").groupBy("declared", "bin").agg(F.sum("n").alias("n"))
+        got = counted.toArrow()  # at most BINS rows a language
+        place = {x: k for k, x in enumerate(languages)}
+        at = np.array([place[x] for x in got.column("declared").to_pylist()], np.int64)
+        counts[at, got.column("bin").to_numpy()] += got.column("n").to_numpy()
+    table = np.log(counts / counts.sum(axis=1, keepdims=True))
     return Model([*languages, UND], np.vstack([table, np.full((1, BINS), -math.log(BINS))]))
 
 
 def _with_text(rows: DataFrame, model: Model) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast((model.languages, model.table))  # fixed size
-    schema = T.StructType([*rows.schema.fields, T.StructField("_ll", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([*rows.schema.fields, T.StructField("_ll", T.ArrayType(T.DoubleType())), T.StructField("_letters", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*sent.value)
         for batch in batches:
-            ll = pa.array([own.scores(t) for t in texts_of(batch)], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ll], names=[*batch.schema.names, "_ll"])
+            scores = [own.scores(t) for t in texts_of(batch)]
+            ll, letters = pa.array([x or [0.0] * len(own.languages) for x in scores], pa.list_(pa.float64())), pa.array([x is not None for x in scores], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*batch.columns, ll, letters], names=[*batch.schema.names, "_ll", "_letters"])
 
     return rows.mapInArrow(run, schema)
 
@@ -152,17 +166,19 @@ def identify(rows: DataFrame, declared: str, host: str, suffix: str | None = Non
     won = won.select("_host", "_suffix", F.when(clear, (F.array_position("_ll", best) - 1).cast("int")).alias("_won"))
     priors = stored(host_priors(won, languages))
     names = F.array(*map(F.lit, languages))
-    wrong = (1 - DECLARED_TRUST) / max(1, len(languages) - 1)
     known = F.col("declared").isin(*languages)
-    said = F.transform(names, lambda x: F.when(~F.coalesce(known, F.lit(False)), F.lit(0.0)).when(x == F.col("declared"), math.log(DECLARED_TRUST)).otherwise(math.log(wrong or 1.0)))
-    out = _with_text(packed, model).join(priors, ["_host", "_suffix"], "left").withColumn("_said", said)
-    prior = F.transform("_prior", lambda p: F.log(p))
-    out = out.withColumn("_log", F.zip_with(F.zip_with("_ll", "_said", lambda a, b: a + b), prior, lambda a, b: a + b))
+    rare = F.coalesce(~known & (F.col("declared") != ""), F.lit(False))  # a label that is no class
+    with_own = lambda x, own: F.when(rare, F.concat(x, F.array(own))).otherwise(x)
+    wrong = (1 - DECLARED_TRUST) / F.greatest(F.lit(1), F.size("_names") - 1)
+    said = F.transform("_names", lambda x: F.when(~F.coalesce(known | rare, F.lit(False)), F.lit(0.0)).when(x == F.col("declared"), math.log(DECLARED_TRUST)).otherwise(F.log(wrong)))
+    out = _with_text(packed, model).join(priors, ["_host", "_suffix"], "left").withColumn("_names", with_own(names, F.col("declared"))).withColumn("_said", said)
+    prior = F.transform(with_own(F.col("_prior"), F.element_at("_prior", -1)), lambda p: F.log(p))
+    text_ll = with_own(F.col("_ll"), F.element_at("_ll", -1))
+    out = out.withColumn("_log", F.zip_with(F.zip_with(text_ll, "_said", lambda a, b: a + b), prior, lambda a, b: a + b))
     out = out.withColumn("_best", F.array_max("_log"))
     share = F.aggregate("_log", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("_best")))
-    letters = F.exists("_ll", lambda x: x != 0)
-    language = F.when(letters, F.element_at(names, F.array_position("_log", F.col("_best")).cast("int"))).otherwise(F.lit(UND))
-    by_text = F.when(letters, F.element_at(names, F.array_position("_ll", F.array_max("_ll")).cast("int"))).otherwise(F.lit(UND))
+    language = F.when(F.col("_letters"), F.element_at("_names", F.array_position("_log", F.col("_best")).cast("int"))).otherwise(F.lit(UND))
+    by_text = F.when(F.col("_letters"), F.element_at(names, F.array_position("_ll", F.array_max("_ll")).cast("int"))).otherwise(F.lit(UND))
     posterior = F.round(1 / share, 6)
     accepted = (F.col("language") != UND) & (F.col("posterior") >= MIN_POSTERIOR)
     out = out.select("_row", language.alias("language"), posterior.alias("posterior"), by_text.alias("text_language"))

@@ -66,6 +66,20 @@ def test_language_of_odd_rows(spark, odd):
     assert empty.count() == 0
 
 
+def test_rare_and_long_languages_are_classes(spark):
+    words = {"en": "the house and the river", "de": "das haus und der fluss", "fi": "talo ja joki ovat suuria"}
+    rng = random.Random(3)
+    said = lambda lang, n: " ".join(rng.choices(words[lang].split(), k=n))
+    rows = [(k, said("en", 40), "en", "a") for k in range(3000)] + [(3000 + k, said("fi", 40), "fi", "a") for k in range(6)]
+    rows += [(4000 + k, said("de", 5000), "de", "a") for k in range(6)]  # all over 20,000 characters
+    rows += [(5000, "xq zzv wwk " * 9, "tlh", "a"), (5001, said("fi", 60), None, "a"), (5002, said("de", 60), None, "a")]
+    got = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), "lang", "source").collect()}
+    assert all(got[k]["language"] == "fi" and got[k]["accepted"] for k in (*range(3000, 3006), 5001))
+    assert all(got[k]["language"] == "de" and got[k]["accepted"] for k in (*range(4000, 4006), 5002))
+    assert got[5000]["language"] == "tlh" and got[5000]["accepted"]
+    assert all(got[k]["language"] == "en" for k in range(3000))
+
+
 def test_host_priors_are_smoothed_counts(spark):
     won = spark.createDataFrame([("h", "com", 0)] * 3 + [("h", "com", 1)] + [("g", "com", None)], "_host string, _suffix string, _won int")
     rows = {r["_host"]: r["_prior"] for r in langid.host_priors(won, ["de", "en", "und"]).collect()}
