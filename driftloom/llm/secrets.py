@@ -18,6 +18,7 @@ import binascii
 import hashlib
 import re
 import zlib
+from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,10 +30,13 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so a shorter one can't hide a longer
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-# what can be unwrapped; base64 of 16 bytes or more
+# what can be unwrapped; base64 of 12 bytes or more, the length of the shortest secret
 URL = re.compile(r"[^\s\"'<>]*%[0-9A-Fa-f]{2}[^\s\"'<>]*")
 UNICODE = re.compile(r"(?:[^\s\"'<>\\]*\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}))+[^\s\"'<>\\]*")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,60}[0-9A-Z+/_-])[A-Za-z0-9+/_-]{22,}={0,2}(?![A-Za-z0-9+/_=-])")
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,60}[0-9A-Z+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
+LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
+HEADS = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x20\x5e\x7d\x9c\xbb\xda\xf9]")
 ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 
@@ -49,7 +53,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def _readable(raw: bytes) -> str | None:
-    """The text that bytes hold: inflated if compressed, else UTF-8 without controls."""
+    """The text that bytes hold: inflated if compressed, else UTF-8 of more than controls."""
     for head, bits in ((b"\x1f\x8b", 31), (b"\x78", 15)):
         if raw.startswith(head):
             try:
@@ -61,8 +65,51 @@ def _readable(raw: bytes) -> str | None:
         text = raw.decode("utf-8")
     except UnicodeDecodeError:
         return None
-    odd = sum(c < " " and c not in "\t\n\r" or c == "\x7f" for c in text)
-    return text if text and odd == 0 else None
+    return text if any(c >= " " and c != "\x7f" for c in text) else None
+
+
+def _inflated(raw: bytes) -> list[str]:
+    """Texts of the compressed data that starts anywhere in unescaped bytes."""
+    out = []
+    for m in HEADS.finditer(raw):
+        try:
+            text = _readable(zlib.decompressobj(47).decompress(raw[m.start() :]))
+        except zlib.error:
+            continue
+        if text is not None:
+            out.append(text)
+    return out
+
+
+def _unpacked(body: str) -> str | None:
+    body = body.rstrip("=")
+    if len(body) % 4 == 1:
+        return None
+    try:
+        raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        return None
+    return _readable(raw)
+
+
+def blocks(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, joined lines) of wrapped base64: lines of one width, with and without
+    the line before them, which may start after other words, and a shorter last one."""
+    out = []
+    for m in LINES.finditer(text):
+        lines = [(x.start(), x.end(), x[0]) for x in LINE.finditer(text, m.start(), m.end())]
+        i = 0
+        while i < len(lines):
+            j = i + 1
+            while j < len(lines) and len(lines[j][2]) == len(lines[i][2]):
+                j += 1
+            short = j < len(lines) and len(lines[j][2]) < len(lines[i][2])
+            for a in {max(0, i - 1), i}:
+                for b in {j, j + short}:
+                    if b - a > 1:
+                        out.append((lines[a][0], lines[b - 1][1], "".join(x[2] for x in lines[a:b])))
+            i = j
+    return out
 
 
 def layers(text: str) -> list[tuple[int, int, str]]:
@@ -72,21 +119,22 @@ def layers(text: str) -> list[tuple[int, int, str]]:
         for m in URL.finditer(text):
             raw = PERCENT.sub(lambda p: bytes.fromhex(p[0].replace("%", "")).decode("utf-8", "replace"), m[0])
             out.append((m.start(), m.end(), raw))
+            out += [(m.start(), m.end(), x) for x in _inflated(unquote_to_bytes(m[0]))]
     if "\\u" in text or "\\x" in text:
         for m in UNICODE.finditer(text):
             raw = ESCAPE.sub(lambda e: chr(int(e[1] or e[2], 16)), m[0])
             out.append((m.start(), m.end(), raw.encode("utf-16", "surrogatepass").decode("utf-16", "replace")))
+            if all(c < "\u0100" for c in raw):
+                out += [(m.start(), m.end(), x) for x in _inflated(raw.encode("latin-1"))]
     for m in BASE64.finditer(text):
-        body = m[0].rstrip("=")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        inner = _readable(raw)
+        inner = _unpacked(m[0])
         if inner is not None:
             out.append((m.start(), m.end(), inner))
+    if "\n" in text:
+        for start, end, body in blocks(text):
+            inner = _unpacked(body) if len(body) >= 16 else None
+            if inner is not None:
+                out.append((start, end, inner))
     return out
 
 

@@ -342,6 +342,27 @@ def test_nested_layers():
     secrets.all_spans("%25" * 50 + "41", [])  # ends
 
 
+def test_short_wrapped_and_odd_layers():
+    import base64
+    import textwrap
+    from urllib.parse import quote
+
+    filler = " ".join(f"{k * k:x}" for k in range(90))
+    b64 = lambda x: base64.b64encode(x).decode()
+    inner = f"{filler} password=hunter22 {filler}".encode()
+    found = [b64(b"token=abc123"), b64(b"password=abc123"), b64(b"a\x01 token=abc123 of some length")]
+    for packed in (b64(inner), b64(zlib.compress(inner))):
+        found += ["\n".join(textwrap.wrap(packed, 76)), "\r\n".join(textwrap.wrap(packed, 64))]
+    found += [quote(zlib.compress(inner)), "".join(f"%{c:02x}" for c in zlib.compress(b"secret: abcdefgh"))]
+    found.append("".join(f"\\x{c:02x}" for c in zlib.compress(b"secret: abcdefgh")))
+    for value in found:
+        for text in (f"see {value} here", f"word\n{value}\nend", value):
+            spans, layers = secrets.all_spans(text, secrets.base_spans(text))
+            at = text.index(value)
+            assert (at, at + len(value), "assign") in spans and layers, text
+    assert secrets.all_spans("plain words\nof several lines\nand nothing\nelse\n" * 9, [])[0] == []
+
+
 # ---------------------------------------------------------------- 7
 
 
