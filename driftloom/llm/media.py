@@ -8,7 +8,8 @@ decoded pixels.
 
 Results for special cases: null and empty texts give one row of 255s; equal texts have
 equal results; a null doc_id is passed on; further columns are ignored; texts of any
-length are stored whole (longer images get wider: a side may have 16,384 pixels).
+length are stored whole: a side may have 16,384 pixels, so longer images get wider, or
+are stored as several files one after the other if no width divides them.
 """
 
 from __future__ import annotations
@@ -31,17 +32,24 @@ def payload_of(text: str) -> tuple[bytes, int]:
     return raw + b"\xff" * (UNIT - len(raw) if len(raw) <= UNIT else -len(raw) % UNIT), len(raw)
 
 
-def image_of(payload: bytes) -> np.ndarray:
-    pixels = np.frombuffer(payload, "<u4").astype(np.int64)
-    rows = len(pixels) // COLUMNS
-    wide = -(-rows // SIDE)  # images side by side where there are too many rows
-    if rows % wide:
-        wide = next(w for w in range(wide, rows + 1) if rows % w == 0)
-    return pixels.reshape(rows // wide, COLUMNS * wide)
+def shape_of(payload: bytes) -> tuple[int, int]:
+    """Height and width of the whole image, which may be higher than a file's may be."""
+    rows = len(payload) // (4 * COLUMNS)
+    # images side by side where there are too many rows
+    wide = next((w for w in range(-(-rows // SIDE), SIDE // COLUMNS + 1) if rows % w == 0), 1)
+    return rows // wide, COLUMNS * wide
+
+
+def images_of(payload: bytes) -> list[np.ndarray]:
+    image = np.frombuffer(payload, "<u4").astype(np.int64).reshape(shape_of(payload))
+    return [image[k : k + SIDE] for k in range(0, len(image), SIDE)]
 
 
 def store(payload: bytes) -> bytes:
-    image = image_of(payload)
+    return b"".join(map(stored_image, images_of(payload)))
+
+
+def stored_image(image: np.ndarray) -> bytes:
     few = len(np.unique(image.reshape(-1)[:1024])) <= 256  # if not, the whole has more too
     if few and len(np.unique(image)) <= 256:
         return webp.encode(image, transforms=(webp.PALETTE,))
@@ -49,13 +57,18 @@ def store(payload: bytes) -> bytes:
 
 
 def load(stored: bytes) -> bytes:
-    return webp.decode(stored).astype("<u4").tobytes()
+    parts, at = [], 0
+    while at < len(stored):
+        end = at + 8 + int.from_bytes(stored[at + 4 : at + 8], "little")
+        parts.append(webp.decode(stored[at:end]).astype("<u4").tobytes())
+        at = end
+    return b"".join(parts)
 
 
 def feature_of(payload: bytes) -> str:
     """Width and height, mean and spread of the samples in thousandths, their entropy in
     thousandths of a bit, and a hash of which of 64 parts are lighter than the mean."""
-    image = image_of(payload)
+    height, width = shape_of(payload)
     x = np.frombuffer(payload, np.uint8)
     n = np.bincount(x, minlength=256)
     p = n[n > 0] / len(x)
@@ -63,7 +76,7 @@ def feature_of(payload: bytes) -> str:
     at = np.arange(64) * len(x) // 64
     light = np.add.reduceat(x, at, dtype=np.int64) > mean * np.diff(at, append=len(x))
     hashed = np.packbits(light).tobytes().hex()
-    return f"{image.shape[1]}x{image.shape[0]}:{round(mean * 1000)}:{round(spread * 1000)}:{round(float(-(p * np.log2(p)).sum()) * 1000)}:{hashed}"
+    return f"{width}x{height}:{round(mean * 1000)}:{round(spread * 1000)}:{round(float(-(p * np.log2(p)).sum()) * 1000)}:{hashed}"
 
 
 def media(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:

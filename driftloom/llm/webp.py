@@ -441,6 +441,7 @@ def few_bits(value: int, n: int) -> np.ndarray:
 GREEN_LENGTHS = (9,) * LITERALS + (5,) * 8 + (6,) * 16
 BYTE_LENGTHS = (8,) * 256
 DISTANCE_LENGTHS = (5,) * 24 + (6,) * 16
+FARTHEST = (1 << 20) - 120  # the largest distance that these 40 codes reach
 
 
 @cache
@@ -526,7 +527,7 @@ def repeats(argb: np.ndarray, least: int = 8) -> list[tuple[int, int, int]]:
         at = 0
         for k in np.flatnonzero(source < np.arange(n)):
             start, back = int(k) * least, int(k - source[k]) * least
-            if start < at or any(a < start + least and start < a + s for a, s, _ in out if a + s > start):
+            if back > FARTHEST or start < at or any(a < start + least and start < a + s for a, s, _ in out if a + s > start):
                 continue
             size = least
             while start + size < len(argb) and argb[start + size] == argb[start + size - back]:
@@ -602,6 +603,8 @@ def encode(argb: np.ndarray, transforms: tuple[int, ...] = (PREDICTOR, CROSS, GR
     one for each tile of 512 (a number) or 4 pixels (an array). ``PALETTE`` alone is
     used if the colours fit."""
     height, width = argb.shape
+    if not (1 <= height <= 1 << 14 and 1 <= width <= 1 << 14):
+        raise ValueError("a side must have 1 to 16,384 pixels")
     w, pixels, across = Writer(), argb.reshape(-1).astype(np.int64), width
     w.put(0x2F, 8)
     w.put(width - 1, 14)

@@ -306,6 +306,19 @@ def test_media_round_trip(spark, docs, odd):
         assert all(hashlib.sha256(r["media"]).hexdigest() == r["media_sha256"] and len(r["media"]) == r["media_bytes"] for r in rows)
 
 
+def test_media_of_a_prime_number_of_rows():
+    rows = 16_411
+    for text in ("abcd" * (144 * rows), "".join(f"{k:08x}" for k in range(72 * rows))):
+        payload, n = media.payload_of(text)
+        assert n == len(payload) == 576 * rows
+        stored = media.store(payload)
+        assert media.load(stored) == payload and stored.count(b"WEBPVP8L") == 2
+        assert media.feature_of(payload).startswith(f"144x{rows}:")
+    assert media.shape_of(bytes(576 * 16_384)) == (16_384, 144) and media.shape_of(bytes(576 * 16_386)) == (8_193, 288)
+    with pytest.raises(ValueError):
+        webp.encode(np.zeros((1, 16_385), np.int64))
+
+
 # ---------------------------------------------------------------- 6
 
 
