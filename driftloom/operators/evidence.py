@@ -93,18 +93,23 @@ def stage_summary(stages: DataFrame, metrics: DataFrame, run: str, stage: str) -
     return x.groupBy(run).agg(F.count("*").alias("steps"), F.count_if(F.col("_k").isNull()).alias("missing"), F.array_join(keys, ",").alias("keys"))
 
 
-def subtree(tree: DataFrame, key: str, parent: str, weight: str, rounds: int = 100) -> DataFrame:
-    """Weight of each node with all below it, and its number of children. Every round
-    sends the sums that reached a level one level up, so rows only get fewer."""
+def subtree(tree: DataFrame, key: str, parent: str, weight: str) -> DataFrame:
+    """Weight of each node with all below it, and its number of children. Round k
+    adds what is 2 ** k to 2 ** (k + 1) - 1 levels below and doubles the pointers, so the
+    rounds are the logarithm of the height. A cycle of parents is an error."""
     up = graph.checkpointed(tree.select(key, parent))
-    moving = graph.checkpointed(tree.groupBy(F.col(key).alias("_at")).agg(F.sum(weight).alias("_w")))
-    parts = moving
-    for _ in range(rounds):
-        moving = moving.join(up, F.col("_at") == F.col(key)).filter(F.col(parent).isNotNull())
-        moving = graph.checkpointed(moving.groupBy(F.col(parent).alias("_at")).agg(F.sum("_w").alias("_w")))
-        if not moving.limit(1).count():
+    cur = graph.checkpointed(tree.groupBy(F.col(key).alias("_at")).agg(F.min(parent).alias("_up"), F.sum(weight).alias("_w")))
+    for _ in range(cur.count().bit_length() + 1):
+        if not cur.filter("_up IS NOT NULL").limit(1).count():
             break
-        parts = parts.unionByName(moving)
+        moved = cur.filter("_up IS NOT NULL").groupBy(F.col("_up").alias("_at")).agg(F.sum("_w").alias("_w"))
+        sums = cur.select("_at", "_w").unionByName(moved).groupBy("_at").agg(F.sum("_w").alias("_w"))
+        above = cur.select(F.col("_at").alias("_up"), F.col("_up").alias("_next"))
+        ups = cur.select("_at", "_up").join(above, "_up", "left").select("_at", F.col("_next").alias("_up"))
+        cur = graph.checkpointed(ups.join(sums, "_at"))
+    else:
+        raise ValueError("parents form a cycle")
+    parts = cur
     total = parts.groupBy(F.col("_at").alias(key)).agg(F.sum("_w").alias("total"))
     below = up.filter(F.col(parent).isNotNull()).groupBy(F.col(parent).alias(key)).agg(F.count("*").alias("children"))
     return tree.select(key).join(total, key).join(below, key, "left").fillna(0, ["children"])

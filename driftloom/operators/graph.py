@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,13 +81,14 @@ def sampled(nodes: DataFrame, k: int = 32) -> DataFrame:
     return checkpointed(at.filter((row % step == 0) & (row < step * k)).select(F.col("id").alias("source"), "id"))
 
 
-def bfs(sources: DataFrame, edges: DataFrame, depth: int = 50, directed: bool = True) -> DataFrame:
-    """Steps from every source (``source, id``) at once: ``source, id, dist``."""
+def bfs(sources: DataFrame, edges: DataFrame, depth: int | None = None, directed: bool = True) -> DataFrame:
+    """Steps from every source (``source, id``) at once: ``source, id, dist``, up to
+    ``depth`` if given. A round a step."""
     e = edges.select("src", "dst").distinct()
     e = e if directed else e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     seen = checkpointed(sources.select("source", "id", F.lit(0).alias("dist")).distinct())
     front = seen
-    for k in range(1, depth + 1):
+    for k in count(1) if depth is None else range(1, depth + 1):
         nxt = front.select("source", F.col("id").alias("src")).join(e, "src").select("source", F.col("dst").alias("id")).distinct()
         front = checkpointed(nxt.join(seen, ["source", "id"], "left_anti").withColumn("dist", F.lit(k)))
         if not front.limit(1).count():
@@ -102,7 +104,7 @@ def harmonic_in(sources: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataF
     return nodes.select("id").join(d, "id", "left").fillna(0.0)
 
 
-def betweenness(sources: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int = 50) -> DataFrame:
+def betweenness(sources: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int | None = None) -> DataFrame:
     """Brandes by levels from the sampled sources: shortest-path counts forward,
     dependencies backward; divided by the samples and then by the largest value. State is
     a row for each source and node reached."""
@@ -153,12 +155,12 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 20, weig
     return cur.select("id", F.col("label").alias("community"))
 
 
-def connected(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
+def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest node id of each component, by neighbours' labels and label jumps."""
     e = edges.select("src", "dst")
     e = checkpointed(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     cur = checkpointed(nodes.select("id", F.col("id").alias("label")))
-    for _ in range(rounds):
+    while True:
         near = e.join(cur.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("label").alias("_n"))
         nxt = cur.join(near, "id", "left").select("id", "label", F.least("label", F.coalesce("_n", "label")).alias("_l"))
         jump = nxt.select(F.col("id").alias("_l"), F.col("_l").alias("_j"))
@@ -244,12 +246,12 @@ def from_facts(defs: DataFrame, calls: DataFrame, imports: DataFrame) -> tuple[D
     return n.groupBy("id").agg(F.min("kind").alias("kind")), e
 
 
-def cyclic(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def cyclic(edges: DataFrame) -> DataFrame:
     """Nodes on or between cycles: nodes without edges in or out are taken away until
     none is left to take."""
     cur = checkpointed(edges.select("src", "dst").distinct())
     size = cur.count()
-    for _ in range(rounds):
+    while True:
         ins, outs = cur.select(F.col("dst").alias("src")).distinct(), cur.select(F.col("src").alias("dst")).distinct()
         cur = checkpointed(cur.join(ins, "src", "left_semi").join(outs, "dst", "left_semi"))
         left = cur.count()
