@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of an Arrow batch that are worked on at a time.
+PART_ROWS = 1024
+
+
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -46,12 +50,14 @@ def stored(df: DataFrame) -> DataFrame:
 
 def over_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with a per-task set-up: ``make()`` runs once in each task and
-    returns the function applied to every batch."""
+    returns the function applied to every batch, in parts of ``PART_ROWS`` rows, so that
+    a task holds the results of few texts at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            yield work(batch)
+            for at in range(0, batch.num_rows, PART_ROWS):
+                yield work(batch.slice(at, PART_ROWS))
 
     return df.mapInArrow(run, schema)
 
