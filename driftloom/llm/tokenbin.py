@@ -1,18 +1,24 @@
 """Token ids as fixed-stride shards in training order.
 
-Documents are encoded and cut into sequences of ``LENGTH`` ids. Sequences are numbered
-densely: by the partition that encoded them and their place in it (both are fixed once
-the encoded table is written), with the partitions' counts added up. A keyed Feistel
-network permutes the numbers; where it leaves the range it is applied again (cycle
-walking), so every sequence gets its own slot below the number of sequences. Sequences
-are range-partitioned by slot and written sorted, every record with the same stride, so
-that a reader can start at any slot: shard = slot // SHARD, place = slot % SHARD.
+Documents are encoded and cut into sequences of ``LENGTH`` ids. A sequence's number is
+made of its document's doc_id and its place in the document. A keyed Feistel network
+permutes the numbers; where it leaves the range of numbers it is applied again (cycle
+walking). Numbers are sparse, so the sequences in the order of their permuted numbers
+have the dense slots 0, 1, 2 and so on. The order depends on the documents and the key
+only, not on how Spark split the input.
+
+The permuted range is cut into even ranges, one a shard. A shard is one file of records
+of ``STRIDE`` bytes in the order of slots: a head of doc_id, place in the document, number
+of real ids and flags, then the ids, then an end byte. :func:`index` counts the records of
+the shards from the files' sizes, which gives each shard's first slot; a reader finds any
+slot by its shard and ``offset = (slot - first_slot) * STRIDE`` and reads on from there.
 
 Results for special cases: null and empty texts have no sequence; the last sequence of a
-document is filled with ``PAD``, n_tokens says how many ids are real; repeated rows have
-sequences of their own; a null doc_id is passed on; further columns are ignored; an empty
-table gives no shards. Numbers, and so slots, are the same in each run as long as the
-input is split alike.
+document is filled with ``PAD``, n_tokens says how many ids are real; rows that share a
+doc_id (or have none) have sequences of their own, ordered by their ids, so that it
+doesn't matter which of two equal rows comes first; a null doc_id is passed on; further
+columns are ignored; an empty table gives no shards and an empty result. Vocabularies of
+more than 65,535 ids raise an error.
 """
 
 from __future__ import annotations
@@ -22,14 +28,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from driftloom.llm.bpe import loader
-from driftloom.llm.common import shared_dir, texts_of
+from driftloom.llm.common import PART_ROWS, shared_dir, stored, texts_of
 
 LENGTH, SHARD, KEY, PAD, ROUNDS = 512, 4096, 0x5EED, 0xFFFF, 6
-STRIDE = 2 * LENGTH
+#: Sequences that one document may have at most: more than a text of 2 GB can have.
+SEQUENCES = 1 << 24
+#: A record's bytes; the last one is the end byte that Spark's text writer adds.
+RECORD = np.dtype([("doc_id", ">i8"), ("seq", ">u4"), ("n_tokens", ">u2"), ("flags", ">u2"), ("ids", "<u2", (LENGTH,))])
+STRIDE = RECORD.itemsize + 1
+#: Where doc_ids span more than this, a hash of them takes their place in the numbers;
+#: which of two sequences of one number comes first is settled by doc_id and ids.
+WIDEST = 1 << 37
+#: Bytes of text that one sequence stands for, to choose the number of shards by; and
+#: tasks that write shards at most.
+TEXT_BYTES, WRITERS = 1600, 20_000
 
 
 def feistel(number: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
@@ -51,71 +68,116 @@ def feistel(number: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """``doc_id, seq, part, place, n_tokens, ids``: ids as little-endian 16-bit numbers,
-    STRIDE bytes each."""
-    load = loader(docs, vocabulary, cache_words=500_000)  # this job has memory to spare, but little CPU
+def records(ids: list[bytes], docs: list[int | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The records of encoded documents, and the document (its place in the list) of each."""
+    counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    pieces = -(-counts // LENGTH)
+    which = np.repeat(np.arange(len(ids)), pieces)
+    out = np.zeros(len(which), RECORD)
+    first = np.cumsum(pieces) - pieces
+    seq = np.arange(len(which)) - first[which]
+    out["seq"], out["n_tokens"] = seq, np.minimum(LENGTH, counts[which] - seq * LENGTH)
+    out["doc_id"] = np.array([d or 0 for d in docs], np.int64)[which]
+    out["flags"] = np.array([d is None for d in docs], np.uint16)[which]
+    flat = np.full(len(which) * LENGTH, PAD, "<u2")
+    flat[np.arange(counts.sum()) + np.repeat(first * LENGTH - np.cumsum(counts) + counts, counts)] = np.frombuffer(b"".join(ids), "<u4")
+    out["ids"] = flat.reshape(-1, LENGTH)
+    return out, which
+
+
+def sequences(docs: DataFrame, vocabulary: str, key: int = KEY) -> tuple[DataFrame, int]:
+    """``place, record`` (the permuted number and the bytes of a sequence), and the
+    number that all places are below."""
+    known = docs.agg(F.min("doc_id").cast("long").alias("low"), F.max("doc_id").cast("long").alias("high")).first()
+    low, high = known["low"] or 0, known["high"] or 0
+    span = min(high - low + 2, WIDEST)  # the first is that of null doc_ids
+    hashed, n = high - low + 2 > WIDEST, span * SEQUENCES
+    load = loader(docs, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, place = load(), 0
+        coder = load()
+        if len(coder.names) > PAD:
+            raise ValueError("the ids of this vocabulary don't fit 16 bits")
         for batch in batches:
-            docs_, seqs, ns, raws = [], [], [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
-                ids = np.frombuffer(coder.encode(text), "<u4").astype("<u2")
-                for k in range(0, len(ids), LENGTH):
-                    part = ids[k : k + LENGTH]
-                    docs_.append(doc)
-                    seqs.append(k // LENGTH)
-                    ns.append(len(part))
-                    raws.append(part.tobytes() + b"\xff" * (STRIDE - 2 * len(part)))
-            at = np.arange(place, place + len(docs_))
-            place += len(docs_)
-            yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(seqs, pa.int64()), pa.array(at, pa.int64()), pa.array(ns, pa.int64()), pa.array(raws, pa.binary())], names=["doc_id", "seq", "place", "n_tokens", "ids"])
-
-    out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, seq long, place long, n_tokens long, ids binary")
-    return out.withColumn("part", F.spark_partition_id())
-
-
-def slots(rows: DataFrame, offsets: dict[int, int], n: int, key: int = KEY) -> DataFrame:
-    """Replaces ``part`` and ``place`` by ``slot``. ``offsets`` has a number for each
-    partition that encoded, and goes to the tasks with the function."""
-    names = [c for c in rows.columns if c not in ("part", "place")]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in names)
+            for at in range(0, batch.num_rows, PART_ROWS):
+                part = batch.slice(at, PART_ROWS)
+                ids = part.column("doc_id").to_pylist()
+                rows, which = records(coder.encode_texts(texts_of(part)), ids)
+                if hashed:
+                    number = part.column("hash").to_numpy() % (span - 1) + 1
+                else:
+                    number = np.array([0 if d is None else d - low + 1 for d in ids], np.int64)
+                number = number[which] * SEQUENCES + rows["seq"].astype(np.int64)
+                size = RECORD.itemsize
+                record = pa.Array.from_buffers(pa.binary(size), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(feistel(number, n, key)), record], names=["place", "record"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id").alias("hash"))
+    return rows.mapInArrow(run, "place long, record binary"), n
+
+
+def write(docs: DataFrame, vocabulary: str, path: str, key: int = KEY) -> None:
+    """Writes one file of fixed-stride records for each shard that has any."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, round(size / (TEXT_BYTES * SHARD)))
+    rows, n = sequences(docs, vocabulary, key)
+    wide = -(-n // shards)
+    rows = rows.withColumn("shard", F.expr(f"cast(place div {wide} as int)"))
+    writers = min(shards, WRITERS)
+    rows = rows.repartitionById(writers, F.floor(F.col("shard") * F.lit(writers).cast("long") / shards).cast("int"))
+    rows = rows.sortWithinPartitions("shard", "place", "record").select("shard", F.col("record").cast("string").alias("record"))
+    rows.write.partitionBy("shard").option("lineSep", "\n").option("compression", "none").text(path)
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    files = spark.read.format("binaryFile").load(path)
+    # a folder without shards has no partition column
+    return files if "shard" in files.columns else files.withColumn("shard", F.lit(0))
+
+
+def index(spark: SparkSession, path: str) -> DataFrame:
+    """``shard, file, n, first_slot`` of the shards, a row each, from the files' sizes.
+    Running sums are taken within blocks of 1,024 shards and over the blocks."""
+    files = _files(spark, path)
+    found = files.select(F.col("shard").cast("int").alias("shard"), F.col("path").alias("file"), (F.col("length") / STRIDE).cast("long").alias("n"))
+    found = found.withColumn("block", F.floor(F.col("shard") / 1024))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = found.groupBy("block").agg(F.sum("n").alias("n")).withColumn("base", before(W.orderBy("block"))).drop("n")
+    found = found.withColumn("within", before(W.partitionBy("block").orderBy("shard")))
+    return found.join(blocks, "block").select("shard", "file", "n", (F.col("base") + F.col("within")).alias("first_slot"))
+
+
+def read(spark: SparkSession, path: str, first_slot: int = 0) -> DataFrame:
+    """``slot, shard, offset, doc_id, seq, n_tokens, ids`` of the sequences from a slot on,
+    read from the shards' files; their order is that of ``slot``."""
+    # stored, so that Spark knows its size and moves no contents where it is small
+    shards = stored(index(spark, path).filter(F.col("first_slot") + F.col("n") > first_slot).select(F.col("shard").alias("_shard"), "first_slot"))
+    files = _files(spark, path).select(F.col("shard").cast("int").alias("shard"), "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first = np.array([offsets[p] for p in batch.column("part").to_pylist()], np.int64)
-            slot = feistel(first + batch.column("place").to_numpy(), n, key)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(slot)], names=[*names, "slot"])
+            for shard, first, content in zip(batch.column("shard").to_pylist(), batch.column("first_slot").to_pylist(), batch.column("content"), strict=True):
+                whole = np.frombuffer(content.as_buffer(), np.dtype([("record", RECORD), ("end", "u1")]))
+                at = np.arange(max(0, first_slot - first), len(whole))
+                rows = whole["record"][at]
+                ids = pa.Array.from_buffers(pa.binary(2 * LENGTH), len(rows), [None, pa.py_buffer(rows["ids"].tobytes())]).cast(pa.binary())
+                docs = pa.array(rows["doc_id"].astype(np.int64), mask=rows["flags"] > 0)
+                columns = [first + at, np.full(len(at), shard, np.int32), at * STRIDE, docs, rows["seq"].astype(np.int64), rows["n_tokens"].astype(np.int64), ids]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["slot", "shard", "offset", "doc_id", "seq", "n_tokens", "ids"])
 
-    return rows.mapInArrow(run, f"{schema}, slot long")
+    rows = files.join(shards, F.col("shard") == F.col("_shard")).select("shard", "first_slot", "content")
+    return rows.mapInArrow(run, "slot long, shard int, offset long, doc_id long, seq long, n_tokens long, ids binary")
 
 
 def materialise(docs: DataFrame, vocabulary: str, path: str | None = None, key: int = KEY) -> DataFrame:
     """Writes the shards to ``path`` (a new folder in the shared one by default) and
-    returns them as read back: ``slot, shard, offset, doc_id, seq, n_tokens, ids``."""
+    returns them as read back by :func:`read`."""
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
-    encoded = f"{path}-encoded"
-    sequences(docs, vocabulary).write.option("compression", "zstd").parquet(encoded)
-    rows = spark.read.parquet(encoded)
-    counts = sorted((r["part"], r["n"]) for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect())
-    offsets, n = {}, 0
-    for part, size in counts:
-        offsets[part], n = n, n + size
-    placed = slots(rows, offsets, n, key)
-    placed = placed.withColumn("shard", (F.col("slot") / SHARD).cast("long"))
-    placed.repartitionByRange("slot").sortWithinPartitions("slot").write.option("compression", "zstd").parquet(path)
+    write(docs, vocabulary, path, key)
     return read(spark, path)
 
 
-def read(spark, path: str, first_slot: int = 0) -> DataFrame:
-    """The sequences from a slot on; their order is that of ``slot``."""
-    out = spark.read.parquet(path).filter(F.col("slot") >= first_slot)
-    offset = F.col("slot") % SHARD * STRIDE
-    return out.select("slot", "shard", offset.alias("offset"), "doc_id", "seq", "n_tokens", "ids")
-
-
 def manifest(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """The shards' index with a digest of each record's bytes."""
+    """The shards' records with a digest of each one's ids."""
     return materialise(docs, vocabulary).withColumn("ids_sha256", F.sha2("ids", 256)).drop("ids")

@@ -385,11 +385,20 @@ def test_feistel_permutes():
     assert tokenbin.feistel(np.arange(100), 100, 1).tolist() != tokenbin.feistel(np.arange(100), 100, 2).tolist()
 
 
-def test_shards_hold_every_sequence_once(spark, docs, odd, library, tmp_path):
+def test_shards_hold_every_sequence_once(spark, docs, odd, library, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokenbin, "SHARD", 64)  # several shards
     for k, df in enumerate((docs, odd)):
-        rows = tokenbin.materialise(df, vocabulary(), f"{tmp_path}/{k}").collect()
-        assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
-        assert all(len(r["ids"]) == tokenbin.STRIDE and r["shard"] == r["slot"] // tokenbin.SHARD and r["offset"] == r["slot"] % tokenbin.SHARD * tokenbin.STRIDE for r in rows)
+        path = f"{tmp_path}/{k}"
+        rows = sorted(tokenbin.materialise(df, vocabulary(), path).collect(), key=lambda r: r["slot"])
+        assert [r["slot"] for r in rows] == list(range(len(rows)))
+        files = {r["shard"]: r for r in tokenbin.index(spark, path).collect()}
+        assert sum(f["n"] for f in files.values()) == len(rows) and (k or len(files) > 3)
+        for r in rows:  # each record by its place in its shard's file
+            with open(files[r["shard"]]["file"].removeprefix("file:"), "rb") as f:
+                assert f.seek(r["offset"]) == (r["slot"] - files[r["shard"]]["first_slot"]) * tokenbin.STRIDE
+                record = np.frombuffer(f.read(tokenbin.STRIDE - 1), tokenbin.RECORD)[0]
+            assert (record["doc_id"], record["seq"], record["n_tokens"], record["flags"]) == (r["doc_id"] or 0, r["seq"], r["n_tokens"], r["doc_id"] is None)
+            assert record["ids"].tobytes() == r["ids"] and set(record["ids"][r["n_tokens"] :]) <= {tokenbin.PAD}
         got = {}
         for r in sorted(rows, key=lambda r: r["seq"]):
             got.setdefault(r["doc_id"], []).extend(np.frombuffer(r["ids"], "<u2")[: r["n_tokens"]].tolist())
@@ -397,11 +406,20 @@ def test_shards_hold_every_sequence_once(spark, docs, odd, library, tmp_path):
             ids = library.encode(text, add_special_tokens=False).ids
             if doc != 1 or k == 0:
                 assert got.get(doc, []) == ids
-        resumed = tokenbin.read(spark, f"{tmp_path}/{k}", 5)
-        assert resumed.count() == max(0, len(rows) - 5)
+        resumed = tokenbin.read(spark, path, 5).collect()
+        assert sorted(map(tuple, resumed)) == sorted(tuple(r) for r in rows[5:]) if k == 0 else len(resumed) == len(rows) - 5
     assert tokenbin.materialise(docs.filter("false"), vocabulary(), f"{tmp_path}/none").count() == 0
 
 
+def test_slots_do_not_depend_on_the_split(spark, docs, odd, tmp_path):
+    from pyspark.sql import functions as F
+
+    wide = docs.withColumn("doc_id", F.xxhash64("doc_id"))  # ids over all 64 bits
+    for k, df in enumerate((docs, odd, wide)):
+        runs = [tokenbin.materialise(df.repartition(n, *by), vocabulary(), f"{tmp_path}/{k}-{n}").collect() for n, by in ((2, ["text"]), (7, ["doc_id"]))]
+        assert len({tuple(sorted(str(tuple(r)) for r in rows)) for rows in runs}) == 1
+
+
 # ---------------------------------------------------------------- 8
 
 
