@@ -21,6 +21,17 @@ def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(df: DataFrame) -> Column:
+    """All columns as one struct ``_row``, so that names of further columns can't clash
+    with those that an operator makes."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+
+
+def unpacked(df: DataFrame, columns: list[str], new: dict[str, Column] | None = None) -> list[Column]:
+    """The columns that :func:`packed` took; those named in ``new`` are replaced."""
+    return [(new or {}).get(c, F.col("_row").getField(c)).alias(c) for c in columns]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` where the
     cluster names one. Only where it is unset (tests, one machine) a temporary folder."""

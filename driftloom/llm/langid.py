@@ -20,7 +20,7 @@ P(language | host, suffix).
 Results for special cases: a null or empty text, or one without letters, has only the
 other evidence and is ``und`` if it has no letters; null declared languages, hosts and
 suffixes give no evidence; ties go to the language first by name; repeated rows have
-equal results; further columns are kept. If no language is declared anywhere, every row
+equal results; further columns are kept; an empty table gives an empty result. If no language is declared anywhere, every row
 is ``und``.
 """
 
@@ -36,13 +36,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from driftloom.llm.common import saved, stored, texts_of
+from driftloom.llm.common import packed, saved, stored, texts_of, unpacked
 
 SAMPLE_ROWS, SAMPLE_CHARS, MIN_ROWS, BINS, SMOOTH = 2000, 20_000, 5, 1 << 14, 0.5
 #: A text of n trigrams counts as TEMPER * sqrt(n) of them.
 TEMPER, DECLARED_TRUST, HOST_PRIOR, SUFFIX_PRIOR, ALL_PRIOR = 4.0, 0.8, 8.0, 32.0, 1.0
 UND, UND_SHARE, MIN_POSTERIOR = "und", 0.01, 0.5
 SAMPLE_TASKS = 16
+RESULTS = ["language", "posterior", "text_language", "accepted"]
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -145,24 +146,32 @@ def host_priors(won: DataFrame, languages: list[str]) -> DataFrame:
 
 
 def identify(rows: DataFrame, declared: str, host: str, suffix: str | None = None, text: str = "text") -> DataFrame:
-    """``rows`` with ``language, posterior, text_language, accepted``.
+    """``rows`` with ``language, posterior, text_language, accepted``, which take the place
+    of columns of these names.
 
     A row is accepted if some language, not ``und``, has a posterior of MIN_POSTERIOR.
     """
+    out = identified(rows, declared, host, suffix, text)
+    plain = [c for c in rows.columns if c not in RESULTS]
+    return out.select(*unpacked(out, plain), *RESULTS)
+
+
+def identified(rows: DataFrame, declared: str, host: str, suffix: str | None = None, text: str = "text") -> DataFrame:
+    """``_row`` (all columns of a row) and the results of :func:`identify`."""
     none = F.lit(None).cast("string")
-    packed = rows.select(
-        F.struct(*rows.columns).alias("_row"),
+    parts = rows.select(
+        packed(rows),
         F.col(text).alias("text"),
         F.col(declared).alias("declared"),
         F.coalesce(F.col(host), F.lit("")).alias("_host"),
         F.coalesce(F.col(suffix) if suffix else none, F.lit("")).alias("_suffix"),
     )
-    model = fit(packed)
+    model = fit(parts)
     languages = model.languages
     best = F.array_max("_ll")
     # a text decides if one language stands out; without letters all scores are 0
     clear = F.size(F.filter("_ll", lambda x: x > best - 2.0)) == 1
-    won = _with_text(packed.select("text", "_host", "_suffix"), model)
+    won = _with_text(parts.select("text", "_host", "_suffix"), model)
     won = won.select("_host", "_suffix", F.when(clear, (F.array_position("_ll", best) - 1).cast("int")).alias("_won"))
     priors = stored(host_priors(won, languages))
     names = F.array(*map(F.lit, languages))
@@ -171,7 +180,7 @@ def identify(rows: DataFrame, declared: str, host: str, suffix: str | None = Non
     with_own = lambda x, own: F.when(rare, F.concat(x, F.array(own))).otherwise(x)
     wrong = (1 - DECLARED_TRUST) / F.greatest(F.lit(1), F.size("_names") - 1)
     said = F.transform("_names", lambda x: F.when(~F.coalesce(known | rare, F.lit(False)), F.lit(0.0)).when(x == F.col("declared"), math.log(DECLARED_TRUST)).otherwise(F.log(wrong)))
-    out = _with_text(packed, model).join(priors, ["_host", "_suffix"], "left").withColumn("_names", with_own(names, F.col("declared"))).withColumn("_said", said)
+    out = _with_text(parts, model).join(priors, ["_host", "_suffix"], "left").withColumn("_names", with_own(names, F.col("declared"))).withColumn("_said", said)
     prior = F.transform(with_own(F.col("_prior"), F.element_at("_prior", -1)), lambda p: F.log(p))
     text_ll = with_own(F.col("_ll"), F.element_at("_ll", -1))
     out = out.withColumn("_log", F.zip_with(F.zip_with(text_ll, "_said", lambda a, b: a + b), prior, lambda a, b: a + b))
@@ -182,13 +191,13 @@ def identify(rows: DataFrame, declared: str, host: str, suffix: str | None = Non
     posterior = F.round(1 / share, 6)
     accepted = (F.col("language") != UND) & (F.col("posterior") >= MIN_POSTERIOR)
     out = out.select("_row", language.alias("language"), posterior.alias("posterior"), by_text.alias("text_language"))
-    return out.select("_row.*", "language", "posterior", "text_language", accepted.alias("accepted"))
+    return out.select("*", accepted.alias("accepted"))
 
 
 def accepted_documents(docs: DataFrame) -> DataFrame:
     """``docs`` without the rejected rows; ``lang`` is the language found."""
-    found = identify(docs, "lang", "source").filter("accepted")
-    return found.select(*[F.col("language").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+    found = identified(docs, "lang", "source").filter("accepted")
+    return found.select(*unpacked(found, docs.columns, {"lang": F.col("language")}))
 
 
 def identify_pages(pages: DataFrame) -> DataFrame:

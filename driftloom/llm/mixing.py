@@ -1,9 +1,10 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Every source gets a target number of words. Which documents make it up is a subset-sum
-problem over the counts of documents by exact length, each there twice. An even share of each length is taken first, the largest lengths fill up until
-the rest is small, and a bounded-knapsack dynamic programme fits that rest exactly where
-it can be fitted. How many documents of each length are needed is then turned into
+problem over the counts of documents by exact length, each there twice. An even share of
+each length is taken first, the largest lengths fill up until the rest is small, and a
+bounded-knapsack dynamic programme fits that rest. Where it can't be fitted exactly, more
+of the budget is left to the programme, up to all of it. How many documents of each length are needed is then turned into
 seeded choices of documents. All counts are grouped sums over all documents.
 
 Results for special cases: a null text has size 0; a document of size 0 is taken with 0
@@ -14,16 +15,18 @@ table gives an empty result; further columns are kept by :func:`mix`.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from driftloom.llm.common import saved
+from driftloom.llm.common import packed, saved, unpacked
 
 WEIGHTS, SHARE, MOST, SEED = (3, 1, 2), 1.5, 2, 20_240_117
-#: Rest of the budget, in words, that is left to the dynamic programme.
+#: Rest of the budget, in words, that is left to the dynamic programme at first.
 FIT_WORDS = 1 << 15
 #: Parts that the documents of one source and length are dealt to, by a seeded hash.
 PARTS = 1024
@@ -74,7 +77,26 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 def fit(counts: dict[int, int], budget: int, fit_words: int = FIT_WORDS) -> dict[int, int]:
-    """How many documents of each length sum up to the budget, or the most below it."""
+    """How many documents of each length sum up to the budget, or the most below it.
+
+    A sum that is the budget can't be bettered. If the words left to the dynamic programme
+    don't allow it, it gets four times as many, and so on up to the whole budget, for
+    which its answer is exact.
+    """
+    unit = math.gcd(*counts) or 1  # every sum is a multiple of it
+    best = {n // unit: k for n, k in counts.items() if n > 0}
+    goal, words = budget // unit, max(1, fit_words)
+    while True:
+        taken = fit_within(best, goal, words)
+        reached = sum(n * k for n, k in taken.items())
+        if reached == goal or words >= goal or reached == sum(n * k for n, k in best.items()):
+            return {n * unit: k for n, k in taken.items()}
+        words *= 4
+
+
+def fit_within(counts: dict[int, int], budget: int, fit_words: int) -> dict[int, int]:
+    """The most words up to the budget that can be had if only the last ``fit_words`` and
+    the documents left for them are open."""
     lengths = sorted((n for n in counts if n > 0), reverse=True)
     total = sum(n * counts[n] for n in lengths)
     if budget >= total:
@@ -129,7 +151,8 @@ def quotas(lengths: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """``docs`` (with ``doc_id, source, size``) and ``source_size, target, copies``.
+    """``_row`` (as it came), ``source_size, target, copies`` from ``doc_id, source, size``
+    and any column ``_row``.
 
     The chosen documents of a source and length are those that come first by a seeded
     hash. Its leading digits deal them to parts; all parts before the last one needed
@@ -148,19 +171,20 @@ def mix(docs: DataFrame) -> DataFrame:
     joined = hashed.join(parts, ["_src", "size", "_part"])
     rank = F.row_number().over(W.partitionBy("_src", "size", "_part").orderBy("_h", "doc_id"))
     copies = F.col("passes") + F.when(rank <= F.col("_quota"), 1).otherwise(0)
-    out = joined.withColumn("copies", copies)
-    return out.select(*docs.columns, "source_size", "target", "copies")
+    return joined.select("_row", "source_size", "target", copies.alias("copies"))
 
 
 def taken(docs: DataFrame) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` for each document."""
-    rows = mix(sized(docs.select("doc_id", "text", "source")).select("doc_id", "source", "size"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    """``doc_id, size, source_size, target, taken, source`` for each document."""
+    rows = sized(docs.select("doc_id", "text", "source")).select("doc_id", "source", "size")
+    rows = mix(rows.select(packed(rows), "doc_id", "source", "size"))
+    size = F.col("_row.size")
+    return rows.select("_row.doc_id", size.alias("size"), "source_size", "target", (F.col("copies") * size).alias("taken"), "_row.source")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken."""
-    plain = docs.withColumnsRenamed({c: f"{c}_" for c in docs.columns if c in ("size", "source_size", "target", "copies")})
-    out = mix(sized(plain)).filter("copies > 0")
-    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.select(*[F.col(p).alias(c) for p, c in zip(plain.columns, docs.columns, strict=True)])
+    rows = sized(docs.select(packed(docs), "doc_id", "text", "source")).drop("text")
+    out = mix(rows).filter("copies > 0")
+    out = out.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return out.select(*unpacked(out, docs.columns))

@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import saved, stored
+from driftloom.llm.common import packed, saved, stored, unpacked
 
 KINDS = ("email", "ip", "card", "phone")
 #: The four formats, possessive where giving back can't help: the engine then repeats
@@ -187,7 +187,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; of overlapping spans
     the first (the longest from one start) is named. n_chars follows the text."""
     found = saved(spans_of(docs.select("text")).filter(F.size("base") + F.size("other") > 0).select("base", "other", "key"))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    rows = docs.select(packed(docs), "text")
     out = _with_spans(spans_of(rows), stored(discovered(found)))
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
     text = F.col("text")
@@ -208,4 +208,4 @@ def redact(docs: DataFrame) -> DataFrame:
     if "n_chars" in docs.columns:
         n = F.length("_clean").cast(docs.schema["n_chars"].dataType)
         new["n_chars"] = F.when(some, n).otherwise(F.col("_row.n_chars"))
-    return out.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
+    return out.select(*unpacked(out, docs.columns, new))

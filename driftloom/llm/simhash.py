@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import bucket_pairs, components, over_texts, runs_of, saved, texts_of, union_roots
+from driftloom.llm.common import bucket_pairs, components, over_texts, packed, runs_of, saved, texts_of, union_roots, unpacked
 
 RADIUS, SEED, SHINGLE_WORDS, SHARD_ROWS = 3, 42, 3, 4096
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -164,13 +164,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` that stay when one document of each component stays: that with
     the component's smallest doc_id. Of repeated rows with that doc_id one stays (the
-    smallest text). Where no doc_id of a component is known, all its rows stay."""
+    smallest text, null first). Where no doc_id of a component is known, all its rows stay."""
     found = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
     stay = docs.join(found, "doc_id", "left_anti")
     # a doc_id that occurs again has equal or other texts; only its smallest row stays
     again = stay.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id")
     once = stay.join(again, "doc_id", "left_anti")
     several = stay.join(again, "doc_id", "left_semi")
-    whole = F.struct(*[F.col(c) for c in ["text", *[c for c in docs.columns if c not in ("text", "doc_id")]]])
-    one = several.groupBy("doc_id").agg(F.min(whole).alias("row")).select("doc_id", "row.*").select(*docs.columns)
-    return once.unionByName(one)
+    # by the text, then by all columns as JSON, as maps have no order
+    one = several.select("doc_id", packed(docs), F.struct("text", F.to_json(packed(docs))).alias("_order"))
+    one = one.groupBy("doc_id").agg(F.min_by("_row", "_order").alias("_row"))
+    return once.unionByName(one.select(*unpacked(one, docs.columns)))

@@ -462,7 +462,11 @@ def test_fit_is_best_on_small_cases():
         budget = rng.randint(0, total)
         taken = mixing.fit(counts, budget)
         assert all(0 <= k <= counts[n] for n, k in taken.items())
-        assert sum(n * k for n, k in taken.items()) <= budget
+        best = {0}
+        for n, c in counts.items():
+            best = {x + n * k for x in best for k in range(c + 1) if x + n * k <= budget}
+        for words in (1, 7, 1 << 15):
+            assert sum(n * k for n, k in mixing.fit(counts, budget, words).items()) == max(best)
     exact = mixing.fit({n: 50 for n in range(1, 300)}, 1_234_567)
     assert sum(n * k for n, k in exact.items()) == 1_234_567
 
@@ -532,6 +536,33 @@ def test_templates_align(spark):
 # ---------------------------------------------------------------- pipeline
 
 
+NAMES = """accepted language posterior text_language copies passes target size source_size _h _src _part _quota _copy copy _row row fp root shard unit_i side spans base other key new
+_text _clean _found _ll declared first_id component_id fingerprint class n_links text_ a.b""".split()
+
+
+def test_clashing_names_in_every_stage(spark, docs):
+    import corpus_pipeline as p
+    from pyspark.sql import functions as F
+
+    plain = docs.limit(60)
+    more = plain.select("*", *[F.lit(f"x{k}").alias(n) for k, n in enumerate(NAMES)], F.create_map(F.lit("k"), F.lit(1)).alias("map"), F.array(F.lit(1)).alias("list"))
+    more = more.unionByName(more.limit(3))  # repeated rows, too
+    plain = plain.unionByName(plain.limit(3))
+    for name, stage in p.STAGES[:-1]:
+        got, want = stage(spark, more, SF), stage(spark, plain, SF)
+        assert got.columns == more.columns, name
+        assert sorted(map(tuple, got.select(*docs.columns).collect()), key=str) == sorted(map(tuple, want.collect()), key=str), name
+        assert {r["accepted"] for r in got.collect()} == {"x0"} and {r["map"]["k"] for r in got.collect()} == {1}
+    assert p.STAGES[-1][1](spark, more, SF).count() == 63
+
+
+def test_empty_tables(spark, docs):
+    none = docs.filter("false")
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
+    for made in (bpe.encode_documents(none, vocabulary()), pii.find(none), simhash.near_duplicates(none), media.media(none), secrets.scan(none), embed.near_duplicates(vectors), licenses.scan(none), pii.redact(none), simhash.representatives(none), mixing.mixed(none), langid.accepted_documents(none)):
+        assert made.count() == 0
+
+
 def test_pipeline_stage_by_stage(spark, docs):
     import corpus_pipeline as p
 
