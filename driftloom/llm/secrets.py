@@ -3,22 +3,26 @@
 A text is scanned; encoded segments (URL escapes, Unicode escapes, base64, compressed
 data) go to a worklist, are unwrapped and scanned in turn until no new layer appears.
 Layers seen before (same content at the same place) are not taken up again, which ends
-cycles. A secret in an inner layer is reported with the span of the segment of the
-original text that holds it.
+cycles. A secret in an inner layer is reported with its span in the original text: that
+of its own letters where all layers are escapes, else that of the innermost base64 or
+compressed segment that holds it.
 
 Results for special cases: null and empty texts have no spans; equal rows have equal
-results; a null doc_id is passed on; further columns are ignored; long texts are read
-whole and inflated layers too, as long as one fits in memory.
+results; a null doc_id is passed on; further columns are ignored; an empty table gives an
+empty result; long texts are read whole and inflated layers too, as long as one fits in
+memory. Every pass over a layer takes time in proportion to its length.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bz2
 import hashlib
+import lzma
 import re
 import zlib
-from urllib.parse import unquote_to_bytes
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,14 +35,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so a shorter one can't hide a longer
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 # what can be unwrapped; base64 of 12 bytes or more, the length of the shortest secret
-URL = re.compile(r"[^\s\"'<>]*%[0-9A-Fa-f]{2}[^\s\"'<>]*")
-UNICODE = re.compile(r"(?:[^\s\"'<>\\]*\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}))+[^\s\"'<>\\]*")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,60}[0-9A-Z+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
-LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+RUN = re.compile(r"[^\s\"'<>]+")
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+=*+")
+LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
-HEADS = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x20\x5e\x7d\x9c\xbb\xda\xf9]")
+HEADS = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x20\x5e\x7d\x9c\xbb\xda\xf9]|BZh[1-9]1AY&SY|\xfd7zXZ\x00")
 ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
-PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+PERCENT = re.compile(r"%([0-9A-Fa-f]{2})")
+#: Where the letters of a layer stand in the original: one span for all, or starts and ends.
+Place = tuple[int, int] | tuple[list[int], list[int]]
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -52,44 +57,64 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-def _readable(raw: bytes) -> str | None:
-    """The text that bytes hold: inflated if compressed, else UTF-8 of more than controls."""
-    for head, bits in ((b"\x1f\x8b", 31), (b"\x78", 15)):
-        if raw.startswith(head):
-            try:
-                raw = zlib.decompressobj(bits).decompress(raw)
-            except zlib.error:
-                continue
+def _expanded(raw: memoryview) -> tuple[bytes, int]:
+    """The data that compressed bytes begin with, all its members, and where they end."""
+    head, out, at = bytes(raw[:2]), [], 0
+    while at < len(raw) and bytes(raw[at : at + 2]) == head:
+        tool = {b"\x1f\x8b": lambda: zlib.decompressobj(31), b"BZ": bz2.BZ2Decompressor, b"\xfd7": lzma.LZMADecompressor}.get(head, lambda: zlib.decompressobj(15))()
+        try:
+            out.append(tool.decompress(raw[at:]))
+        except (zlib.error, OSError, lzma.LZMAError, EOFError):
             break
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if any(c >= " " and c != "\x7f" for c in text) else None
+        at = len(raw) - len(tool.unused_data)
+    return b"".join(out), at
 
 
-def _inflated(raw: bytes) -> list[str]:
-    """Texts of the compressed data that starts anywhere in unescaped bytes."""
-    out = []
+def _inflated(raw: bytes) -> list[bytes]:
+    """Compressed data that starts anywhere in bytes, or the bytes as raw deflated data."""
+    out, done, view = [], 0, memoryview(raw)
     for m in HEADS.finditer(raw):
+        if m.start() >= done:
+            data, size = _expanded(view[m.start() :])
+            if data:
+                out.append(data)
+                done = m.start() + size
+    if not out:
+        tool = zlib.decompressobj(-15)
         try:
-            text = _readable(zlib.decompressobj(47).decompress(raw[m.start() :]))
+            data = tool.decompress(raw)
         except zlib.error:
+            return []
+        if tool.eof and not tool.unused_data and data:
+            out.append(data)
+    return out
+
+
+def readings(raw: bytes) -> list[str]:
+    """Texts that bytes hold: themselves, and what is compressed in them, to any depth.
+    Bytes that aren't UTF-8 are read as Latin-1."""
+    out, work, seen = [], [raw], set()
+    while work:
+        data = work.pop()
+        digest = hashlib.blake2b(data, digest_size=12).digest()
+        if digest in seen:
             continue
-        if text is not None:
-            out.append(text)
+        seen.add(digest)
+        try:
+            out.append(data.decode("utf-8"))
+        except UnicodeDecodeError:
+            out.append(data.decode("utf-16" if data[:2] in (b"\xff\xfe", b"\xfe\xff") else "latin-1", "replace"))
+            work += _inflated(data)
     return out
 
 
-def _unpacked(body: str) -> str | None:
-    body = body.rstrip("=")
-    if len(body) % 4 == 1:
-        return None
+def _unpacked(body: str) -> list[str]:
+    body = body.rstrip("=").replace("-", "+").replace("_", "/")
+    body = body[: len(body) - (len(body) % 4 == 1)]
     try:
-        raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
+        return readings(base64.b64decode(body + "=" * (-len(body) % 4), validate=True))
     except (binascii.Error, ValueError):
-        return None
-    return _readable(raw)
+        return []
 
 
 def blocks(text: str) -> list[tuple[int, int, str]]:
@@ -112,46 +137,100 @@ def blocks(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def layers(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, content) of every encoded segment, each unwrapped once."""
-    out = []
-    if "%" in text:
-        for m in URL.finditer(text):
-            raw = PERCENT.sub(lambda p: bytes.fromhex(p[0].replace("%", "")).decode("utf-8", "replace"), m[0])
-            out.append((m.start(), m.end(), raw))
-            out += [(m.start(), m.end(), x) for x in _inflated(unquote_to_bytes(m[0]))]
-    if "\\u" in text or "\\x" in text:
-        for m in UNICODE.finditer(text):
-            raw = ESCAPE.sub(lambda e: chr(int(e[1] or e[2], 16)), m[0])
-            out.append((m.start(), m.end(), raw.encode("utf-16", "surrogatepass").decode("utf-16", "replace")))
-            if all(c < "\u0100" for c in raw):
-                out += [(m.start(), m.end(), x) for x in _inflated(raw.encode("latin-1"))]
+def _from_percent(run: str) -> tuple[str, list[int], list[int], bytes]:
+    """The run without URL escapes, where each letter starts and ends, and its bytes."""
+    raw, starts, ends, at = bytearray(), [], [], 0
+    for m in (*PERCENT.finditer(run), None):
+        upto = m.start() if m else len(run)
+        for k in range(at, upto):
+            part = run[k].encode("utf-8", "surrogatepass")
+            raw += part
+            starts += [k] * len(part)
+            ends += [k + 1] * len(part)
+        if m:
+            raw.append(int(m[1], 16))
+            starts.append(m.start())
+            ends.append(m.end())
+            at = m.end()
+    text = raw.decode("utf-8", "surrogateescape")
+    sizes = [1 if "\ud800" <= c <= "\udfff" else len(c.encode()) for c in text]
+    firsts = list(accumulate(sizes, initial=0))[:-1]
+    return text, [starts[k] for k in firsts], [ends[k + n - 1] for k, n in zip(firsts, sizes, strict=True)], bytes(raw)
+
+
+def _from_escapes(run: str) -> tuple[str, list[int], list[int]]:
+    out, starts, ends, at = [], [], [], 0
+    for m in (*ESCAPE.finditer(run), None):
+        upto = m.start() if m else len(run)
+        out += run[at:upto]
+        starts += range(at, upto)
+        ends += range(at + 1, upto + 1)
+        if m:
+            c = chr(int(m[1] or m[2], 16))
+            if out and "\ud800" <= out[-1] < "\udc00" <= c <= "\udfff":  # two halves of a letter
+                out[-1] = (out[-1] + c).encode("utf-16", "surrogatepass").decode("utf-16")
+                ends[-1] = m.end()
+            else:
+                out.append(c)
+                starts.append(m.start())
+                ends.append(m.end())
+            at = m.end()
+    return "".join(out), starts, ends
+
+
+def layers(text: str) -> list[tuple[Place, str]]:
+    """(place, content) of every encoded segment, each unwrapped once."""
+    out: list[tuple[Place, str]] = []
+    percent, escape = "%" in text, "\\u" in text or "\\x" in text
+    for m in RUN.finditer(text) if percent or escape else ():
+        run, at, end = m[0], m.start(), m.end()
+        if percent and PERCENT.search(run):
+            inner, starts, ends, raw = _from_percent(run)
+            out.append((([at + k for k in starts], [at + k for k in ends]), inner))
+            out += [((at, end), x) for data in _inflated(raw) for x in readings(data)]
+        if escape and ESCAPE.search(run):
+            inner, starts, ends = _from_escapes(run)
+            out.append((([at + k for k in starts], [at + k for k in ends]), inner))
+            if max(inner) < "\u0100":
+                out += [((at, end), x) for data in _inflated(inner.encode("latin-1")) for x in readings(data)]
     for m in BASE64.finditer(text):
-        inner = _unpacked(m[0])
-        if inner is not None:
-            out.append((m.start(), m.end(), inner))
+        out += [((m.start(), m.end()), x) for x in _unpacked(m[0])]
     if "\n" in text:
         for start, end, body in blocks(text):
-            inner = _unpacked(body) if len(body) >= 16 else None
-            if inner is not None:
-                out.append((start, end, inner))
+            if len(body) >= 16:
+                out += [((start, end), x) for x in _unpacked(body)]
     return out
 
 
+def _within(place: Place, start: int, end: int) -> tuple[int, int]:
+    """The span in the original of a span of a layer."""
+    first, last = place
+    return (first[start], last[end - 1]) if isinstance(first, list) else (first, last)
+
+
 def all_spans(text: str, base: list[tuple[int, int, str]]) -> tuple[list[tuple[int, int, str]], int]:
     """Base spans and those of inner layers, and the number of layers unwrapped."""
-    spans, work = set(base), layers(text)
+    spans, work = set(base), [x for x in layers(text) if x[1]]
     seen: set[tuple[int, int, bytes]] = set()
     done = 0
     while work:
-        start, end, inner = work.pop()
-        key = (start, end, hashlib.blake2b(inner.encode("utf-8", "replace"), digest_size=12).digest())
+        place, inner = work.pop()
+        key = (*_within(place, 0, len(inner)), hashlib.blake2b(inner.encode("utf-8", "surrogatepass"), digest_size=12).digest())
         if key in seen:
             continue
         seen.add(key)
         done += 1
-        spans.update((start, end, kind) for _, _, kind in base_spans(inner))
-        work += [(start, end, deeper) for _, _, deeper in layers(inner)]
+        spans.update((*_within(place, a, b), kind) for a, b, kind in base_spans(inner))
+        for (first, last), deeper in layers(inner):
+            if not deeper:
+                continue
+            if isinstance(first, list) and isinstance(place[0], list):
+                first, last = [place[0][k] for k in first], [place[1][k - 1] for k in last]
+            elif isinstance(first, list):
+                first, last = place
+            else:
+                first, last = _within(place, first, last)
+            work.append(((first, last), deeper))
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1])), done
 
 

@@ -376,6 +376,57 @@ def test_short_wrapped_and_odd_layers():
     assert secrets.all_spans("plain words\nof several lines\nand nothing\nelse\n" * 9, [])[0] == []
 
 
+def test_nested_compression_and_odd_bytes():
+    import base64
+    import bz2
+    import gzip
+    import lzma
+
+    b64 = lambda x: base64.b64encode(x).decode()
+    secret = b"secret=abcdefgh1 "
+    raw = zlib.compressobj(9, zlib.DEFLATED, -15)
+    deflated = raw.compress(secret * 3) + raw.flush()
+    for data in (
+        gzip.compress(gzip.compress(secret)), gzip.compress(b"nothing ") + gzip.compress(secret), gzip.compress(bz2.compress(lzma.compress(secret))),
+        deflated, b"\x00\x01" + secret, "caf\u00e9 ".encode("latin-1") + secret, secret.decode().encode("utf-16"), b"ab" + zlib.compress(secret),
+    ):
+        text = f"see {b64(data)} here"
+        spans, _ = secrets.all_spans(text, [])
+        assert (4, 4 + len(b64(data)), "assign") in spans, data
+    assert secrets.readings(b"x" * 9) == ["x" * 9]
+
+
+def test_spans_of_escapes_are_exact():
+    from urllib.parse import quote
+
+    rng = random.Random(8)
+    for _ in range(300):
+        left, right = ("".join(rng.choice("ab\u00e9\U0001f600&") for _ in range(rng.randint(0, 5))) for _ in range(2))
+        inner = f"{left}&token=abcdef{rng.randint(0, 99)}&{right}"
+        units = lambda x: "".join(f"\\u{int.from_bytes(u, 'little'):04x}" for u in (x.encode("utf-16-le")[k : k + 2] for k in range(0, 2 * len(x.encode("utf-16-le")) // 2, 2)))
+        at, end = base_secrets_at(inner)
+        for code in (lambda x: quote(x, safe=""), units, lambda x: quote(quote(x, safe=""), safe=""), lambda x: quote(units(x), safe="")):
+            text = f"go {code(inner)} on"
+            want = (3 + len(code(inner[:at])), 3 + len(code(inner[:end])), "assign")
+            assert want in secrets.all_spans(text, [])[0], (text, want)
+
+
+def base_secrets_at(text):
+    kind, at, end = base_secrets(text).split(",")[0].split(":")
+    return int(at), int(end)
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    began = time.time()
+    for run in ("\u65e5\u672c" * 500_000, "A" * 1_000_001, "a/" * 500_000, "%" * 1_000_000, "\\u" * 500_000, "AAAA\n" * 200_000, "a=" * 500_000, "x^" * 300_000):
+        for head in ("100% ", "\\u ", ""):
+            text = head + run
+            secrets.all_spans(text, secrets.base_spans(text))
+    assert time.time() - began < 120
+
+
 # ---------------------------------------------------------------- 7
 
 
