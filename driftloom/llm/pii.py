@@ -1,19 +1,25 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 1. Base spans of four kinds are found by their formats; these entities are the seeds.
-2. Each identifier (seed, or a digit group of another format) has a lexical pattern: the
-   word to its left with digits masked. Patterns and instances form a graph, stored as
-   counted, distinct pairs.
-3. Patterns and instances are scored in turns by grouped sums. A pattern scores for a
-   kind by the share of its instances that are believed to be of that kind; an instance
-   of no known format is believed as far as the patterns that hold it.
-4. Patterns of high confidence give their kind to the instances of unknown format, which
-   are added to the spans.
+2. Each identifier (seed, or one of another shape: digit groups, spelt-out addresses,
+   groups between colons) has lexical patterns: the word to its left, the two words to its
+   left, and the word to its right, in lower case with digits masked. Patterns and
+   instances form a graph, stored as distinct pairs.
+3. Patterns and instances are scored in turns by grouped sums until nothing rises any
+   more. A pattern's confidence for a kind is the share of its instances that are believed
+   to be of that kind; an instance of no known format is believed as far as the patterns
+   that hold it. What one pattern finds is thus the evidence that induces further ones.
+4. Patterns of high confidence give their kind to the instances of unknown format beside
+   them, which are added to the spans; of several kinds the one of most confidence counts,
+   and at a tie the first as listed.
+
+A context has the 40 characters nearest to the identifier and ends at the last or next
+match of the same shape; a longer word counts by what of it is in there.
 
 Results for special cases: null and empty texts have no spans; repeated rows each have
 their row; in a null ``doc_id`` nothing changes, as rows aren't looked up by doc_id; long
 texts are read whole; further columns are ignored by :func:`find` and kept by
-:func:`redact`.
+:func:`redact`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,11 +44,18 @@ FORMATS = {
 }
 #: What a text must hold for a format to be possible.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]", "card": "[0-9](?:[ -]?[0-9]){15}", "phone": r"\+"}
-#: Identifiers of unknown format: digit groups of 7 digits or more.
-OTHER = r"(?<![0-9A-Za-z+.@-])[0-9](?:[ .()/-]{0,2}[0-9]){6,}+(?![A-Za-z@])"
-#: A pattern counts with this many different seeds of its kind, at this confidence.
-MIN_SEEDS, MIN_CONFIDENCE, ROUNDS = 5, 0.9, 3
-CONTEXT_CHARS = 40
+#: Identifiers of unknown format, by shape: digit groups of 7 digits or more, addresses
+#: with their signs spelt out, and groups between colons; and what a text must hold.
+OTHERS = {
+    "digits": (r"(?<![0-9A-Za-z+.@-])[0-9](?:[ .()/-]{0,2}[0-9]){6,}+(?![A-Za-z@])", "[0-9](?:[ .()/-]{0,2}[0-9]){6}"),
+    "spelt": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: ?[\[(]at[\])] ?| at )[A-Za-z0-9-]++(?:(?: ?[\[(]dot[\])] ?| dot |\.)[A-Za-z0-9-]++)++", r"[\[(]at[\])]| at [A-Za-z0-9-]+(?: ?[\[(]dot| dot |\.)"),
+    "colons": (r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{0,4}+:){2,7}+[0-9A-Fa-f]{0,4}+(?![0-9A-Za-z:])", "[0-9A-Fa-f]:[0-9A-Fa-f]*:"),
+}
+#: A pattern counts with so many believed instances of a kind, by where it stands, and
+#: gives its kind away at this confidence; it is evidence from EVIDENCE on. Scores count
+#: as settled once all beliefs together rise by less than SETTLED.
+MIN_SEEDS, MIN_CONFIDENCE, EVIDENCE, SETTLED = {"left": 5, "two": 5, "right": 20}, 0.9, 0.5, 0.01
+CONTEXT_CHARS, SALTS = 40, 16
 
 
 def _digits(x: Column) -> Column:
@@ -77,34 +90,46 @@ def _is(kind: str) -> Callable[[Column], Column]:
     return lambda s: s["kind"] == kind
 
 
-NO_SPANS = "array<struct<kind:string,start:int,end:int,value:string,before:string>>"
+NO_SPANS = "array<struct<kind:string,start:int,end:int,value:string,before:string,after:string>>"
 
 
 def _with_matches(df: DataFrame, name: str, kind: str, pattern: str, hint: Column) -> DataFrame:
     """Adds ``name``: the matches in order as structs of kind, start, end (code points),
-    value and the text just before. The pieces between the matches give the places, as
+    value and the text just before and after. The pieces between the matches give the places, as
     their lengths add up. Found and pieces are columns of their own, else Catalyst would
     repeat the search wherever they are used."""
     found = F.when(hint, F.regexp_extract_all("_text", F.lit(pattern), F.lit(0)))
     df = df.withColumn("_found", found)
     df = df.withColumn("_pieces", F.when(F.size("_found") > 0, F.split("_text", pattern, -1)))
-    pairs = F.zip_with(F.slice("_pieces", F.lit(1), F.size("_found")), "_found", lambda p, m: F.struct(p.alias("p"), m.alias("m")))
+    n = F.size("_found")
+    near = F.zip_with(F.slice("_pieces", F.lit(1), n), F.slice("_pieces", F.lit(2), n), lambda p, q: F.struct(p.alias("p"), F.left(q, F.lit(CONTEXT_CHARS)).alias("q")))
+    pairs = F.zip_with(near, "_found", lambda x, m: F.struct(x["p"].alias("p"), x["q"].alias("q"), m.alias("m")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(NO_SPANS).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         at = acc["at"] + F.length(x["p"])
         end = at + F.length(x["m"])
-        one = F.struct(F.lit(kind).alias("kind"), at.alias("start"), end.alias("end"), x["m"].alias("value"), F.right(x["p"], F.lit(CONTEXT_CHARS)).alias("before"))
+        one = F.struct(F.lit(kind).alias("kind"), at.alias("start"), end.alias("end"), x["m"].alias("value"), F.right(x["p"], F.lit(CONTEXT_CHARS)).alias("before"), x["q"].alias("after"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     spans = F.when(F.col("_pieces").isNotNull(), F.aggregate(pairs, start, step, lambda acc: acc["out"]))
     return df.withColumn(name, F.coalesce(spans, F.array().cast(NO_SPANS))).drop("_found", "_pieces")
 
 
-def _pattern(before: Column) -> Column:
-    """Lexical pattern: the last word before, ASCII lower case, digits masked."""
-    word = F.regexp_extract(before, r"(\S+)\s*$", 1)
-    return F.regexp_replace(F.lower(word), "[0-9]", "#")
+def _masked(words: Column) -> Column:
+    return F.regexp_replace(F.lower(words), "[0-9]", "#")
+
+
+def _patterns(e: Column) -> Column:
+    """Lexical patterns of an identifier, as structs of side and words."""
+    found = {"left": F.regexp_extract(e["before"], r"(\S+)\s*$", 1), "two": F.regexp_extract(e["before"], r"(\S+\s+\S+)\s*$", 1), "right": F.regexp_extract(e["after"], r"^\s*(\S+)", 1)}
+    every = F.array(*[F.struct(F.lit(side).alias("side"), _masked(words).alias("words")) for side, words in found.items()])
+    return F.filter(every, lambda p: p["words"].rlike("[a-z]{2}|[^\\x00-\\x7F]"))
+
+
+def _instance(e: Column) -> Column:
+    """What an identifier is known by: digits for numbers, else the value itself."""
+    return F.when(e["kind"].isin("email", "ip") | e["value"].rlike("[A-Za-z]"), F.lower(e["value"])).otherwise(_digits(e["value"]))
 
 
 def _joined(spans: Column) -> Column:
@@ -125,34 +150,51 @@ def spans_of(docs: DataFrame) -> DataFrame:
         out = _with_matches(out, f"_{kind}", kind, FORMATS[kind], F.col("_text").rlike(HINTS[kind]))
         out = out.withColumn(f"_{kind}", F.filter(f"_{kind}", _valid(kind)))
     out = out.withColumn("base", F.concat(*[f"_{k}" for k in KINDS]))
-    out = _with_matches(out, "_other", "other", OTHER, F.col("_text").rlike("[0-9](?:[ .()/-]{0,2}[0-9]){6}"))
+    for shape, (pattern, hint) in OTHERS.items():
+        out = _with_matches(out, f"_{shape}", "other", pattern, F.col("_text").rlike(hint))
+    out = out.withColumn("_other", F.concat(*[f"_{shape}" for shape in OTHERS]))
     free = F.filter("_other", lambda o: ~F.exists("base", lambda b: (b["start"] < o["end"]) & (o["start"] < b["end"])))
     out = out.withColumn("other", free)
     key = F.when(F.size("other") > 0, F.sha2("_text", 256)).otherwise(F.xxhash64("_text").cast("string"))
-    return out.withColumn("key", key).drop("_text", "_other", *[f"_{k}" for k in KINDS])
+    return out.withColumn("key", key).drop("_text", "_other", *[f"_{k}" for k in (*KINDS, *OTHERS)])
+
+
+def _salted(rows: DataFrame, scores: DataFrame) -> DataFrame:
+    """Rows with the scores of their pattern; a word that many instances stand beside is
+    dealt to several tasks."""
+    salted = scores.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int")).join(salted, ["pattern", "salt"]).drop("salt")
 
 
 def pattern_scores(graph: DataFrame) -> DataFrame:
-    """``pattern, kind`` of the patterns of high confidence.
+    """``pattern, kind, confidence`` of the patterns of high confidence.
 
-    ``graph``: distinct ``pattern, value, kind`` with kind ``other`` for instances of
-    unknown format. Each round is three grouped sums over joins on pattern or value.
+    ``graph``: distinct ``pattern`` (side and words), ``value, kind``, the kind ``other``
+    for instances of unknown format. A round is a join and a sum on patterns and one of
+    each on instances; beliefs never fall, so the rounds end.
     """
-    seeds = graph.filter("kind <> 'other'").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= MIN_SEEDS)
-    unknown = saved(graph.filter("kind = 'other'").join(seeds.select("pattern").distinct(), "pattern", "left_semi").select("pattern", "value"))
-    totals = graph.groupBy("pattern").agg(F.count("*").alias("total"))
-    seeded = saved(seeds.join(totals, "pattern"))
-    belief = None
-    for _ in range(ROUNDS):
-        if belief is None:
-            scores = seeded.withColumn("confidence", F.col("seeds") / F.col("total"))
-        else:
-            won = unknown.join(belief, "value").groupBy("pattern", "kind").agg(F.sum("belief").alias("won"))
-            scores = seeded.join(won, ["pattern", "kind"], "left").withColumn("confidence", (F.col("seeds") + F.coalesce("won", F.lit(0.0))) / F.col("total"))
+    least = F.coalesce(*[F.when(F.col("pattern.side") == side, n) for side, n in MIN_SEEDS.items()])
+    pairs = graph.select("pattern", "value").distinct()
+    totals = stored(pairs.groupBy("pattern").agg(F.count("*").alias("total")).filter(F.col("total") >= least))
+    seeds = graph.filter("kind <> 'other'").select("value", "kind").distinct()
+    seeded = stored(pairs.join(seeds, "value").groupBy("pattern", "kind").agg(F.count("*").cast("double").alias("sure")))
+    # instances of no known format that a pattern with a chance has; their beliefs change
+    open_ = stored(pairs.join(seeds, "value", "left_anti").join(totals.select("pattern"), "pattern", "left_semi"))
+    belief, sum_before = None, 0.0
+    while True:
+        support = seeded
+        if belief is not None:
+            won = open_.join(belief, "value").groupBy("pattern", "kind").agg(F.sum("belief").alias("won"))
+            support = seeded.join(won, ["pattern", "kind"], "full").select("pattern", "kind", (F.coalesce("sure", F.lit(0.0)) + F.coalesce("won", F.lit(0.0))).alias("sure"))
+        scores = support.filter(F.col("sure") >= least - 1e-6).join(totals, "pattern").select("pattern", "kind", F.round(F.col("sure") / F.col("total"), 9).alias("confidence"))
+        scores = stored(scores)
         # an instance is of a kind unless every pattern that holds it is wrong
-        belief = unknown.join(scores.filter("confidence > 0.5"), "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1.000001 - F.col("confidence"))))).alias("belief"))
-        belief = saved(belief.withColumn("belief", F.round("belief", 6)))
-    return scores.filter(F.col("confidence") >= MIN_CONFIDENCE).select("pattern", "kind")
+        hold = _salted(open_, scores.filter(F.col("confidence") > EVIDENCE))
+        belief = stored(hold.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1.000000001 - F.col("confidence"))))).alias("belief")))
+        sum_now = belief.agg(F.sum("belief")).first()[0] or 0.0
+        if sum_now - sum_before < SETTLED:
+            return scores.filter(F.col("confidence") >= MIN_CONFIDENCE)
+        sum_before = sum_now
 
 
 def discovered(found: DataFrame) -> DataFrame:
@@ -160,11 +202,12 @@ def discovered(found: DataFrame) -> DataFrame:
     base, other and key. Equal texts have one key and one row."""
     entity = F.explode(F.concat("base", "other"))
     graph = found.filter(F.size("base") + F.size("other") > 0).select(entity.alias("e"))
-    graph = graph.select(_pattern(F.col("e.before")).alias("pattern"), F.col("e.value").alias("value"), F.col("e.kind").alias("kind")).filter("pattern <> ''").distinct()
-    good = pattern_scores(saved(graph))
+    graph = graph.select(F.explode(_patterns(F.col("e"))).alias("pattern"), _instance(F.col("e")).alias("value"), F.col("e.kind").alias("kind")).distinct()
+    good = pattern_scores(stored(graph))
     texts = found.filter(F.size("other") > 0).groupBy("key").agg(F.first("other").alias("other"))
-    unseen = texts.select("key", F.explode("other").alias("e")).withColumn("pattern", _pattern(F.col("e.before")))
-    return unseen.join(good, "pattern").groupBy("key").agg(F.collect_set(F.struct("kind", F.col("e.start").alias("start"), F.col("e.end").alias("end"))).alias("new"))
+    unseen = texts.select("key", F.explode("other").alias("e")).select("key", F.explode(_patterns(F.col("e"))).alias("pattern"), "e.start", "e.end", F.xxhash64("key", "e.start").alias("value"))
+    named = _salted(unseen, good).groupBy("key", "start", "end").agg(F.max_by("kind", F.struct("confidence", -_rank(F.col("kind")))).alias("kind"))
+    return named.groupBy("key").agg(F.collect_list(F.struct("kind", "start", "end")).alias("new"))
 
 
 def _with_spans(rows: DataFrame, new: DataFrame) -> DataFrame:

@@ -164,16 +164,82 @@ def test_base_spans_are_those_of_the_patterns(spark, docs, odd):
         assert all(wanted[r["doc_id"]] <= set(r["spans"].split(",")) for r in rows)
 
 
+WORDS = "now soon later today please again maybe still often never always here there once twice".split()
+
+
 def test_patterns_find_unseen_identifiers(spark):
-    seeds = [(k, f"please dial +49 30 12345{k:03d} now") for k in range(40)] + [(100 + k, f"host 10.0.0.{k} is up") for k in range(40)]
-    new = [(900, "please dial 030 1234 5678 now"), (901, "number 030 1234 5678 now"), (902, "word 12 12 12 12 here")]
+    seeds = [(k, f"please dial +49 30 12345{k:03d} {WORDS[k % 15]}") for k in range(40)] + [(100 + k, f"host 10.0.0.{k} is up") for k in range(40)]
+    new = [(900, "please dial 030 1234 5678 now"), (901, "number 030 1234 5678 now"), (902, "word 12 12 12 12 here"), (903, "host fe80::1:2 is up")]
     df = spark.createDataFrame(seeds + new, "doc_id long, text string")
     got = {r["doc_id"]: r["spans"] for r in pii.find(df).collect()}
-    assert got[900] == "phone:12:25" and got[901] == "" and got[902] == ""
+    assert got[900] == "phone:12:25" and got[901] == "" and got[902] == "" and got[903] == "ip:5:14"
     cleaned = {r["doc_id"]: r["text"] for r in pii.redact(df.selectExpr("doc_id", "text", "cast(null as string) as lang", "'s' as source", "7L as n_chars")).collect()}
     assert cleaned[900] == "please dial [PHONE] now" and cleaned[100] == "host [IP] is up" and cleaned[901] == new[1][1]
 
 
+def test_found_instances_induce_patterns(spark):
+    """Numbers found after "dial" stand again after "reach", whose further numbers stand
+    after "ring"; addresses by the word at their right."""
+    w = lambda k: WORDS[k % 15]
+    rows = [f"dial +49 30 12345{k:03d} {w(k)}" for k in range(40)] + [f"dial 0171 55512{k:02d} {w(k)}" for k in range(12)]
+    rows += [f"reach 0171 55512{k:02d} {w(k + 3)}" for k in range(12)] + [f"reach 0172 66612{k:02d} {w(k + 5)}" for k in range(1)]
+    rows += [f"ring 0171 55512{k:02d} {w(k + 7)}" for k in range(9)] + ["ring 0199 7771234 soon", "order 0199 8881234 soon"]
+    rows += [f"{w(k)} a{k}@b{k}.org wrote" for k in range(30)] + ["maybe jane [at] example [dot] com wrote", "meet at home. jane at ease"]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    want = slow_bootstrap(rows)
+    assert got == want
+    assert got[64] == "phone:6:18" and got[74] == "phone:5:17" and got[75] == "" and got[106] == "email:6:33" and got[107] == ""
+
+
+def slow_bootstrap(texts):
+    """The same scores by plain loops over the shapes of these texts."""
+    from collections import defaultdict
+
+    found = []
+    for doc, text in enumerate(texts):
+        base = base_pii(text)
+        spans = [(kind, a, b) for kind, a, b in base]
+        for pattern in (r"(?<![0-9A-Za-z+.@-])[0-9](?:[ .()/-]{0,2}[0-9]){6,}(?![A-Za-z@])", r"\b[a-z]+ ?(?:\[at\]| at ) ?[a-z]+(?: ?\[dot\] ?[a-z]+)+"):
+            spans += [("other", m.start(), m.end()) for m in re.finditer(pattern, text) if not any(a < m.end() and m.start() < b for _, a, b in base)]
+        for kind, a, b in spans:
+            left, right, value = text[:a].split(), text[b:].split(), text[a:b]
+            words = {("left", tuple(left[-1:])), ("two", tuple(left[-2:]) if len(left) > 1 else ()), ("right", tuple(right[:1]))}
+            patterns = {(side, re.sub("[0-9]", "#", " ".join(x).lower())) for side, x in words}
+            found.append((doc, kind, a, b, {p for p in patterns if re.search("[a-z]{2}", p[1])}, value.lower() if re.search("[A-Za-z]", value) else re.sub("[^0-9]", "", value)))
+    holds = defaultdict(set)
+    belief = {}
+    for _, kind, _, _, patterns, value in found:
+        for p in patterns:
+            holds[p].add(value)
+        if kind != "other":
+            belief[value, kind] = 1.0
+    seeds = {v for v, _ in belief}
+    before = -1
+    while True:
+        scores = {}
+        for p, values in holds.items():
+            for kind in pii.KINDS:
+                sure = sum(belief.get((v, kind), 0) for v in values)
+                if sure >= pii.MIN_SEEDS[p[0]] - 1e-6:
+                    scores[p, kind] = sure / len(values)
+        wrong = defaultdict(lambda: 1.0)
+        for (p, kind), c in scores.items():
+            for v in holds[p] - seeds:
+                if c > 0.5:
+                    wrong[v, kind] *= 1 - c
+        belief |= {k: 1 - x for k, x in wrong.items()}
+        now = sum(1 - x for x in wrong.values())
+        if now - before < 0.01:
+            break
+        before = now
+    out = {doc: list(base_pii(text)) for doc, text in enumerate(texts)}
+    for doc, kind, a, b, patterns, _ in found:
+        best = max(((scores.get((p, k), 0), -j, k) for p in patterns for j, k in enumerate(pii.KINDS)), default=(0,))
+        if kind == "other" and best[0] >= 0.9:
+            out[doc].append((best[2], a, b))
+    return {d: ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(x, key=lambda s: (pii.KINDS.index(s[0]), s[1]))) for d, x in out.items()}
+
+
 def test_redaction_keeps_rows_and_columns(spark, odd):
     out = pii.redact(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
