@@ -643,11 +643,38 @@ def test_license_places(spark, docs, odd):
 
 
 def test_templates_align(spark):
-    rows = [(k, f"Some words.\n{words.title()}!\nMore words") for k, (_, words, _) in enumerate(licenses.TEMPLATES)] + [(99, "a word is free of charge and used in source code")]
+    rows = [(k, f"Some words.\n{words.title()}!\nMore words") for k, (_, words, _) in enumerate(licenses.TEMPLATES)]
+    rows += [(990, "a word is free of charge and used in source code"), (991, "// SPDX-License-Identifier: Apache-2.0"), (992, "SPDX-License-Identifier: (unknown)")]
     got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for k, (label, _, _) in enumerate(licenses.TEMPLATES):
-        assert label in got[k]["labels"].split(","), label
-    assert got[99]["labels"] == ""
+        assert label in got[k]["labels"].split(",") and got[k]["score"] == 1, label
+    assert got[990]["labels"] == "" and got[991]["labels"] == "apache" and got[992]["labels"] == ""
+
+
+def test_labels_against_every_offset():
+    """Notices with words changed, cut and repeated, at every offset of every template."""
+    rng = random.Random(9)
+    common = [w for _, words, _ in licenses.TEMPLATES for w in words.split()]
+    for _ in range(150):
+        words: list[str] = []
+        for _ in range(rng.randint(1, 4)):
+            notice = rng.choice(licenses.TEMPLATES)[1].split()
+            notice = [rng.choice(common) if rng.random() < rng.choice((0, 0.1, 0.4)) else w for w in notice]
+            words += rng.choices(common, k=rng.randint(0, 9)) + notice[: rng.randint(1, 40)] * rng.randint(1, 2)
+        words = licenses.words_of(" ".join(words))
+        frequency = {w: rng.choice((0, 1, 50, 900)) for w in licenses.VOCABULARY}
+        index = licenses.Index(1000, frequency)
+        want, best = set(), 0.0
+        for label, template, key in licenses.SPLIT:
+            whole = sum(index.idf[w] for w in template)
+            for start in range(-len(template), len(words)):
+                inside = [k for k in range(len(template)) if 0 <= start + k < len(words)]
+                score = sum(index.idf[template[k]] for k in inside if words[start + k] == template[k]) / whole
+                place = words[max(0, start) : max(0, start + len(template))]
+                if score >= 0.5 - 1e-9 and any(tuple(place[k : k + len(key)]) == key for k in range(len(place))):
+                    want.add(label)
+                    best = max(best, score)
+        assert index.labels(words) == (want, round(min(best, 1.0), 6))
 
 
 # ---------------------------------------------------------------- pipeline
