@@ -1,35 +1,37 @@
 """SimHash near-duplicates with BK-trees.
 
 Fingerprints of 64 bits are made from 3-word shingles. Two fingerprints link at 3 or
-fewer differing bits. Of five bit blocks at least two are equal in linked fingerprints,
-so each distinct fingerprint goes to the ten shards named by its pairs of blocks; within
-a shard a BK-tree (children keyed by their Hamming distance to the parent) is built and
-searched along edges within the radius only. Shards grow with the data, so they aren't
-broadcast: a shuffle brings shard and searchers together, and a shard above
-``SHARD_ROWS`` is cut into chunks that meet pairwise. A unit hands on one row for each
-fingerprint (its root within the unit), never its pairs.
+fewer differing bits. Of 3 + k bit blocks at least k are equal in linked fingerprints, so
+each distinct fingerprint goes to the shards named by bits of every choice of k of its
+blocks. How many bits, and which k, follows from the number of distinct fingerprints: a
+shard should have about ``TREE_ROWS`` of them. Within a shard a BK-tree (children keyed
+by their Hamming distance to the parent) is built and searched along edges within the
+radius only. Trees have the fingerprints of all documents, so they aren't broadcast: a
+shuffle brings shard and searchers together, and a shard above ``SHARD_ROWS`` is cut into
+chunks that meet pairwise. A unit hands on one row for each fingerprint (its root within
+the unit), never its pairs.
 
 Results for special cases: null or blank texts have the fingerprint zero and link like
-any other; repeated rows each have a row in the result; a null ``doc_id`` takes part and
+any other; an empty table gives an empty result; repeated rows each have a row in the result; a null ``doc_id`` takes part and
 its component has the smallest doc_id that isn't null (null if there is none); further
 columns are ignored by :func:`near_duplicates` and kept by :func:`representatives`.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.llm.common import bucket_pairs, components, over_texts, packed, runs_of, saved, texts_of, union_roots, unpacked
 
-RADIUS, SEED, SHINGLE_WORDS, SHARD_ROWS = 3, 42, 3, 4096
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+RADIUS, SEED, SHINGLE_WORDS, SHARD_ROWS, TREE_ROWS = 3, 42, 3, 4096, 256
 
 
 def fingerprint(text: str) -> int:
@@ -110,15 +112,33 @@ def unit_roots(tree_keys: np.ndarray, queries: np.ndarray, radius: int = RADIUS,
     return nodes, parent
 
 
+def shard_blocks(n: int, tree_rows: int = 0) -> tuple[int, int, int]:
+    """(blocks, equal ones, bits of each that name a shard) for n distinct fingerprints:
+    the fewest blocks whose bits suffice for shards of about ``tree_rows``."""
+    bits = max(0, round(math.log2(max(1, n) / (tree_rows or TREE_ROWS))))
+    for equal in (1, 2, 3):
+        blocks = RADIUS + equal
+        if bits <= equal * (64 // blocks) or equal == 3:
+            return blocks, equal, min(-(-bits // equal), 64 // blocks)
+
+
+def shard_keys(n: int) -> list[Column]:
+    """The shards of a fingerprint ``fp``, one for each choice of equal blocks."""
+    blocks, equal, bits = shard_blocks(n)
+    wide = 64 // blocks
+    part = [F.shiftrightunsigned(F.col("fp"), k * wide).bitwiseAND(F.lit((1 << bits) - 1)) for k in range(blocks)]
+    keys = []
+    for k, choice in enumerate(combinations(range(blocks), equal)):
+        named = F.lit(k).cast("long")
+        for j in choice:
+            named = named * (1 << bits) + part[j]
+        keys.append(named)
+    return keys
+
+
 def links(distinct_fps: DataFrame) -> DataFrame:
     """Edges ``a, b`` (signed fingerprints) whose components are those of all links."""
-    x = F.col("fp")
-    keys = []
-    for k, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2)):
-        (at, n), (at2, n2) = BLOCKS[i], BLOCKS[j]
-        first = F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << n) - 1))
-        second = F.shiftrightunsigned(x, at2).bitwiseAND(F.lit((1 << n2) - 1))
-        keys.append(F.lit(k).cast("long") * (1 << 26) + first * (1 << 13) + second)
+    keys = shard_keys(distinct_fps.count())
     rows = distinct_fps.select("fp", F.explode(F.array(*keys)).alias("shard"))
     dealt = bucket_pairs(rows, "shard", F.col("fp"), SHARD_ROWS)
     unit = ["shard", "unit_i", "unit_j"]
@@ -149,7 +169,7 @@ def links(distinct_fps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for each row of ``docs``."""
     fps = saved(fingerprints(docs))
-    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    first = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     linked = components(links(first.select("fp")))
     member = first.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     low = member.groupBy("root").agg(F.min("first_id").alias("component_id"))

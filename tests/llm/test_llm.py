@@ -292,8 +292,10 @@ def test_simhash_of_odd_rows(spark, odd):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "4", "6", "None"]
 
 
-def test_dense_fingerprints_in_small_units(spark, monkeypatch):
+@pytest.mark.parametrize("tree_rows", [256, 2, 1e-3, 1e-9])  # one shard; one, two and three equal blocks
+def test_dense_fingerprints_in_small_units(spark, monkeypatch, tree_rows):
     monkeypatch.setattr(simhash, "SHARD_ROWS", 16)
+    monkeypatch.setattr(simhash, "TREE_ROWS", tree_rows)
     rng = random.Random(2)
     centres = [rng.getrandbits(64) for _ in range(4)]
     fps = {c ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 3))) & (2**64 - 1) for c in centres for _ in range(60)}
@@ -305,6 +307,19 @@ def test_dense_fingerprints_in_small_units(spark, monkeypatch):
     assert groups(got) == groups(want)
 
 
+def test_trees_are_pruned():
+    rng = np.random.default_rng(4)
+    keys = rng.integers(0, 1 << 63, 2000, dtype=np.uint64)
+    queries = np.concatenate([keys[:300] ^ np.uint64(0b101), rng.integers(0, 1 << 63, 300, dtype=np.uint64)])
+    tree, count = simhash.BkTree(keys), np.bitwise_count
+    found = set()
+    for q, node in tree.within(queries, 3):
+        found |= set(zip(q.tolist(), node.tolist(), strict=True))
+    assert found == {(i, j) for i, q in enumerate(queries) for j in np.flatnonzero(count(keys ^ q) <= 3).tolist()}
+    assert len(found) >= 300
+    assert simhash.shard_blocks(250_000) == (4, 1, 10) and simhash.shard_blocks(10**9)[:2] == (5, 2) and simhash.shard_blocks(10) == (4, 1, 0)
+
+
 def test_components_of_paths(spark):
     rng = random.Random(1)
     names = list(range(300))
