@@ -128,6 +128,27 @@ def redacted(x, pattern: str) -> Column:
     return F.regexp_replace(c(x), pattern, "[REDACTED]")
 
 
+def fingerprints(x, pattern: str) -> Column:
+    """A digest of each match that :func:`redacted` takes out, in order."""
+    return F.transform(F.regexp_extract_all(c(x), F.lit(pattern), F.lit(0)), lambda v: F.sha2(v, 256))
+
+
+def line_tags(x, mark: str = "tag:") -> Column:
+    """Tags ``# <mark>key=value`` of a line, several of them: key, value and column."""
+    pattern = rf"#\s*{mark}([\w.]+)\s*=\s*([^#\n]*)"
+    pieces = F.split(c(x), pattern, -1)
+    found = F.arrays_zip(*[F.regexp_extract_all(c(x), F.lit(pattern), F.lit(k)).alias(n) for k, n in ((0, "all"), (1, "key"), (2, "value"))])
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<key:string,value:string,col:int>>").alias("out"))
+
+    def step(acc: Column, p: Column) -> Column:
+        at = acc["at"] + F.length(p["p"])
+        one = F.struct(p["m"]["key"].alias("key"), F.trim(p["m"]["value"]).alias("value"), (at + 1).alias("col"))
+        return F.struct((at + F.length(p["m"]["all"])).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
+    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+
+
 def normalised_text(x) -> Column:
     """Line ends as LF, no blanks at line ends."""
     return F.regexp_replace(F.regexp_replace(c(x), r"\r\n?", "\n"), r"(?m)[ \t]+$", "")

@@ -53,6 +53,28 @@ def bootstrap_ci(values: DataFrame, value: str, rounds: int = 2000, seed: int =
     return m.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
 
 
+#: Shares of the Poisson distribution of mean 1 up to 0, 1, 2 and so on.
+POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
+
+
+def bootstrap(values: DataFrame, by: str, key: str, value: str, rounds: int = 2000, seed: int = 17) -> DataFrame:
+    """2.5 and 97.5 % quantiles of mean and median over seeded resamples, by arm. In
+    each round a row, known by its key, has a Poisson(1) number of copies by a digest of
+    seed, round and key; sums are combined before the shuffle, and a round's median comes
+    from its counted distinct values. Rows with one key are one draw."""
+    r = values.select(by, key, F.col(value).cast("double").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
+    digest = F.md5(F.concat_ws("/", F.lit(seed), "round", key))
+    u = F.conv(F.substring(digest, 1, 7), 16, 10).cast("double") / (1 << 28)
+    r = r.withColumn("copies", sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0))).filter("copies > 0")
+    m = r.groupBy(by, "round").agg((F.sum(F.col("copies") * F.col("v")) / F.sum("copies")).alias("mean"), F.percentile("v", 0.5, F.col("copies")).alias("median"))
+    return m.groupBy(by).agg(*[F.percentile(x, q).alias(f"{x}_{n}") for x in ("mean", "median") for n, q in (("low", 0.025), ("high", 0.975))])
+
+
+def signs(rows: DataFrame, arm: str, value: str, first, second) -> DataFrame:
+    """Sign of Cliff's delta: 1, 0 or -1 as the first arm is above the second."""
+    return cliffs_delta(rows, arm, value, first, second).select(F.signum("delta").cast("int").alias("sign"), "net", "pairs")
+
+
 def ranked_arms(rows: DataFrame) -> DataFrame:
     """By passes, then alignment, then |cr - 1|, then time."""
     w = W.orderBy(F.desc("passed"), F.desc("align"), F.abs(F.col("cr") - 1), "time", "arm")

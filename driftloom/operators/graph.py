@@ -35,6 +35,25 @@ def density(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.crossJoin(m).select("n", "m", F.when(F.col("n") > 1, F.col("m") / (F.col("n") * (F.col("n") - 1))).otherwise(0.0).alias("density"))
 
 
+def canonical_digests(nodes: DataFrame, edges: DataFrame, by: str) -> DataFrame:
+    """SHA-256 of each group's distinct nodes by id and edges by (src, dst, kind), so
+    that the order of rows doesn't count. A group's parts meet in one task."""
+    line = lambda *xs: F.concat_ws("|", *xs)
+    n = nodes.select(by, line(F.lit("n"), "id", "kind").alias("x"))
+    e = edges.select(by, line(F.lit("o"), "src", "dst", "kind").alias("x"))
+    return n.unionByName(e).groupBy(by).agg(F.sha2(F.array_join(F.array_sort(F.collect_set("x")), "\n"), 256).alias("digest"))
+
+
+def grid_edges(cells: DataFrame) -> DataFrame:
+    """Each cell (grid, x, y, edge) with its neighbours right and below; the vote
+    between two cells is 1 + half the sum of their edge values."""
+    a = cells.select("grid", F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("id").alias("src"), F.col("edge").alias("_a"))
+    to = F.explode(F.array(F.struct((F.col("_x") + 1).alias("x"), F.col("_y").alias("y")), F.struct(F.col("_x").alias("x"), (F.col("_y") + 1).alias("y"))))
+    a = a.select("grid", "src", "_a", to.alias("to")).select("grid", "src", "_a", "to.x", "to.y")
+    b = cells.select("grid", "x", "y", F.col("id").alias("dst"), F.col("edge").alias("_b"))
+    return a.join(b, ["grid", "x", "y"]).select("src", "dst", (1 + 0.5 * (F.col("_a") + F.col("_b"))).alias("weight"))
+
+
 def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges with both ends among the ids."""
     return edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")

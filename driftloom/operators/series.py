@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -51,9 +53,11 @@ def grid_layout(nodes: DataFrame, by: str, order: list[Column]) -> DataFrame:
     return out.withColumn("u", (F.col("col") + 0.5) / cols).withColumn("v", (F.col("row") + 0.5) / rows).drop("_i", "_n")
 
 
-def ewma(rows: DataFrame, by: str, order: str, x: str, lam: float = 0.15, reach: int = 120) -> DataFrame:
-    """m = lam x + (1 - lam) m, the first value as start. From the last ``reach``
-    rows, past which weights are below 1e-8, so a series of any length fits a frame."""
+def ewma(rows: DataFrame, by: str, order: str, x: str, lam: float = 0.15, lost: float = 1e-8) -> DataFrame:
+    """m = lam x + (1 - lam) m, the first value as start. From so many of the last rows
+    that the others together weigh less than ``lost``, so a series of any length fits a
+    frame."""
+    reach = max(2, math.ceil(math.log(lost) / math.log(1 - lam)) + 1) if 0 < lam < 1 else 2
     w = W.partitionBy(by).orderBy(order).rowsBetween(-(reach - 1), 0)
     start = F.element_at("_l", 1)
     mean = F.aggregate(F.slice("_l", F.lit(2), F.size("_l")), start, lambda m, v: lam * v + (1 - lam) * m)
@@ -63,7 +67,16 @@ def ewma(rows: DataFrame, by: str, order: str, x: str, lam: float = 0.15, reach:
 def rolling_thresholds(rows: DataFrame, by: str, order: str, x: str, n: int = 90) -> DataFrame:
     """q90, q95 and q99 of the last n rows as alpha, beta and z."""
     w = W.partitionBy(by).orderBy(order).rowsBetween(-(n - 1), 0)
-    return rows.select("*", *[F.percentile(x, F.lit(q)).over(w).alias(name) for q, name in ((0.90, "alpha"), (0.95, "beta"), (0.99, "z"))])
+
+    def quantile(q: float) -> Column:
+        place = (F.size("_s") - 1) * F.lit(q)
+        low = F.element_at("_s", F.floor(place).cast("int") + 1)
+        high = F.element_at("_s", F.ceil(place).cast("int") + 1)
+        return F.when(F.size("_s") > 0, low + (high - low) * (place - F.floor(place)))
+
+    # one sorted frame for all three
+    out = rows.withColumn("_l", F.collect_list(F.col(x).cast("double")).over(w)).withColumn("_s", F.array_sort("_l"))
+    return out.select(*rows.columns, quantile(0.90).alias("alpha"), quantile(0.95).alias("beta"), quantile(0.99).alias("z"))
 
 
 def rolling_mad(rows: DataFrame, by: str, order: str, x: str, n: int = 90) -> DataFrame:

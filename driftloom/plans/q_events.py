@@ -52,6 +52,21 @@ def payloads(s, d):
     return e.selectExpr("event_id", f"{topic} as topic", f"{body} as payload")
 
 
+def payload_sql() -> str:
+    """Errors counted by rule: unknown topic, no object, and each field that is missing or
+    of another type."""
+    types = {"object": "'OBJECT'", "string": "'VARCHAR'", "number": "'BIGINT','UBIGINT','DOUBLE'", "boolean": "'BOOLEAN'"}
+    fields = [f"case when topic = '{topic}' and obj and coalesce(json_type(p, '$.{path}') not in ({types[kind]}), true) then 1 else 0 end" for topic, rules in X.PAYLOADS.items() for path, kind in rules]
+    known = ", ".join(f"'{topic}'" for topic in X.PAYLOADS)
+    body = "case event_id % 6 when 0 then '{\"delta_report\": {}, \"paths\": {\"metrics\": \"m\"}}' when 1 then '{\"delta_report\": {}, \"paths\": {\"metrics\": 7}}' when 2 then '[1]' when 3 then '{\"level\": true, \"score\": 1.5}' when 4 then '{bad' else '{\"level\": \"x\", \"graph\": {}}' end"
+    topic = "case event_id % 4 when 0 then 'analytics.delta.ready' when 1 then 'analytics.scope.ready' when 2 then 'analytics.invariants.violation' else 'nobody' end"
+    whole = f"select topic, case when obj then payload end as p, obj from (select *, case when json_valid(payload) then json_type(payload) = 'OBJECT' else false end as obj from (select {topic} as topic, {body} as payload from events))"
+    return f"select topic, cast(errors as int) as errors, count(*) as n from (select topic, (case when topic in ({known}) then 0 else 1 end) + (case when obj then 0 else 1 end) + {' + '.join(fields)} as errors from ({whole})) group by 1, 2"
+
+
+PAYLOAD_SQL = payload_sql()
+
+
 def chain_rows(s, d):
     c = t(s, d, "conversations").select((F.col("conv_id") * 100_000 + F.col("turn")).alias("id"), F.when(F.col("turn") > 0, F.col("conv_id") * 100_000 + F.col("turn") - 1).alias("parent"))
     return E.causal_chain(c, "id", "parent")
@@ -179,7 +194,7 @@ QUERIES = {
     ),
     "p12_payload_validation": (
         lambda s, d: payloads(s, d).withColumn("e", X.payload_errors("topic", "payload")).groupBy("topic", F.size("e").alias("errors")).agg(F.count("*").alias("n")),
-        None,
+        PAYLOAD_SQL,
     ),
     "p23_redaction": (
         lambda s, d: t(s, d, "documents").select("doc_id", X.redacted("text", "[0-9]{3}").alias("v")).select("doc_id", F.length("v").alias("n"), F.sha2("v", 256).alias("digest")),

@@ -27,7 +27,7 @@ def sources(s, d):
 
 
 def series(s, d):
-    return t(s, d, "events").select("event_type", "event_id", "value")
+    return t(s, d, "events").select("user_id", "event_id", "value")
 
 
 def other(s, d):
@@ -65,12 +65,31 @@ def arms(s, d):
     return j.groupBy(F.col("source").alias("arm")).agg(F.sum("quality").alias("passed"), F.avg("n_chars").alias("time"), F.avg("toxic").alias("align"), (F.avg("n_chars") / 2000).alias("cr"))
 
 
+def arm_sizes(s, d):
+    return t(s, d, "orders").select(F.col("o_orderstatus").alias("arm"), F.floor(F.col("o_totalprice") / 1000).cast("long").alias("size"))
+
+
+ARM_SIZES = "(select o_orderstatus as arm, cast(floor(o_totalprice/1000) as bigint) as size from orders)"
+
+
 def tagged(s, d):
-    line = F.concat(F.lit("x = 1  # glx:topic.publish = a"), F.col("doc_id") % 3, F.lit(", b\ny # glx:mode=on # glx:topic.request_reply=A->B\n"))
-    x = t(s, d, "documents").select("doc_id", F.posexplode(F.split(line, "\n")).alias("line", "v"))
-    tags = F.arrays_zip(F.regexp_extract_all("v", F.lit(r"#\s*glx:([\w.]+)\s*=\s*([^#]*)"), F.lit(1)).alias("k"), F.regexp_extract_all("v", F.lit(r"#\s*glx:([\w.]+)\s*=\s*([^#]*)"), F.lit(2)).alias("v"))
-    one = x.select("doc_id", "line", F.explode(tags).alias("t")).select("doc_id", "line", F.col("t.k").alias("key"), X.tag_value(F.col("t.v")).alias("val"))
-    return one.select("key", F.col("val.kind").alias("kind"), F.explode("val.items").alias("item")).groupBy("key", "kind", "item").agg(F.count("*").alias("n"))
+    """Tags in the documents' own lines: a mark is put before what looks like one."""
+    marked = F.regexp_replace("text", r"(\b[a-z_]{3,}) ?[=:] ?[\"']?([A-Za-z0-9])", "# tag:$1=$2")
+    x = t(s, d, "documents").select("doc_id", F.posexplode(F.split(marked, "\n")).alias("line", "v"))
+    return x.select("doc_id", "line", F.explode(X.line_tags("v")).alias("t")).select("doc_id", "line", "t.key", "t.value", "t.col")
+
+
+def tag_events(s, d):
+    """Publish and subscribe have an event for each item, pairs one, others one."""
+    one = tagged(s, d).select("doc_id", "key", X.tag_value("value").alias("val"))
+    return one.select("key", F.col("val.kind").alias("kind"), F.explode("val.items").alias("item")).groupBy("key", "kind").agg(F.count("*").alias("n"), F.count_distinct("item").alias("items"))
+
+
+TAGS = r"""(select doc_id, cast(l - 1 as int) as line, regexp_replace(lines[l], '(\b[a-z_]{3,}) ?[=:] ?["'']?([A-Za-z0-9])', '# tag:\1=\2', 'g') v from (select doc_id, string_split(text, chr(10)) lines from documents), unnest(range(1, len(lines) + 1)) r(l))"""
+TAG_ROWS = rf"""(select doc_id, line, m[1] as key, trim(m[2]) as value from (select doc_id, line, unnest(list_transform(regexp_extract_all(v, '#\s*tag:[\w.]+\s*=\s*[^#\n]*'), lambda x: [regexp_extract(x, '#\s*tag:([\w.]+)', 1), regexp_extract(x, '=\s*([^#\n]*)', 1)])) m from {TAGS}))"""
+
+
+BOOTSTRAP = f"with r as (select s_nationkey % 2 as arm, s_suppkey as key, cast(s_acctbal as double) as v, k, ('0x' || md5('17/' || k || '/' || s_suppkey)[1:7])::bigint / 268435456.0::double as u from supplier, range(0,2000) t(k)), c as (select *, {' + '.join(f'case when u >= {p} then 1 else 0 end' for p in EX.POISSON)} as copies from r), m as (select arm, k, sum(copies*v)/sum(copies) as mean from c where copies>0 group by 1,2), e as (select arm, k, median(v) as median from (select arm, k, v, unnest(range(0, copies)) from c where copies > 0) group by 1,2) select arm, round(quantile_cont(mean,0.025),6) as mean_low, round(quantile_cont(mean,0.975),6) as mean_high, round(quantile_cont(median,0.025),6) as median_low, round(quantile_cont(median,0.975),6) as median_high from m join e using (arm, k) group by 1"
 
 
 QUERIES = {
@@ -122,11 +141,11 @@ QUERIES = {
     "w03_layout": (lambda s, d: r6(S.grid_layout(t(s, d, "part").select("p_brand", "p_partkey", "p_size"), "p_brand", [F.col("p_size"), F.col("p_partkey")]), "u", "v"), "select p_brand, p_partkey, p_size, cast(i//c as int) as row, cast(i%c as int) as col, round((i%c+0.5)/c,6) as u, round((i//c+0.5)/ceil(n/c),6) as v from (select *, cast(ceil(sqrt(n)) as int) c from (select p_brand, p_partkey, p_size, row_number() over (partition by p_brand order by p_size, p_partkey)-1 i, count(*) over (partition by p_brand) n from part))"),
     "w05_sequence_fingerprint": (lambda s, d: S.sequence_fingerprint(tokens(s, d), "commit", "seq", F.concat_ws("@", "type", "file")), f"""select "commit", sha256(array_to_string(list(i order by seq) || coalesce(list(i || '>' || n order by seq) filter (where n is not null), []), '|')) as fingerprint from (select "commit", seq, type || '@' || file i, lead(type || '@' || file) over (partition by "commit" order by seq) n from {TOKENS}) group by 1"""),
     "w06_pareto_front": (lambda s, d: S.pareto_front(t(s, d, "part").select("p_brand", "p_partkey", "p_size", "p_retailprice"), "p_brand", "p_size", "p_retailprice"), "select p_brand, p_partkey, p_size, p_retailprice from (select *, min(p_retailprice) over (partition by p_brand order by p_size desc, p_retailprice rows between unbounded preceding and 1 preceding) m from part) where m is null or p_retailprice<m"),
-    "w07_ewma": (lambda s, d: r6(S.ewma(series(s, d), "event_type", "event_id", "value"), "ewma"), "select event_type, event_id, value, round(list_reduce(list(value) over (partition by event_type order by event_id rows between 119 preceding and current row), lambda m, v: 0.15*v+0.85*m),6) as ewma from events"),
-    "w08_rolling_thresholds": (lambda s, d: r6(S.rolling_thresholds(series(s, d), "event_type", "event_id", "value"), "alpha", "beta", "z"), "select event_type, event_id, value, round(quantile_cont(value,0.9) over w,6) as alpha, round(quantile_cont(value,0.95) over w,6) as beta, round(quantile_cont(value,0.99) over w,6) as z from events window w as (partition by event_type order by event_id rows between 89 preceding and current row)"),
-    "w09_w12_robust_z": (lambda s, d: r6(S.robust_z(S.rolling_mad(series(s, d), "event_type", "event_id", "value"), "value", "median", "sigma"), "median", "sigma", "z_score"), "select event_type, event_id, value, round(md,6) as median, round(1.4826*sg,6) as sigma, round(case when sg>0 then (value-md)/(1.4826*sg) else 0 end,6) as z_score from (select event_type, event_id, value, median(value) over w md, mad(value) over w sg from events window w as (partition by event_type order by event_id rows between 89 preceding and current row))"),
-    "w10_page_hinkley": (lambda s, d: S.page_hinkley(series(s, d), "event_type", "event_id", "value", 1.0, 50.0).select("event_type", "event_id", F.round("ph", 4).alias("ph"), "drift"), "select event_type, event_id, round(c-min(c) over w,4) as ph, c-min(c) over w > 50 as drift from (select *, sum(value-m-1) over w c from (select *, avg(value) over w m from events window w as (partition by event_type order by event_id rows unbounded preceding)) window w as (partition by event_type order by event_id rows unbounded preceding)) window w as (partition by event_type order by event_id rows unbounded preceding)"),
-    "w11_freeze": (lambda s, d: S.frozen(series(s, d).withColumn("drift", F.col("event_id") % 37 == 0), "event_type", "event_id", "value", "drift", 5).select("event_type", "event_id", "held", "frozen"), "select event_type, event_id, held, last_value(case when not held then value end ignore nulls) over (partition by event_type order by event_id rows unbounded preceding) as frozen from (select *, max(case when event_id%37=0 then 1 else 0 end) over (partition by event_type order by event_id rows between 5 preceding and current row)=1 as held from events)"),
+    "w07_ewma": (lambda s, d: r6(S.ewma(series(s, d), "user_id", "event_id", "value"), "ewma"), "select user_id, event_id, value, round(list_reduce(list(value) over (partition by user_id order by event_id rows between 119 preceding and current row), lambda m, v: 0.15*v+0.85*m),6) as ewma from events"),
+    "w08_rolling_thresholds": (lambda s, d: r6(S.rolling_thresholds(series(s, d), "user_id", "event_id", "value"), "alpha", "beta", "z"), "select user_id, event_id, value, round(quantile_cont(value,0.9) over w,6) as alpha, round(quantile_cont(value,0.95) over w,6) as beta, round(quantile_cont(value,0.99) over w,6) as z from events window w as (partition by user_id order by event_id rows between 89 preceding and current row)"),
+    "w09_w12_robust_z": (lambda s, d: r6(S.robust_z(S.rolling_mad(series(s, d), "user_id", "event_id", "value"), "value", "median", "sigma"), "median", "sigma", "z_score"), "select user_id, event_id, value, round(md,6) as median, round(1.4826*sg,6) as sigma, round(case when sg>0 then (value-md)/(1.4826*sg) else 0 end,6) as z_score from (select user_id, event_id, value, median(value) over w md, mad(value) over w sg from events window w as (partition by user_id order by event_id rows between 89 preceding and current row))"),
+    "w10_page_hinkley": (lambda s, d: S.page_hinkley(series(s, d), "user_id", "event_id", "value", 1.0, 50.0).select("user_id", "event_id", F.round("ph", 8).alias("ph"), "drift"), "select user_id, event_id, round(c-min(c) over w,8) as ph, c-min(c) over w > 50 as drift from (select *, sum(value-m-1) over w c from (select *, avg(value) over w m from events window w as (partition by user_id order by event_id rows unbounded preceding)) window w as (partition by user_id order by event_id rows unbounded preceding)) window w as (partition by user_id order by event_id rows unbounded preceding)"),
+    "w11_freeze": (lambda s, d: S.frozen(series(s, d).withColumn("drift", F.col("event_id") % 37 == 0), "user_id", "event_id", "value", "drift", 5).select("user_id", "event_id", "held", "frozen"), "select user_id, event_id, held, last_value(case when not held then value end ignore nulls) over (partition by user_id order by event_id rows unbounded preceding) as frozen from (select *, max(case when event_id%37=0 then 1 else 0 end) over (partition by user_id order by event_id rows between 5 preceding and current row)=1 as held from events)"),
     "w13_latest": (lambda s, d: S.latest(t(s, d, "events").select("user_id", "event_id", "value"), ["user_id"], [F.desc("event_id")], 3), "select user_id, event_id, value from (select *, row_number() over (partition by user_id order by event_id desc) r from events) where r<=3"),
     "w14_ledger": (lambda s, d: r6(S.ledger(t(s, d, "events").selectExpr("user_id", "event_id", "case event_type when 'click' then 1D when 'view' then 1.5D else 0.5D end as ds"), "user_id", "event_id", ["ds"]), "run_ds"), "select user_id, event_id, ds, round(sum(ds) over (partition by user_id order by event_id rows unbounded preceding),6) as run_ds from (select user_id, event_id, case event_type when 'click' then 1.0::double when 'view' then 1.5::double else 0.5::double end ds from events)"),
     "i01_luma": (lambda s, d: pixels(s, d).select("image", "x", "y", F.round(PX.luma(F.col("g"), 1 - F.col("g"), F.lit(0.5)), 6).alias("luma")), f"select image, x, y, round(0.299*g+0.587*(1-g)+0.057,6) as luma from {PIXELS}"),
@@ -135,7 +154,7 @@ QUERIES = {
     "i04_contrast": (lambda s, d: r6(PX.contrast(pixels(s, d), ["image"]), "contrast"), f"select image, round(stddev_pop(g),6) as contrast from {PIXELS} group by 1"),
     "i05_block_stats": (lambda s, d: r6(PX.block_stats(pixels(s, d), 4), "edges", "mean", "variance", "entropy"), f"with p as (select *, cast(x//4 as bigint) bx, cast(y//4 as bigint) bt from {PIXELS}), g as (select *, coalesce(lead(g) over (partition by image,bx,bt,y order by x)-g,0) dx, coalesce(lead(g) over (partition by image,bx,bt,x order by y)-g,0) dy from p), e as (select image,bx,bt,log2(sum(c))-sum(c*log2(c))/sum(c) h from (select image,bx,bt,least(floor(g*64),63) b,count(*) c from p group by 1,2,3,4) group by 1,2,3) select g.image as image, g.bx as bx, g.bt as by, round(least(1.0,avg(abs(dx)+abs(dy))),6) as edges, round(avg(g),6) as mean, round(var_pop(g),6) as variance, round(any_value(h),6) as entropy from g join e on g.image=e.image and g.bx=e.bx and g.bt=e.bt group by 1,2,3"),
     "i06_j26_psnr": (lambda s, d: r6(PX.psnr(pair(s, d)), "psnr"), f"select image, round(10*log10(1/avg((g-h)^2)),6) as psnr from {PAIRPX} group by 1"),
-    "i07_ssim": (lambda s, d: r6(PX.ssim(pair(s, d), 8, 8), "ssim"), None),
+    "i07_ssim": (lambda s, d: r6(PX.ssim(pair(s, d), 8, 8), "ssim"), f"with p as materialized {PAIRPX}, c as (select a.image, a.x, a.y, avg(b.g) g, avg(b.h) h, avg(b.g*b.g) gg, avg(b.h*b.h) hh, avg(b.g*b.h) gh from p a, range(-3,4) i(i), range(-3,4) j(j), p b where b.image=a.image and b.x=case when a.x+i<0 then -(a.x+i) when a.x+i>7 then 14-(a.x+i) else a.x+i end and b.y=case when a.y+j<0 then -(a.y+j) when a.y+j>7 then 14-(a.y+j) else a.y+j end group by 1,2,3) select image, round(avg(greatest(-1.0,least(1.0,((2*g*h+0.0001)*(2*(gh-g*h)+0.0009))/((g*g+h*h+0.0001)*(gg-g*g+hh-h*h+0.0009))))),6) as ssim from c group by 1"),
     "i08_difference": (lambda s, d: r6(PX.difference(pair(s, d)), "mean", "p95", "max"), f"select image, round(avg(abs(g-h)),6) as mean, round(quantile_cont(abs(g-h),0.95),6) as p95, round(max(abs(g-h)),6) as max from {PAIRPX} group by 1"),
     "i09_sobel": (
         lambda s, d: r6(PX.sobel(pixels(s, d)), "edge"),
@@ -150,8 +169,10 @@ QUERIES = {
     "a33_arm_aggregate": (lambda s, d: r6(arms(s, d), "time", "align", "cr"), f"select arm, cast(passed as bigint) as passed, round(time,6) as time, round(align,6) as align, round(cr,6) as cr from {ARMS}"),
     "a34_paired": (lambda s, d: r6(EX.paired(t(s, d, "orders").filter("o_orderkey % 2 = 0").select((F.col("o_orderkey") / 2).cast("long").alias("k"), "o_totalprice"), t(s, d, "orders").filter("o_orderkey % 2 = 1").select(((F.col("o_orderkey") - 1) / 2).cast("long").alias("k"), "o_totalprice"), "k", "o_totalprice"), "mean", "median"), "select count(*) filter (where d>0) as wins, count(*) filter (where d<0) as losses, count(*) filter (where d=0) as ties, round(avg(d),6) as mean, round(median(d),6) as median from (select a.o_totalprice-b.o_totalprice d from orders a join orders b on a.o_orderkey%2=0 and b.o_orderkey=a.o_orderkey+1)"),
     "a35_sign_test": (lambda s, d: r6(EX.sign_test(t(s, d, "nation").selectExpr("n_nationkey as wins", "n_regionkey * 3 as losses").withColumn("wins", F.col("wins").cast("long")).withColumn("losses", F.col("losses").cast("long"))), "p_one_sided", "p_two_sided"), "with x as (select distinct cast(n_nationkey as bigint) wins, cast(n_regionkey*3 as bigint) losses from nation), p as (select wins, losses, (select sum(exp(lgamma(wins+losses+1)-lgamma(i+1)-lgamma(wins+losses-i+1)-(wins+losses)*ln(2))) from range(0,60) r(i) where i<=wins+losses and i>=greatest(wins,losses)) p from x) select wins, losses, round(least(1.0,p),6) as p_one_sided, round(least(1.0,2*least(1.0,p)),6) as p_two_sided from p"),
-    "a36_cliffs_delta": (lambda s, d: r6(EX.cliffs_delta(t(s, d, "part").select("p_brand", "p_size"), "p_brand", "p_size", "Brand#11", "Brand#12") if t(s, d, "part").filter("p_brand = 'Brand#11'").limit(1).count() else EX.cliffs_delta(t(s, d, "orders").withColumn("q", F.floor(F.col("o_totalprice") / 1000)), "o_orderstatus", "q", "O", "F"), "delta"), None),
-    "a37_bootstrap": (lambda s, d: r6(EX.bootstrap_ci(t(s, d, "part").select("p_partkey", "p_size"), "p_size", 200), "low", "high"), None),
+    "a36_cliffs_delta": (lambda s, d: r6(EX.cliffs_delta(arm_sizes(s, d), "arm", "size", "O", "F"), "delta"), f"select cast(sum(sign(a.size-b.size)) as bigint) as net, count(*) as pairs, round(sum(sign(a.size-b.size))/count(*),6) as delta from {ARM_SIZES} a, {ARM_SIZES} b where a.arm='O' and b.arm='F'"),
+    "a36_sign": (lambda s, d: EX.signs(arm_sizes(s, d), "arm", "size", "O", "F"), f"select cast(sign(sum(sign(a.size-b.size))) as int) as sign, cast(sum(sign(a.size-b.size)) as bigint) as net, count(*) as pairs from {ARM_SIZES} a, {ARM_SIZES} b where a.arm='O' and b.arm='F'"),
+    "a37_bootstrap": (lambda s, d: r6(EX.bootstrap_ci(t(s, d, "part").select("p_partkey", "p_size"), "p_size"), "low", "high"), None),
+    "a37_bootstrap_by_arm": (lambda s, d: r6(EX.bootstrap(t(s, d, "supplier").withColumn("arm", F.col("s_nationkey") % 2), "arm", "s_suppkey", "s_acctbal"), "mean_low", "mean_high", "median_low", "median_high"), BOOTSTRAP),
     "a52_verdict": (lambda s, d: EX.ranked_arms(arms(s, d)).select("arm", "place"), f"select arm, cast(row_number() over (order by passed desc, align desc, abs(cr-1), time, arm) as int) as place from {ARMS}"),
     "a40_text_entropy": (
         lambda s, d: r6(t(s, d, "documents").select("doc_id", F.explode(F.split("text", "")).alias("ch")).filter("ch <> ''").groupBy("doc_id", "ch").agg(F.count("*").alias("c")).groupBy("doc_id").agg((F.log2(F.sum("c")) - F.sum(F.col("c") * F.log2("c")) / F.sum("c")).alias("h"), F.count("*").alias("k")).select("doc_id", F.least(F.lit(1.0), F.col("h") / F.log2(F.least(F.lit(256), F.greatest(F.lit(2), F.col("k"))))).alias("entropy")), "entropy"),
@@ -161,7 +182,8 @@ QUERIES = {
         lambda s, d: t(s, d, "documents").select("doc_id", F.size(F.split("text", "\n")).alias("n"), F.posexplode(F.split("text", "\n")).alias("i", "v")).groupBy("doc_id", F.floor(F.col("i") * 8 / F.col("n")).alias("row")).agg(F.count_if(F.col("v").rlike(r"\bthe\b")).alias("hits"), F.round(F.sum(F.least(F.lit(1.0), F.length("v") / 120)), 6).alias("mass")),
         "select doc_id, cast(floor(i*8/cast(n as double)) as bigint) as row, count(*) filter (where regexp_matches(v,'\\bthe\\b')) as hits, round(sum(least(1.0,length(v)/120.0)),6) as mass from (select doc_id, len(l) n, unnest(l) v, generate_subscripts(l,1)-1 i from (select doc_id, string_split(text,chr(10)) l from documents)) group by 1,2",
     ),
-    "p15_p17_tags": (tagged, None),
+    "p15_p17_tags": (tag_events, f"select key, kind, count(*) as n, count(distinct item) as items from (select key, kind, trim(unnest(case kind when 'pair' then [string_split(value,'->')[1], substr(value, instr(value,'->')+2)] when 'list' then string_split(value,',') else [value] end)) as item from (select key, value, case when json_valid(value) and regexp_matches(value, '^[\\[{{\"]') then 'json' when contains(value,'->') then 'pair' when contains(value,',') then 'list' else 'raw' end as kind from {TAG_ROWS})) where item <> '' group by 1,2"),
+    "p15_tags": (lambda s, d: tagged(s, d).groupBy("doc_id", "line", "key", "value").agg(F.count("*").alias("n")), f"select doc_id, line, key, value, count(*) as n from {TAG_ROWS} group by 1,2,3,4"),
     "p18_normalised_text": (lambda s, d: t(s, d, "documents").select("doc_id", F.length(X.normalised_text(F.replace("text", F.lit("\n"), F.lit(" \r\n")))).alias("n")), "select doc_id, length(regexp_replace(text,'[ \\t]+(\\n|$)','\\1','g')) as n from documents"),
     "p19_timestamps": (lambda s, d: t(s, d, "events").select("event_id", X.parsed_ts(F.when(F.col("event_id") % 3 == 0, "bad").otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))), F.lit("2000-01-01").cast("timestamp")).cast("timestamp_ntz").alias("at")), "select event_id, case when event_id%3=0 then timestamp '2000-01-01' else date_trunc('second', ts) end as at from events"),
 }

@@ -148,6 +148,14 @@ def finished(s, d):
     return counted(out.filter("end_ts IS NOT NULL"), "user_id")
 
 
+def violated(s, d):
+    """T4's violations: starts whose time has passed without an end."""
+    a = stream(s, d).filter("event_type = 'signup'").select("user_id", "ts")
+    b = stream(s, d).filter("event_type = 'purchase'").select("user_id", "ts")
+    out = T.run_once(T.unfinished(a, b, "user_id", "1 day"), shared(s))
+    return counted(out.filter("end_ts IS NULL"), "user_id")
+
+
 def streamed_history(s, d):
     path = f"{shared(s)}-history"
     T.to_history(stream(s, d), path, f"{path}-checkpoint").awaitTermination()
@@ -182,6 +190,7 @@ QUERIES = {
     "t01_ingest": (ingested, "select event_type as topic, count(*) as n, count(*) filter (where event_id % 10 <> 0) as dated, cast(sum(event_id) as bigint) as ids from events group by 1"),
     "t03_dead_letters": (routed, "select case when value > 10 and event_type <> 'view' then 'good' else 'bad' end as sink, count(*) as n, cast(sum(event_id) as bigint) as ids from events group by 1"),
     "t04_stream_finished": (finished, "select a.user_id, count(*) as n from events a join events b on a.user_id = b.user_id and b.ts > a.ts and b.ts <= a.ts + interval 1 day where a.event_type = 'signup' and b.event_type = 'purchase' group by 1"),
+    "t04_stream_violations": (violated, "with m as (select least(max(ts) filter (where event_type='signup'), max(ts) filter (where event_type='purchase')) - interval 10 minutes as mark from events) select a.user_id, count(*) as n from events a, m where a.event_type='signup' and a.ts + interval 1 day < m.mark and not exists (select 1 from events b where b.event_type='purchase' and b.user_id=a.user_id and b.ts > a.ts and b.ts <= a.ts + interval 1 day) group by 1"),
     "t12_stream_history": (streamed_history, "select strftime(ts, '%Y-%m-%d') as day, count(*) as n from events where ts >= timestamp '2024-01-10' group by 1"),
     "x03_row_keys": (row_keys, "select key, count(*) as n from (select unnest(['T:' || event_type, 'KIND:' || split_part(event_type, '_', 1), 'U:' || (user_id % 10)]) as key from events) group by 1"),
 }

@@ -43,7 +43,41 @@ def ewma(s, d):
     return out.select("event_type", "seq", F.round("ewma", 6).alias("ewma"))
 
 
+def late_rows(s, d):
+    """The later half of the events first, then the earlier one: what of it is older than
+    the watermark is dropped and counted."""
+    path, e = shared(s), batch(s, d).select("event_id", "ts")
+    ends = e.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+    middle = F.lit(ends["low"] + (ends["high"] - ends["low"]) / 2)
+    for part in (e.filter(F.col("ts") > middle), e.filter(F.col("ts") <= middle)):
+        part.write.mode("append").parquet(f"{path}-in")
+        rows = s.readStream.schema(e.schema).parquet(f"{path}-in")
+        out = T.run_counted(T.deduplicated(rows, ["event_id"], "10 days"), path)
+    return out
+
+
+def measured_stream(s, d):
+    """T6 over the closed windows: those that end before the watermark."""
+    out = T.run_once(T.throughput(measured(stream(s, d)), "1 day"), shared(s))
+    return flat(out.select("start", "topic", "n", "rejects", F.col("p95")), "start")
+
+
+def spots(s, d):
+    out = T.run_once(T.hot_spots(stream(s, d).withColumnRenamed("event_type", "topic"), "3 days", "1 day", "0 seconds"), shared(s))
+    return flat(out, "start")
+
+
+def runs(s, d):
+    return flat(T.run_once(T.sessions(stream(s, d), "user_id", "2 hours"), shared(s)), "start", "end")
+
+
+SESSIONS = "(select user_id, min(ts) as start, max(ts) + interval 2 hours as end, count(*) as n from (select *, sum(nw) over (partition by user_id order by ts, event_id rows unbounded preceding) g from (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) <= interval 2 hours then 0 else 1 end nw from events)) group by user_id, g)"
+
 QUERIES = {
+    "t06_stream_throughput": (measured_stream, "select start, topic, n, rejects, p95 from (select date_trunc('day', ts) as start, event_type as topic, count(*) as n, count(*) filter (where value>90) as rejects, quantile_disc(value, 0.95) as p95 from events group by 1,2) where start + interval 1 day <= (select max(ts) from events) - interval 10 minutes"),
+    "t07_stream_hot_spots": (spots, "select * from (select date_trunc('day', ts) - to_days(cast(k as int)) as start, event_type as topic, count(*) as n from events, range(0,3) r(k) group by 1,2) where start + interval 3 days <= (select max(ts) from events)"),
+    "t08_stream_sessions": (runs, f'select * from {SESSIONS} where "end" <= (select max(ts) from events) - interval 10 minutes'),
+    "t11_late_rows": (late_rows, "with m as (select min(ts) + (max(ts)-min(ts))/2 as middle, max(ts) - interval 10 days as mark from events) select count(*) filter (where ts > middle or ts >= mark) as kept, count(*) filter (where ts <= middle and ts < mark) as late from events, m"),
     "t02_stream_dedup": (lambda s, d: T.run_once(T.deduplicated(stream(s, d).select("event_id", "ts", "event_type"), ["event_id"]), shared(s)).groupBy("event_type").agg(F.count("*").alias("n")), "select event_type, count(distinct event_id) as n from events group by 1"),
     "t05_stream_clean_runs": (clean, "select user_id, count(*) as n from (select *, lag(event_type) over (partition by user_id order by ts, event_type) p from events where event_type in ('signup','purchase','error')) where event_type='purchase' and p='signup' group by 1"),
     "t06_throughput": (lambda s, d: flat(T.throughput(measured(batch(s, d)), "1 day"), "start").drop("p95"), "select date_trunc('day', ts) as start, event_type as topic, count(*) as n, count(*) filter (where value>90) as rejects from events group by 1,2"),

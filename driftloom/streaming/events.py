@@ -160,3 +160,13 @@ def run_once(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what there is and returns what it wrote."""
     stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def run_counted(stream: DataFrame, path: str) -> DataFrame:
+    """Runs a stream over what there is and returns, in one row, how many rows it wrote
+    this time and how many came too late for the watermark."""
+    query = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    late = sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+    kept = stream.sparkSession.read.schema(stream.schema).parquet(path).agg(F.count("*").alias("kept"))
+    return kept.select("kept", F.lit(late).cast("long").alias("late"))
