@@ -3,10 +3,14 @@
 Filter directions form a structured random product code: the coordinates are cut into
 blocks, each block has a small random code of unit vectors, and every choice of one code
 word per block is a direction. A vector belongs to all directions whose inner product
-exceeds ``CAP`` (and at least to its LEAST best, by a lower cap); list decoding finds
+exceeds a cap (and at least to its LEAST best, by a lower cap); list decoding finds
 them block by block and drops a partial choice as soon as the best rest can't lift it
 over the cap. Vectors that share a direction are compared by exact cosine.
 
+The number of directions grows with the number of vectors of a label, and the cap with it,
+so that a vector has about ``DIRECTIONS`` of them and is compared with about ``COMPARED``
+others however many there are: the work grows in proportion to the vectors.
+
 Equal vectors of a label are one class with a count. A filter with many classes is cut
 into chunks that meet pairwise; a unit hands on a sum of links and a root for each class,
 never its pairs. A pair that shares several directions counts in the smallest of them.
@@ -14,12 +18,16 @@ never its pairs. A pair that shares several directions counts in the smallest of
 Results for special cases: vectors that are null, empty, zero or hold null or non-finite
 components, rows with a null label and rows with a null vec_id link with nothing (a null
 vec_id has a null component); repeated rows are vectors of their own and link with each
-other; vectors of different length link with nothing; further columns are ignored.
+other; vectors of different length link with nothing; further columns are ignored; an
+empty table gives an empty result; a component is named by its smallest vec_id, so ties
+don't matter. Components of any finite size are scaled before they are squared.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +36,30 @@ from pyspark.sql import functions as F
 
 from driftloom.llm.common import bucket_pairs, components, runs_of, saved, union_roots
 
-COSINE, BLOCKS, CODE, CAP, SEED, UNIT_ROWS = 0.93, 2, 128, 0.38, 11, 2048
+COSINE, SEED, UNIT_ROWS = 0.93, 11, 2048
+#: Directions of a vector and vectors it is compared with, on average; code words of a
+#: block, at least and at most (a third block comes beyond).
+DIRECTIONS, COMPARED, CODE, CODE_MOST = 20, 1000, 128, 1024
 #: Directions that every vector has at least, and by how much its cap is lowered for it.
 LEAST, STEP = 16, 0.02
 
 
-def product_code(dim: int, blocks: int = BLOCKS, code: int = CODE, seed: int = SEED) -> list[tuple[slice, np.ndarray]]:
+def code_for(n: int, dim: int) -> tuple[int, int, float]:
+    """Blocks, code words of a block, and cap for n vectors that may link. Of n vectors,
+    n * DIRECTIONS / t are in one of t directions, so COMPARED asks for this t; the inner
+    product of a vector with a random direction is nearly normal, with variance 1 / dim."""
+    wanted = n * DIRECTIONS**2 / COMPARED
+    blocks = 2 if wanted <= CODE_MOST**2 else 3
+    code = max(CODE if blocks == 2 else 1, math.ceil(wanted ** (1 / blocks)))
+    return blocks, code, NormalDist().inv_cdf(1 - DIRECTIONS / code**blocks) / math.sqrt(dim)
+
+
+def units(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # large components would overflow
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def product_code(dim: int, blocks: int = 2, code: int = CODE, seed: int = SEED) -> list[tuple[slice, np.ndarray]]:
     """Coordinates and code words (rows of length 1/sqrt(blocks)) of each block."""
     rng, edges, out = np.random.default_rng(seed), np.linspace(0, dim, blocks + 1).astype(int), []
     for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -55,7 +81,7 @@ def above_cap(unit: np.ndarray, code: list[tuple[slice, np.ndarray]], cap: float
     return row, direction
 
 
-def list_decode(unit: np.ndarray, code: list[tuple[slice, np.ndarray]], cap: float = CAP, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+def list_decode(unit: np.ndarray, code: list[tuple[slice, np.ndarray]], cap: float, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """(vector, direction) for all directions above the cap, sorted. For a vector with
     fewer than ``least`` of them the cap is lowered step by step until it has as many."""
     left, rows, directions = np.arange(len(unit)), [], []
@@ -72,27 +98,31 @@ def list_decode(unit: np.ndarray, code: list[tuple[slice, np.ndarray]], cap: flo
     return row[order], direction[order]
 
 
-def _filters(classes: DataFrame) -> DataFrame:
-    """``class, label, n, embedding, filters``: directions of each class, as short numbers."""
+def _filters(classes: DataFrame, n: int) -> DataFrame:
+    """``class, label, n, embedding, filters``: directions of each class. ``n``: classes of
+    the largest label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: dict[int, list] = {}
+        codes: dict[int, tuple] = {}
         for batch in batches:
             rows = batch.column("embedding").to_pylist()
             found: list[list[int]] = [[] for _ in rows]
             for dim in {len(v) for v in rows}:
                 at = [k for k, v in enumerate(rows) if len(v) == dim]
-                x = np.array([rows[k] for k in at], np.float64)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                code = codes.setdefault(dim, product_code(dim, min(BLOCKS, dim)))
-                row, direction = list_decode(x, code)
+                if dim not in codes:
+                    blocks, words, cap = code_for(n, dim)
+                    codes[dim] = product_code(dim, min(blocks, dim), words), cap
+                x = units(np.array([rows[k] for k in at], np.float64))
+                parts = [list_decode(x[k : k + 256], *codes[dim]) for k in range(0, len(x), 256)]
+                row = np.concatenate([r + 256 * k for k, (r, _) in enumerate(parts)])
+                direction = np.concatenate([d for _, d in parts])
                 edges = np.searchsorted(row, np.arange(len(at) + 1))
                 for k, a, b in zip(at, edges[:-1], edges[1:], strict=True):
                     found[k] = direction[a:b].tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int16()))], names=[*batch.schema.names, "filters"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], names=[*batch.schema.names, "filters"])
 
     kind = classes.schema["embedding"].dataType.simpleString()
-    return classes.mapInArrow(run, f"class string, label long, n long, embedding {kind}, filters array<smallint>")
+    return classes.mapInArrow(run, f"class string, label long, n long, embedding {kind}, filters array<int>")
 
 
 def _unit_links(rows: dict, first: int) -> pa.RecordBatch | None:
@@ -109,7 +139,7 @@ def _unit_links(rows: dict, first: int) -> pa.RecordBatch | None:
                 got = _unit_links({k: part.column(k).combine_chunks() for k in part.column_names}, first)
                 parts += [got] if got else []
         return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if parts else None
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = units(x)
     lists = rows["filters"]
     width = lists.value_lengths().to_numpy()
     member = np.full((len(x), width.max()), -1, np.int64)
@@ -151,7 +181,8 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     rows = rows.withColumn("class", F.when(F.col("usable"), F.md5("as_text"))).drop("as_text")
     classes = rows.filter("usable").groupBy("class").agg(F.first("label").alias("label"), F.count("*").alias("n"), F.min("vec_id").alias("low"), F.first("embedding").alias("embedding"))
     classes = saved(classes)
-    filtered = saved(_filters(classes.select("class", "label", "n", "embedding")))
+    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
+    filtered = saved(_filters(classes.select("class", "label", "n", "embedding"), largest))
     dealt = filtered.select("*", F.explode("filters").alias("direction"))
     dealt = dealt.withColumn("key", F.concat_ws("/", "label", "direction"))
     dealt = bucket_pairs(dealt, "key", F.col("class"), UNIT_ROWS)

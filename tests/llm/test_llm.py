@@ -632,6 +632,35 @@ def test_embedding_links_against_brute_force(spark):
     assert got[9000]["component_id"] == got[0]["component_id"]
 
 
+@pytest.mark.parametrize("n", [10_000, 1_000_000, 20_000_000])
+def test_recall_of_filters_at_the_threshold(n):
+    """Codes for more vectors compare a smaller share of random pairs and lose no links."""
+    rng = np.random.default_rng(7)
+    blocks, words, cap = embed.code_for(n, 64)
+    code = embed.product_code(64, blocks, words)
+    x = embed.units(rng.standard_normal((600, 64)))
+    away = rng.standard_normal(x.shape)
+    away = embed.units(away - (away * x).sum(axis=1, keepdims=True) * x)
+    y = 0.93 * x + math.sqrt(1 - 0.93**2) * away
+    sets = []
+    for v in (x, y):
+        of = [set() for _ in v]
+        for at in range(0, len(v), 100):
+            for r, d in zip(*embed.list_decode(v[at : at + 100], code, cap), strict=True):
+                of[at + r].add(d)
+        sets.append(of)
+    assert np.mean([bool(a & b) for a, b in zip(*sets, strict=True)]) >= 0.97
+    share = np.mean([bool(sets[0][k] & sets[1][k - 1 - j]) for k in range(600) for j in range(300)])
+    assert share * n < 40 * embed.COMPARED
+
+
+def test_vectors_of_any_size_link(spark):
+    v = [3.0, -1.0, 2.0]
+    rows = [(k, [float(f) * s for f in v], 1) for k, s in enumerate((1.0, 1e200, 1e-200, 1e308 / 4))]
+    got = embed.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert all(r["n_links"] == 3 and r["component_id"] == 0 for r in got)
+
+
 def test_chunks_lose_no_link(spark, monkeypatch):
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
     dense = df.selectExpr("vec_id", "label % 2 as label", "transform(embedding, (x, i) -> cast(x * 0.02 + i % 3 as float)) as embedding")
