@@ -158,25 +158,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 
     ``edges``: pairs of comparable ids. Returns ``node, root`` for every node with an
-    edge, ``root`` the smallest id reachable. Each round is two shuffles of the edges
-    and one checkpoint; the number of rounds grows with the logarithm of the longest
-    path. The driver sees two counts a round, never edges.
+    edge, ``root`` the smallest id reachable. Each round joins the edges twice with the
+    smallest neighbour of each node and keeps them in a checkpoint; the number of rounds
+    grows with the logarithm of the longest path. The neighbours are stored first: a few
+    are broadcast then, and of many the join can deal a node with very many edges to
+    several tasks. The driver sees two counts a round, never edges.
     """
     edges = saved(edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).filter("hi <> lo").distinct())
     before = None
     while True:
         # large star: every larger neighbour of a node moves to the node's smallest neighbour
-        both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
-            edges.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
-        )
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-        large = large.unionByName(low.filter("m < u").select(F.col("u").alias("hi"), F.col("m").alias("lo"))).distinct()
+        low = stored(edges.groupBy("hi").agg(F.min("lo").alias("m")))
+        large = edges.join(low.withColumnRenamed("hi", "_u"), F.col("lo") == F.col("_u"), "left").select("hi", F.coalesce("m", "lo").alias("lo"))
+        large = stored(large.unionByName(low.select("hi", F.col("m").alias("lo"))).distinct())
         # small star: a node's smaller neighbours, and the node, move to the smallest of them
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        low = stored(large.groupBy("hi").agg(F.min("lo").alias("m")))
         small = large.join(low, "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        small = small.unionByName(low.select("hi", F.col("m").alias("lo"))).distinct()
-        edges = saved(small)
+        edges = saved(small.unionByName(low.select("hi", F.col("m").alias("lo"))).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(

@@ -180,9 +180,12 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     rows = vectors.select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").cast(kind).alias("embedding"), usable.alias("usable"), as_text.alias("as_text"))
     rows = rows.withColumn("class", F.when(F.col("usable"), F.md5("as_text"))).drop("as_text")
     classes = rows.filter("usable").groupBy("class").agg(F.first("label").alias("label"), F.count("*").alias("n"), F.min("vec_id").alias("low"), F.first("embedding").alias("embedding"))
-    classes = saved(classes)
+    # a node's name begins with its smallest vec_id, so that a component's root tells it
+    half = F.lit(str(1 << 63)).cast("decimal(20,0)")
+    node = F.concat(F.lpad((F.col("low").cast("decimal(20,0)") + half).cast("string"), 20, "0"), "class")
+    classes = saved(classes.withColumn("node", node))
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
-    filtered = saved(_filters(classes.select("class", "label", "n", "embedding"), largest))
+    filtered = saved(_filters(classes.select(F.col("node").alias("class"), "label", "n", "embedding"), largest))
     dealt = filtered.select("*", F.explode("filters").alias("direction"))
     dealt = dealt.withColumn("key", F.concat_ws("/", "label", "direction"))
     dealt = bucket_pairs(dealt, "key", F.col("class"), UNIT_ROWS)
@@ -196,12 +199,11 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
                 yield out
 
     links = saved(dealt.mapInArrow(run, "a string, b string, links long"))
-    counts = links.groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
-    roots = components(links).withColumnRenamed("node", "class")
-    member = classes.select("class", "n", "low").join(counts, "class", "left").join(roots, "class", "left")
-    member = member.withColumn("root", F.coalesce("root", "class"))
-    low = member.groupBy("root").agg(F.min("low").alias("component_id"))
-    member = member.join(low, "root").select("class", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    counts = links.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    member = classes.select("class", "node", "n").join(counts, "node", "left").join(components(links), "node", "left")
+    root = F.substring(F.coalesce("root", "node"), 1, 20)
+    low = (root.cast("decimal(20,0)") - half).cast("long")
+    member = member.select("class", low.alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     one = F.coalesce(F.col("class"), F.concat(F.lit("-"), F.xxhash64("vec_id").cast("string")))
     out = rows.select("vec_id", one.alias("class")).join(member, "class", "left")
     component = F.coalesce("component_id", "vec_id")
