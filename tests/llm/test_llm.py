@@ -87,6 +87,47 @@ def test_host_priors_are_smoothed_counts(spark):
     assert rows["h"][0] > rows["g"][0] > rows["g"][1] > rows["g"][2]
 
 
+def slow_language(model, rows):
+    """(language, posterior) of rows (text, declared, host, suffix) by plain loops."""
+    names, n = model.languages, len(model.languages)
+    scored = [model.scores(t or "") for t, *_ in rows]
+    hosts, suffixes, total = {}, {}, [0] * n
+    for ll, (_, _, host, suffix) in zip(scored, rows, strict=True):
+        best = max(ll or [0.0])
+        counts = [hosts.setdefault((host or "", suffix or ""), [0] * n), suffixes.setdefault(suffix or "", [0] * n), total]
+        if sum(x > best - 2.0 for x in ll or [0.0] * n) == 1:
+            for c in counts:
+                c[ll.index(best)] += 1
+    start = [langid.UND_SHARE if x == langid.UND else (1 - langid.UND_SHARE) / (n - 1) for x in names]
+    whole = [(c + langid.ALL_PRIOR * p) / (sum(total) + langid.ALL_PRIOR) for c, p in zip(total, start, strict=True)]
+    smooth = lambda c, weight, prior: [(x + weight * p) / (sum(c) + weight) for x, p in zip(c, prior, strict=True)]
+    out = []
+    for ll, (_, said, host, suffix) in zip(scored, rows, strict=True):
+        prior = smooth(hosts[host or "", suffix or ""], langid.HOST_PRIOR, smooth(suffixes[suffix or ""], langid.SUFFIX_PRIOR, whole))
+        choices = list(zip(names, ll or [0.0] * n, prior, strict=True))
+        if said and said not in names:
+            choices.append((said, choices[-1][1], prior[-1]))
+        wrong = (1 - langid.DECLARED_TRUST) / max(1, len(choices) - 1)
+        logs = [x + math.log(p) + (math.log(langid.DECLARED_TRUST if name == said else wrong) if said else 0.0) for name, x, p in choices]
+        share = sum(math.exp(x - max(logs)) for x in logs)
+        out.append((choices[logs.index(max(logs))][0] if ll else langid.UND, 1 / share))
+    return out
+
+
+def test_posterior_against_plain_loops(spark, docs, odd):
+    from pyspark.sql import functions as F
+
+    some = docs.select("doc_id", "text", F.when(F.col("doc_id") % 3 > 0, F.col("lang")).alias("lang"), "source", F.concat(F.lit("x"), F.col("doc_id") % 2).alias("suffix"))
+    some = some.unionByName(odd.select((F.col("doc_id") + 10_000).alias("doc_id"), "text", F.lit("xx").alias("lang"), "source", F.lit(None).cast("string").alias("suffix")))
+    some = some.withColumn("row", F.monotonically_increasing_id()).cache()
+    model = langid.fit(some.select("text", F.col("lang").alias("declared")))
+    got = {r["row"]: r for r in langid.identify(some, "lang", "source", "suffix").collect()}
+    rows = some.collect()
+    for r, (language, posterior) in zip(rows, slow_language(model, [(r["text"], r["lang"], r["source"], r["suffix"]) for r in rows]), strict=True):
+        assert got[r["row"]]["language"] == language and abs(got[r["row"]]["posterior"] - posterior) < 2e-6
+        assert got[r["row"]]["accepted"] == (language != "und" and round(posterior, 6) >= langid.MIN_POSTERIOR)
+
+
 def test_pages_declare_suffix_and_host(spark):
     got = langid.identify_pages(spark.read.parquet(f"{SF}/pages.parquet")).collect()
     assert sum(r["language"] == r["declared"] for r in got) / len(got) > 0.9
