@@ -34,13 +34,13 @@ def measured(df):
 
 def clean(s, d):
     e = stream(s, d).select("user_id", F.col("event_type").alias("kind"), F.unix_micros("ts").alias("at"))
-    return T.run_once(T.clean_runs(e, "user_id", "signup", "purchase", "error"), shared(s)).groupBy("user_id").agg(F.count("*").alias("n"))
+    return T.clean_runs(e, shared(s), "user_id", "signup", "purchase", "error").groupBy("user_id").agg(F.count("*").alias("n"))
 
 
 def ewma(s, d):
-    e = stream(s, d).select("event_type", F.col("event_id").alias("seq"), "value")
-    out = T.run_once(T.ewma_stream(e, "event_type"), shared(s))
-    return out.select("event_type", "seq", F.round("ewma", 6).alias("ewma"))
+    e = stream(s, d).select("user_id", F.col("event_id").alias("seq"), "value")
+    out = T.ewma_stream(e, shared(s), "user_id")
+    return out.select("user_id", "seq", F.round("ewma", 6).alias("ewma"))
 
 
 def late_rows(s, d):
@@ -79,10 +79,10 @@ QUERIES = {
     "t08_stream_sessions": (runs, f'select * from {SESSIONS} where "end" <= (select max(ts) from events) - interval 10 minutes'),
     "t11_late_rows": (late_rows, "with m as (select min(ts) + (max(ts)-min(ts))/2 as middle, max(ts) - interval 10 days as mark from events) select count(*) filter (where ts > middle or ts >= mark) as kept, count(*) filter (where ts <= middle and ts < mark) as late from events, m"),
     "t02_stream_dedup": (lambda s, d: T.run_once(T.deduplicated(stream(s, d).select("event_id", "ts", "event_type"), ["event_id"]), shared(s)).groupBy("event_type").agg(F.count("*").alias("n")), "select event_type, count(distinct event_id) as n from events group by 1"),
-    "t05_stream_clean_runs": (clean, "select user_id, count(*) as n from (select *, lag(event_type) over (partition by user_id order by ts, event_type) p from events where event_type in ('signup','purchase','error')) where event_type='purchase' and p='signup' group by 1"),
+    "t05_stream_clean_runs": (clean, "select user_id, count(*) as n from (select *, lag(event_type) over (partition by user_id order by ts, case event_type when 'error' then 0 when 'signup' then 1 else 2 end) p from events where event_type in ('signup','purchase','error')) where event_type='purchase' and p='signup' group by 1"),
     "t06_throughput": (lambda s, d: flat(T.throughput(measured(batch(s, d)), "1 day"), "start").drop("p95"), "select date_trunc('day', ts) as start, event_type as topic, count(*) as n, count(*) filter (where value>90) as rejects from events group by 1,2"),
     "t07_hot_spots": (lambda s, d: flat(T.hot_spots(batch(s, d).withColumnRenamed("event_type", "topic"), "3 days", "1 day"), "start"), "select date_trunc('day', ts) - to_days(cast(k as int)) as start, event_type as topic, count(*) as n from events, range(0,3) r(k) group by 1,2"),
     "t08_sessions": (lambda s, d: flat(T.sessions(batch(s, d), "user_id", "2 hours"), "start", "end"), "select user_id, min(ts) as start, max(ts) + interval 2 hours as end, count(*) as n from (select *, sum(nw) over (partition by user_id order by ts, event_id rows unbounded preceding) g from (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) <= interval 2 hours then 0 else 1 end nw from events)) group by user_id, g"),
-    "t09_stream_ewma": (ewma, None),
+    "t09_stream_ewma": (ewma, "select user_id, event_id as seq, round(list_reduce(list(value) over (partition by user_id order by event_id rows between 119 preceding and current row), lambda m, v: 0.15*v+0.85*m),6) as ewma from events"),
     "t10_replay": (lambda s, d: T.replay(batch(s, d), "2024-01-15").groupBy("event_type").agg(F.count("*").alias("n")), "select event_type, count(*) as n from events where ts >= timestamp '2024-01-15' group by 1"),
 }

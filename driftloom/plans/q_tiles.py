@@ -91,8 +91,8 @@ def preset(s, d):
 
 
 def thresholds(s, d):
-    e = stream(s, d).select("event_type", F.col("event_id").alias("seq"), "value")
-    return r6(T.run_once(T.threshold_stream(e, "event_type"), shared(s)), "alpha", "beta", "z", "frozen")
+    e = stream(s, d).select("user_id", F.col("event_id").alias("seq"), "value")
+    return r6(T.threshold_stream(e, shared(s), "user_id"), "alpha", "beta", "z", "frozen")
 
 
 CELLS = f'(select image, y as "row", x as col, g as edge from {PIXELS})'
@@ -160,8 +160,8 @@ QUERIES = {
     "g13_preset_window": (preset, f"with recursive u as (select src, dst from {NATION_EDGES} union select dst, src from {NATION_EDGES}), b as (select n_nationkey lens, n_nationkey id, 0 dist from nation where n_nationkey%5=0 union select b.lens, u.dst, b.dist+1 from b join u on b.id=u.src where b.dist<2) select lens, id, min(dist) as dist from b group by 1,2"),
     "t09_stream_thresholds": (
         thresholds,
-        """with a as (select event_type, event_id, value, avg(value) over w m, quantile_cont(value,0.9) over v alpha, quantile_cont(value,0.95) over v beta, quantile_cont(value,0.99) over v z from events window w as (partition by event_type order by event_id), v as (partition by event_type order by event_id rows between 89 preceding and current row)),
- c as (select *, sum(value-m-1) over (partition by event_type order by event_id) c from a), p as (select *, c-min(c) over (partition by event_type order by event_id) > 50 as drift from c), f as (select *, bool_or(drift) over (partition by event_type order by event_id rows between 20 preceding and current row) held from p)
- select event_type, event_id as seq, round(alpha,6) as alpha, round(beta,6) as beta, round(z,6) as z, drift, round(last_value(case when not held then alpha end ignore nulls) over (partition by event_type order by event_id rows unbounded preceding),6) as frozen from f""",
+        """with a as (select user_id, event_id, value, avg(value) over w m, quantile_cont(value,0.9) over v alpha, quantile_cont(value,0.95) over v beta, quantile_cont(value,0.99) over v z from events window w as (partition by user_id order by event_id), v as (partition by user_id order by event_id rows between 89 preceding and current row)),
+ c as (select *, sum(value-m-1) over (partition by user_id order by event_id) c from a), p as (select *, c-min(c) over (partition by user_id order by event_id) > 50 as drift from c), f as (select *, bool_or(drift) over (partition by user_id order by event_id rows between 20 preceding and current row) held from p)
+ select user_id, event_id as seq, round(alpha,6) as alpha, round(beta,6) as beta, round(z,6) as z, drift, round(last_value(case when not held then alpha end ignore nulls) over (partition by user_id order by event_id rows unbounded preceding),6) as frozen from f""",
     ),
 }
