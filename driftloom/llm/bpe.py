@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from driftloom.llm.common import over_texts, texts_of
+from driftloom.llm.common import KEPT, over_texts, texts_of
 
 # Unicode white space, and how the tokenizer file cuts words.
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -35,9 +35,9 @@ WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 #: str.split() also cuts at these four, which are no white space here.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
 #: Words kept in each of two generations, and pairs; fewer take less memory, more CPU.
-CACHED_CHARS, CACHE_WORDS, CACHE_PAIRS = 40, 350_000, 500_000
+CACHED_CHARS, CACHE_WORDS, CACHE_PAIRS = 40, 250_000, 500_000
 #: Texts are taken together up to so many characters (or one text, if it is longer).
-TOGETHER_CHARS = 1 << 21
+TOGETHER_CHARS = 1 << 20
 #: Words of more bytes are encoded alone; of the others, so many in one step at most.
 LONG_WORD, WORDS_TOGETHER = 64, 1 << 15
 #: Letters before this one are the same in all versions of Unicode.
@@ -98,8 +98,8 @@ class WordBpe:
     512 + k, so that a smaller number always means an earlier merge.
     """
 
-    def __init__(self, content: str, cache_words: int = CACHE_WORDS):
-        self.cache_words = cache_words
+    def __init__(self, content: str, cache_words: int = CACHE_WORDS, together: int = TOGETHER_CHARS):
+        self.cache_words, self.together = cache_words, together
         spec = json.loads(content)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         suffix = spec["model"]["end_of_word_suffix"]
@@ -356,7 +356,7 @@ class WordBpe:
         start, chars = 0, 0
         for k, text in enumerate(texts):
             chars += len(text)
-            if chars >= TOGETHER_CHARS or k + 1 == len(texts):
+            if chars >= self.together or k + 1 == len(texts):
                 out += self._some(texts[start : k + 1])
                 start, chars = k + 1, 0
         if len(texts) == len(every):
@@ -394,23 +394,21 @@ class WordBpe:
         return self.decode_utf8(ids)[0].decode()
 
 
-def loader(df: DataFrame, vocabulary: str, cache_words: int = CACHE_WORDS):
+def loader(df: DataFrame, vocabulary: str, cache_words: int = CACHE_WORDS, together: int = TOGETHER_CHARS):
     """A function that makes the coder in a task. The vocabulary file (a few MB, fixed
     size) goes to the executors as a broadcast of its text."""
     with open(vocabulary, encoding="utf-8") as f:
         sent = df.sparkSession.sparkContext.broadcast(f.read())
-    return lambda: coder_of(sent.value, cache_words)
+    return lambda: coder_of(sent.value, cache_words, together)
 
 
-_CODER: list[tuple[int, WordBpe]] = []
-
-
-def coder_of(content: str, cache_words: int = CACHE_WORDS) -> WordBpe:
+def coder_of(content: str, cache_words: int = CACHE_WORDS, together: int = TOGETHER_CHARS) -> WordBpe:
     """One coder for each worker process, kept between its tasks."""
-    key = hash((content, cache_words))
-    if not _CODER or _CODER[0][0] != key:
-        _CODER[:] = [(key, WordBpe(content, cache_words))]
-    return _CODER[0][1]
+    key = hash((content, cache_words, together))
+    if key not in KEPT:
+        KEPT.clear()
+        KEPT[key] = WordBpe(content, cache_words, together)
+    return KEPT[key]
 
 
 def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -436,7 +434,7 @@ def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
 
         return work
 
-    return over_texts(docs.select("doc_id", "text"), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_chars_decoded long")
+    return over_texts(docs.select("doc_id", "text"), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_chars_decoded long", keeps=True)
 
 
 def token_ids(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -452,4 +450,4 @@ def token_ids(docs: DataFrame, vocabulary: str) -> DataFrame:
 
         return work
 
-    return over_texts(docs.select("doc_id", "text"), make, "doc_id long, ids array<int>")
+    return over_texts(docs.select("doc_id", "text"), make, "doc_id long, ids array<int>", keeps=True)

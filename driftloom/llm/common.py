@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 
 #: Rows of an Arrow batch that are worked on at a time.
-PART_ROWS = 1024
+PART_ROWS = 256
+#: What a worker process keeps between its tasks; one operator's at a time.
+KEPT: dict = {}
 
 
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,20 +61,31 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def over_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
+def over_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, keeps: bool = False) -> DataFrame:
     """``mapInArrow`` with a per-task set-up: ``make()`` runs once in each task and
     returns the function applied to every batch, in parts of ``PART_ROWS`` rows, so that
-    a task holds the results of few texts at a time."""
+    a task holds the results of few texts at a time. Unless it ``keeps`` something itself,
+    the task drops what others' tasks have left in the worker process."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            KEPT.clear()
         work = make()
         for batch in batches:
             for at in range(0, batch.num_rows, PART_ROWS):
                 yield work(batch.slice(at, PART_ROWS))
+        batch = None
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """At a task's end: the worker process waits for the next task, and should not hold
+    Arrow's unused memory meanwhile."""
+    pa.default_memory_pool().release_unused()
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """Whole texts, null as empty."""
     return [t or "" for t in batch.column(column).to_pylist()]

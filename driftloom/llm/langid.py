@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from driftloom.llm.common import packed, saved, stored, texts_of, unpacked
+from driftloom.llm.common import KEPT, give_back, packed, saved, stored, texts_of, unpacked
 
 SAMPLE_ROWS, SAMPLE_CHARS, MIN_ROWS, BINS, SMOOTH = 2000, 20_000, 5, 1 << 14, 0.5
 #: A text of n trigrams counts as TEMPER * sqrt(n) of them.
@@ -118,11 +118,14 @@ def _with_text(rows: DataFrame, model: Model) -> DataFrame:
     schema = T.StructType([*rows.schema.fields, T.StructField("_ll", T.ArrayType(T.DoubleType())), T.StructField("_letters", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        KEPT.clear()
         own = Model(*sent.value)
         for batch in batches:
             scores = [own.scores(t) for t in texts_of(batch)]
             ll, letters = pa.array([x or [0.0] * len(own.languages) for x in scores], pa.list_(pa.float64())), pa.array([x is not None for x in scores], pa.bool_())
             yield pa.RecordBatch.from_arrays([*batch.columns, ll, letters], names=[*batch.schema.names, "_ll", "_letters"])
+        batch = ll = letters = None
+        give_back()
 
     return rows.mapInArrow(run, schema)
 
