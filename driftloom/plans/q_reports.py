@@ -33,19 +33,20 @@ def kind(*names):
     return F.col("event_type").isin(*names)
 
 
-PARTS = {
-    "delta_coverage": (kind("click", "purchase"), F.lit(True)),
-    "validator_reject_rate": (F.col("value") > 90, ~kind("view")),
-    "plan_pass_rate": (kind("purchase"), kind("purchase", "error")),
-    "false_positive_rate": (F.col("value") < 50, kind("error")),
-    "scan_coverage": (kind("view"), kind("view", "click")),
-}
+def parts():
+    return {
+        "delta_coverage": (kind("click", "purchase"), F.lit(True)),
+        "validator_reject_rate": (F.col("value") > 90, ~kind("view")),
+        "plan_pass_rate": (kind("purchase"), kind("purchase", "error")),
+        "false_positive_rate": (F.col("value") < 50, kind("error")),
+        "scan_coverage": (kind("view"), kind("view", "click")),
+    }
 
 
 def operational(s, d):
     e = events(s, d).withColumn("week", F.date_trunc("week", "ts"))
     gain = e.groupBy("week").agg(X.safe_div(F.avg(F.when(kind("purchase"), F.col("value"))), F.avg(F.when(kind("click"), F.col("value")))).alias("quality_gain"))
-    return plain_ts(rounded(R.ratios(e, ["week"], PARTS).join(gain, "week")))
+    return plain_ts(rounded(R.ratios(e, ["week"], parts()).join(gain, "week")))
 
 
 def repaired(s, d):

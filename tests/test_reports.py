@@ -119,3 +119,13 @@ def test_clean_runs_over_batches(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [("u", 1, 5), ("w", 2, 51), ("x", 50, 52)]
     got = in_batches(spark, tmp_path / "b", parts, "key string, kind string, at long", run(10))
     assert sorted(map(tuple, got.collect())) == [("u", 1, 5), ("x", 50, 52)]
+
+
+def test_the_entry_needs_no_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 100 and set(o) <= set(q)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, check=False).returncode == 0
