@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from driftloom.operators.graph import checkpointed
+
 
 def paired(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     """Wins, losses, ties, mean and median difference of two arms by task."""
@@ -29,32 +33,59 @@ def sign_test(counts: DataFrame) -> DataFrame:
     return j.groupBy("wins", "losses").agg(F.least(F.lit(1.0), p).alias("p_one_sided")).withColumn("p_two_sided", F.least(F.lit(1.0), 2 * F.col("p_one_sided")))
 
 
+def with_sum_below(rows: DataFrame, by: str, amount: str) -> DataFrame:
+    """``rows`` with ``_below``, the sum of ``amount`` over the rows before in order of
+    ``by``, whose values are distinct. Rows are dealt by ranges; the driver sees one sum a range."""
+    dealt = checkpointed(rows.repartitionByRange(by).withColumn("_part", F.spark_partition_id()))
+    sums = dealt.groupBy("_part").agg(F.sum(amount).alias("s")).orderBy("_part").collect()
+    starts, total = [F.lit(-1), F.lit(0)], 0
+    for r in sums:
+        starts += [F.lit(r["_part"]), F.lit(total)]
+        total += r["s"]
+    own = F.sum(amount).over(W.partitionBy("_part").orderBy(by).rowsBetween(W.unboundedPreceding, -1))
+    below = F.element_at(F.create_map(*starts), F.col("_part")) + F.coalesce(own, F.lit(0))
+    return dealt.withColumn("_below", below.cast("long")).drop("_part")
+
+
 def cliffs_delta(rows: DataFrame, arm: str, value: str, first, second) -> DataFrame:
     """(pairs above - pairs below) / all pairs, from counts by distinct value and
     their running sums, without forming a pair."""
     c = rows.filter(F.col(arm).isin(first, second)).groupBy(value).agg(F.count_if(F.col(arm) == first).alias("x"), F.count_if(F.col(arm) == second).alias("y"))
-    below = F.coalesce(F.sum("y").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    upto = F.sum("y").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    t = c.withColumn("_b", below).withColumn("_u", upto)
-    s = t.agg(F.sum("x").alias("nx"), F.sum("y").alias("ny"), F.sum(F.col("x") * F.col("_b")).alias("gt"), F.sum(F.col("x") * F.col("_u")).alias("ge"))
+    t = with_sum_below(c, value, "y")
+    s = t.agg(F.sum("x").alias("nx"), F.sum("y").alias("ny"), F.sum(F.col("x") * F.col("_below")).alias("gt"), F.sum(F.col("x") * (F.col("_below") + F.col("y"))).alias("ge"))
     return s.select((F.col("gt") - (F.col("nx") * F.col("ny") - F.col("ge"))).alias("net"), (F.col("nx") * F.col("ny")).alias("pairs"), ((F.col("gt") - (F.col("nx") * F.col("ny") - F.col("ge"))) / (F.col("nx") * F.col("ny"))).alias("delta"))
 
 
-def bootstrap_ci(values: DataFrame, value: str, rounds: int = 2000, seed: int = 17) -> DataFrame:
-    """2.5 and 97.5 % quantiles of the mean of seeded resamples: each value gets a
-    Poisson(1) number of copies in each round by a hash, so that no draw needs a join and
-    values are never gathered. (Agrees with drawing with replacement for large n.)"""
-    cdf = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676]
-    x = values.select(F.col(value).cast("double").alias("v"), F.xxhash64(*values.columns).alias("_id"))
-    r = x.select("v", "_id", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
-    u = F.pmod(F.xxhash64(F.lit(seed), "round", "_id"), F.lit(1 << 30)) / (1 << 30)
-    copies = sum((F.when(u >= p, 1).otherwise(0) for p in cdf), F.lit(0))
-    m = r.groupBy("round").agg((F.sum(copies * F.col("v")) / F.sum(copies)).alias("m"))
-    return m.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
-
-
 #: Shares of the Poisson distribution of mean 1 up to 0, 1, 2 and so on.
 POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
+#: Up to so many equal values are drawn one by one; the copies of more are nearly normal.
+DRAWN_SINGLY = 32
+
+
+def _share(*parts) -> Column:
+    """A number from 0 up to 1 that a digest of the parts gives."""
+    return F.conv(F.substring(F.md5(F.concat_ws("/", *parts)), 1, 7), 16, 10).cast("double") / (1 << 28)
+
+
+def _copies(u: Column) -> Column:
+    return sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0))
+
+
+def bootstrap_ci(values: DataFrame, value: str, rounds: int = 2000, seed: int = 17) -> DataFrame:
+    """2.5 and 97.5 % quantiles of the mean of seeded resamples. Each value has a
+    Poisson(1) number of copies in each round by a digest, so that no draw needs a join and
+    values are never gathered. (Agrees with drawing with replacement for large n.) Equal
+    values are counted first, and a count's copies drawn together: of n values they are
+    Poisson(n), which is taken as normal beyond DRAWN_SINGLY. Nulls are left out."""
+    n = values.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    r = n.select("v", "n", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
+    of = lambda x: (F.lit(seed), "round", F.col("v").cast("string"), x)
+    singly = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(DRAWN_SINGLY))), F.lit(0), lambda acc, k: acc + _copies(_share(*of(k.cast("string")))))
+    far = F.sqrt(-2 * F.ln(1 - _share(*of(F.lit("a"))))) * F.cos(2 * math.pi * _share(*of(F.lit("b"))))
+    together = F.greatest(F.lit(0.0), F.round(F.col("n") + F.sqrt("n") * far))
+    r = r.withColumn("c", F.when(F.col("n") <= DRAWN_SINGLY, singly.cast("double")).otherwise(together))
+    m = r.groupBy("round").agg(F.try_divide(F.sum(F.col("c") * F.col("v").cast("double")), F.sum("c")).alias("m"))
+    return m.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
 
 
 def bootstrap(values: DataFrame, by: str, key: str, value: str, rounds: int = 2000, seed: int = 17) -> DataFrame:
@@ -63,9 +94,7 @@ def bootstrap(values: DataFrame, by: str, key: str, value: str, rounds: int = 20
     seed, round and key; sums are combined before the shuffle, and a round's median comes
     from its counted distinct values. Rows with one key are one draw."""
     r = values.select(by, key, F.col(value).cast("double").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
-    digest = F.md5(F.concat_ws("/", F.lit(seed), "round", key))
-    u = F.conv(F.substring(digest, 1, 7), 16, 10).cast("double") / (1 << 28)
-    r = r.withColumn("copies", sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0))).filter("copies > 0")
+    r = r.withColumn("copies", _copies(_share(F.lit(seed), "round", key))).filter("copies > 0")
     m = r.groupBy(by, "round").agg((F.sum(F.col("copies") * F.col("v")) / F.sum("copies")).alias("mean"), F.percentile("v", 0.5, F.col("copies")).alias("median"))
     return m.groupBy(by).agg(*[F.percentile(x, q).alias(f"{x}_{n}") for x in ("mean", "median") for n, q in (("low", 0.025), ("high", 0.975))])
 

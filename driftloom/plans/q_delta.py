@@ -89,8 +89,19 @@ def rewritten(s, d):
 
 
 def text_tokens(s, d):
-    x = t(s, d, "documents").select("doc_id", F.concat(F.lit("import os\nfrom a import b\ndef f(x):\ndef g"), F.col("doc_id") % 3, F.lit("(a, b):\n")).alias("old"), F.concat(F.lit("import os\n"), F.when(F.col("doc_id") % 2 == 0, "import re\n").otherwise(""), F.lit("async def f(x, y) -> int:\ndef g"), F.col("doc_id") % 4, F.lit("(a, b):\n"), "text").alias("new"))
-    return x.select("doc_id", F.explode(D.source_tokens(F.col("old"), F.col("new"))).alias("k")).groupBy("k.type", "k.target").agg(F.count("*").alias("cnt"))
+    """Two versions of each document as source: the first word of a line is a function with
+    the word after it (then: the next but one) as argument, and words after a comma (then:
+    after a full stop) are imports."""
+    old = F.regexp_replace(F.regexp_replace("text", r"(?m)^(\w+) (\w+)", r"def $1($2)"), r", (\w+)", ",\nimport $1\n")
+    new = F.regexp_replace(F.regexp_replace("text", r"(?m)^(\w+)[ ,.]+\w+[ ,.]+(\w+)", r"def $1($2)"), r"\. (\w+)", ".\nimport $1\n")
+    x = t(s, d, "documents").select("doc_id", F.explode(D.source_tokens(old, new)).alias("k"))
+    return x.groupBy("k.type", "k.target").agg(F.count("*").alias("cnt"))
+
+
+FUNCTION, IMPORT = r"(?m)^[ \t]*(?:async[ \t]+)?def[ \t]+(\w+)[ \t]*\(([^)]*)\)", r"(?m)^[ \t]*((?:import|from)[ \t]+[^\n#]+)"
+VERSIONS = r"(select doc_id, 'old' as side, regexp_replace(regexp_replace(text, '(?m)^(\w+) (\w+)', 'def \1(\2)', 'g'), ', (\w+)', ',' || chr(10) || 'import \1' || chr(10), 'g') as x from documents union all select doc_id, 'new', regexp_replace(regexp_replace(text, '(?m)^(\w+)[ ,.]+\w+[ ,.]+(\w+)', 'def \1(\2)', 'g'), '\. (\w+)', '.' || chr(10) || 'import \1' || chr(10), 'g') from documents)"
+TEXT_TOKENS = f"""with v as materialized {VERSIONS}, i as materialized (select distinct doc_id, side, trim(unnest(regexp_extract_all(x, '{IMPORT}', 1))) as target from v), p as (select doc_id, side, unnest(regexp_extract_all(x, '{FUNCTION}', 1)) as target, unnest(regexp_extract_all(x, '{FUNCTION}', 2)) as args, generate_subscripts(regexp_extract_all(x, '{FUNCTION}', 1), 1) as k from v), f as materialized (select doc_id, side, target, arg_max(args, k) as args from p group by 1, 2, 3),
+ t as (select 'ΔIMPORT' as type, target from i n where side = 'new' and not exists (select 1 from i o where o.side = 'old' and o.doc_id = n.doc_id and o.target = n.target) union all select case when a is null then 'ADD_FN' when b is null then 'DEL_FN' else 'MODIFY_SIG' end, target from (select doc_id, target, max(args) filter (where side = 'old') as a, max(args) filter (where side = 'new') as b from f group by 1, 2) where a is distinct from b) select type, target, count(*) as cnt from t group by 1, 2"""
 
 
 def ngrams(s, d):
@@ -134,7 +145,7 @@ QUERIES = {
         f"""select b.module as module, cast(sum(h.S-b.S) as bigint) as "dS", cast(sum(h.H-b.H) as bigint) as "dH", cast(sum(h.Z-b.Z) as bigint) as "dZ", round(sum(h.S)/sum(greatest(1,h.S+h.H))-sum(b.S)/sum(greatest(1,b.S+b.H)),6) as dalpha, count(*) as files from {_structure_sql("o_orderkey % 2 = 0")} b join {_structure_sql("o_orderkey % 3 = 0")} h using (module, file) group by 1""",
     ),
     "a24_fingerprint": (lambda s, d: D.fingerprint(hist(s, d), "commit"), f"""select "commit", substr(sha256(array_to_string(list_sort(list(key || '=' || cnt)), ';')), 1, 16) as fingerprint from {HIST} group by 1"""),
-    "a25_source_tokens": (text_tokens, None),
+    "a25_source_tokens": (text_tokens, TEXT_TOKENS),
     "a26_token_fusion": (fused, """select l_suppkey as uid, l_returnflag as kind, 'p' || (l_partkey % 20) as file, cast(floor(cast(l_quantity as bigint)/5.0)*5 as bigint) as line_bucket, max(l_linenumber) as severity, round(avg(l_discount),6) as confidence, array_to_string(list_sort(list(distinct l_linestatus)), ',') as evidence, max(l_tax) as weight from lineitem group by 1,2,3,4"""),
     "a27_token_rewrite": (
         rewritten,

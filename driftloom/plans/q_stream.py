@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from driftloom.operators.graph import shared_folder
 from driftloom.plans.roles import t
 from driftloom.streaming import events as T
 
 
 def shared(s):
-    return f"{s.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-stream-')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
 
 
 def stream(s, d):
