@@ -36,13 +36,16 @@ def unpacked(df: DataFrame, columns: list[str], new: dict[str, Column] | None =
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` where the
-    cluster names one. Only where it is unset (tests, one machine) a temporary folder."""
+    cluster names one. Only where it is unset on one machine (tests) a temporary folder; on
+    a cluster that would be the driver's own disk, which is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
     return spark.sparkContext.getCheckpointDir()
 
