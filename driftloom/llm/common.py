@@ -64,6 +64,19 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with ``name``: the place of each row in the order, from 1. Rows are sorted
+    over ranges and checkpointed; the driver sees a count for each partition."""
+    at = saved(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_m", 33), F.col("_m").bitwiseAND((1 << 33) - 1)
+    starts, n = [], 0
+    for r in at.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect():
+        starts += [F.lit(r["p"]), F.lit(n)]
+        n += r["n"]
+    before = F.element_at(F.create_map(*starts), part) if starts else F.lit(0)
+    return at.withColumn(name, (place + before + 1).cast("long")).drop("_m")
+
+
 def over_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, keeps: bool = False) -> DataFrame:
     """``mapInArrow`` with a per-task set-up: ``make()`` runs once in each task and
     returns the function applied to every batch, in parts of ``PART_ROWS`` rows, so that
