@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftloom.llm import bpe, embed, langid, licenses, media, mixing, pii, resample, secrets, simhash, tokenbin
+from driftloom.llm import bpe, embed, langid, licenses, media, mixing, pii, resample, secrets, simhash, tokenbin, whiten
 from driftloom.llm.common import tables
 
 
@@ -65,8 +65,12 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.draw(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(tables(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_bpe, op3_pii, op4_simhash, op5_webp, op6_secrets, op7_training_order, op8_mixing, op9_embeddings, op10_licenses, op11_importance, language_id_pages)
+    found = (op1_language_id, op2_bpe, op3_pii, op4_simhash, op5_webp, op6_secrets, op7_training_order, op8_mixing, op9_embeddings, op10_licenses, op11_importance, op12_whitening, language_id_pages)
     return {f.__name__: f for f in found}
 
 
