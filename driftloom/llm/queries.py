@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftloom.llm import bpe, embed, langid, licenses, media, mixing, pii, resample, secrets, simhash, tokenbin, whiten
+from driftloom.llm import bpe, decontam, embed, langid, licenses, media, mixing, pii, resample, secrets, simhash, tokenbin, whiten
 from driftloom.llm.common import tables
 
 
@@ -69,11 +69,15 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten.whiten(tables(spark, sf_dir, "embeddings"))
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.scan(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_bpe, op3_pii, op4_simhash, op5_webp, op6_secrets, op7_training_order, op8_mixing, op9_embeddings, op10_licenses, op11_importance, op12_whitening, language_id_pages)
+    found = (op1_language_id, op2_bpe, op3_pii, op4_simhash, op5_webp, op6_secrets, op7_training_order, op8_mixing, op9_embeddings, op10_licenses, op11_importance, op12_whitening, op13_decontamination, language_id_pages)
     return {f.__name__: f for f in found}
 
 
 #: The rows of the other queries can't be had from SQL alone: tests compare them with brute
 #: force, an independent library or an exact round trip (tests/llm).
-ORACLE_SQL: dict[str, str] = {"op11_importance": resample.SQL}
+ORACLE_SQL: dict[str, str] = {"op11_importance": resample.SQL, "op13_decontamination": decontam.SQL}
