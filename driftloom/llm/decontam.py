@@ -7,18 +7,19 @@ it, so a text that shares a window with an item shares its fingerprint: every co
 of at least WINDOW words is found.
 
 1. Distinct windows of the items and their fingerprints are stored.
-2. The fingerprints of all texts are joined with those; what is left are the digests of
-   the texts that may hold a window. This pass shuffles no text.
-3. Hits in these texts (each distinct text once) are extended to the whole window and
-   compared word for word. Overlapping windows merge into spans.
+2. The fingerprints of all texts are joined with those, in blocks of BLOCK fingerprints
+   that are broadcast (8 bytes each, so their size is bounded), a pass over the texts for
+   each block. No text is shuffled.
+3. Hits are extended to the whole window and compared word for word. Overlapping windows
+   merge into spans.
 4. Equal texts share their result, which is joined back by digest.
 
 Items of fewer words form classes by their length, with grams of at most their length.
 
 Results for special cases: null and empty texts, and those without a word, have no words
 and no hits; items without a word are ignored; a null ``item_id`` counts as ``null``;
-items with equal ids count once; texts of any length are compared whole (a row a window
-while they are, never a row with all of them); repeated rows, equal and null ``doc_id``
+items with equal ids count once; texts of any length are compared whole (one row a window
+is shuffled, and only where a fingerprint fits); repeated rows, equal and null ``doc_id``
 each have their row, as rows are looked up by text; ties of fingerprints don't matter, as
 all places of a fingerprint are compared; further columns are ignored by :func:`scan` and
 :func:`spans` and kept by :func:`clean`; empty tables give no hits.
@@ -35,6 +36,8 @@ from pyspark.sql.window import Window as W
 from driftloom.llm.common import packed, stored, unpacked
 
 WINDOW, GRAM = 10, 5
+#: Fingerprints that are broadcast at a time.
+BLOCK = 1_000_000
 #: A-Z become a-z, other ASCII but digits and a-z becomes a blank, the rest stays.
 UPPER = "".join(map(chr, range(65, 91)))
 CUT = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
@@ -52,15 +55,17 @@ def fingerprint(hashes: Column, at: Column, window: int, gram: int) -> Column:
     return F.least(*grams) if len(grams) > 1 else grams[0]
 
 
-def windows(texts: DataFrame, keep: list[str], window: int, gram: int, with_words: bool = False) -> DataFrame:
-    """A row for each window of ``texts`` (``keep`` and words): ``keep``, its start, its
-    fingerprint ``m`` and, if asked for, its words joined by blanks."""
-    hashed = texts.select(*keep, *["words"] * with_words, F.transform("words", lambda w: F.xxhash64(w)).alias("hashes")).filter(F.size("hashes") >= window)
+def windows(texts: DataFrame, window: int, gram: int, prints: DataFrame | None = None) -> DataFrame:
+    """``texts`` (with ``words``) with a row for each window: its ``start``, fingerprint
+    ``m`` and ``window``, its words joined by blanks; only those whose fingerprint is in
+    ``prints``, if given. What is broadcast meets the rows where they are made, so that
+    only windows that fit are put together."""
+    hashed = texts.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).filter(F.size("hashes") >= window)
     at = hashed.withColumn("start", F.explode(F.sequence(F.lit(0), F.size("hashes") - window)))
-    out = [*keep, "start", fingerprint(F.col("hashes"), F.col("start"), window, gram).alias("m")]
-    if with_words:
-        out.append(F.array_join(F.slice("words", F.col("start") + 1, F.lit(window)), " ").alias("window"))
-    return at.select(*out)
+    at = at.withColumn("m", fingerprint(F.col("hashes"), F.col("start"), window, gram))
+    if prints is not None:
+        at = at.join(F.broadcast(prints.select("m")), "m", "left_semi")
+    return at.withColumn("window", F.array_join(F.slice("words", F.col("start") + 1, F.lit(window)), " ")).drop("words", "hashes")
 
 
 def item_windows(items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, list[int]]:
@@ -69,7 +74,7 @@ def item_windows(items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tu
     split = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), words_of(F.col("text")).alias("words"))
     split = stored(split.withColumn("size", F.least(F.size("words"), F.lit(window))).filter("size > 0"))
     sizes = sorted(r["size"] for r in split.select("size").distinct().collect())
-    parts = [windows(split.filter(F.col("size") == n), ["item", "size"], n, gram, True) for n in sizes]
+    parts = [windows(split.filter(F.col("size") == n), n, gram) for n in sizes]
     none = split.select("item", "size", F.lit(0).cast("long").alias("m"), F.lit("").alias("window")).filter("false")
     return stored(reduce(DataFrame.unionByName, [p.drop("start") for p in parts], none).distinct()), sizes
 
@@ -78,23 +83,19 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: i
     """Stored ``key, start, size, window`` of every window of an item in a distinct text,
     whose SHA-256 is ``key``; and the items' windows."""
     wanted, sizes = item_windows(items, window, gram)
-    texts = docs.select(F.sha2("text", 256).alias("key"), "text").filter("text IS NOT NULL")
-    found, prints = [], wanted.select("size", "m").distinct()
-    for n in sizes:
-        rows = windows(texts.select("key", words_of(F.col("text")).alias("words")), ["key"], n, gram)
-        found.append(rows.join(prints.filter(F.col("size") == n).select("m"), "m", "left_semi").select("key", F.lit(n).alias("size")))
-    none = texts.select("key", F.lit(0).alias("size")).filter("false")
-    held = stored(reduce(DataFrame.unionByName, found, none).distinct())
-    # of equal texts one is read on
-    some = stored(texts.join(held.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))
-    some = some.join(held, "key").select("key", "size", words_of(F.col("text")).alias("words"))
-    exact = wanted.select("size", "m", "window").distinct()
+    texts = docs.filter("text IS NOT NULL").select(F.sha2("text", 256).alias("key"), words_of(F.col("text")).alias("words"))
+    prints = stored(wanted.select("size", "m").distinct())
+    counts = {r["size"]: r["n"] for r in prints.groupBy("size").agg(F.count("*").alias("n")).collect()}
     parts = []
     for n in sizes:
-        rows = windows(some.filter(F.col("size") == n).select("key", "words"), ["key"], n, gram, True)
-        parts.append(rows.join(exact.filter(F.col("size") == n), ["m", "window"]).select("key", "start", "size", "window"))
-    none = some.select("key", F.lit(0).alias("start"), "size", F.lit("").alias("window")).filter("false")
-    return stored(reduce(DataFrame.unionByName, parts, none)), wanted
+        blocks = -(-counts[n] // BLOCK)
+        for k in range(blocks):
+            some = prints.filter((F.col("size") == n) & (F.pmod(F.xxhash64("m"), F.lit(blocks)) == k))
+            parts.append(windows(texts, n, gram, some).withColumn("size", F.lit(n)))
+    none = texts.select("key", F.lit(0).alias("start"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("m"), F.lit("").alias("window")).filter("false")
+    near = reduce(DataFrame.unionByName, parts, none)
+    exact = wanted.select("size", "m", "window").distinct()
+    return stored(near.join(exact, ["size", "m", "window"]).select("key", "start", "size", "window").distinct()), wanted
 
 
 def merged(found: DataFrame) -> DataFrame:

@@ -62,13 +62,14 @@ def test_planted_windows_are_hit(spark):
     assert scanned(spark, docs, items) == want and 20 < sum(r[-1] for r in want) < 100
 
 
-def test_few_words_repeat(spark):
+def test_few_words_repeat(spark, monkeypatch):
     """Ties of fingerprints, overlapping windows and items of every short length."""
     rng = random.Random(2)
     text = lambda n: rng.choice([" ", ", ", "\n"]).join(rng.choice("abA") for _ in range(n))
     items = [(rng.randrange(12), text(rng.randrange(25))) for _ in range(25)]
     docs = [(k, text(rng.randrange(60))) for k in range(60)] + [(99, "a " * 300)]
     assert scanned(spark, docs, items) == plain(docs, items)
+    monkeypatch.setattr(decontam, "BLOCK", 7)  # many blocks
     for window, gram in ((4, 2), (3, 3), (6, 1)):
         assert scanned(spark, docs, items, window=window, gram=gram) == plain(docs, items, window)
 
