@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A table written to the shared folder and read again: cuts the lineage, and the
+    planner knows its size, so that a round's small table is broadcast by Spark's own rule."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """In, out and total degree and strength; isolated nodes have 0."""
     w = F.coalesce("weight", F.lit(1.0))
@@ -271,18 +280,3 @@ def from_facts(defs: DataFrame, calls: DataFrame, imports: DataFrame) -> tuple[D
     e = e.unionByName(calls.select(F.concat(F.lit("func:"), "file", F.lit(":"), "func").alias("src"), F.concat(F.lit("name:"), "name").alias("dst"), F.lit("call").alias("kind")))
     e = e.unionByName(imports.select(F.concat(F.lit("file:"), "file").alias("src"), F.concat(F.lit("module:"), "module").alias("dst"), F.lit("import").alias("kind")))
     return n.groupBy("id").agg(F.min("kind").alias("kind")), e
-
-
-def cyclic(edges: DataFrame) -> DataFrame:
-    """Nodes on or between cycles: nodes without edges in or out are taken away until
-    none is left to take."""
-    cur = checkpointed(edges.select("src", "dst").distinct())
-    size = cur.count()
-    while True:
-        ins, outs = cur.select(F.col("dst").alias("src")).distinct(), cur.select(F.col("src").alias("dst")).distinct()
-        cur = checkpointed(cur.join(ins, "src", "left_semi").join(outs, "dst", "left_semi"))
-        left = cur.count()
-        if left == size:
-            break
-        size = left
-    return cur.select(F.explode(F.array("src", "dst")).alias("id")).distinct()

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftloom.functions import exprs as X
+from driftloom.operators import cycles as CY
 from driftloom.operators import experiments as EX
 from driftloom.operators import fields as FD
 from driftloom.operators import graph as G
 from driftloom.operators import pixels as PX
 from driftloom.operators import series as S
-from driftloom.plans.roles import EDGES, NATION_EDGES, NODES, PIXELS, TOKENS, graph, nation_graph, pixels, t, tokens, trade
+from driftloom.plans.roles import EDGES, NATION_EDGES, NODES, PIXELS, TOKENS, flows, graph, nation_graph, pixels, t, tokens, trade
 
 
 def r6(df, *names):
@@ -117,7 +118,8 @@ QUERIES = {
         lambda s, d: G.window(nodes_of(s, d), nation_graph(s, d)[1].withColumn("kind", F.lit("link")), sources(s, d).select(F.col("source").alias("lens"), "id"), 1, ["module"], ["link"], 6).select("lens", "id", F.col("dist").cast("int").alias("dist")),
         f"with u as (select src, dst from {NATION_EDGES} union select dst, src from {NATION_EDGES}), b as (select n_nationkey lens, n_nationkey id, 0 dist from nation where n_nationkey%5=0 union all select distinct src, dst, 1 from u where src%5=0) select lens, id, dist from (select *, row_number() over (partition by lens order by dist, id) r from b) where r<=6",
     ),
-    "g14_cycles": (lambda s, d: G.cyclic(trade(s, d)[1]), None),
+    "g14_cycles": (lambda s, d: CY.components(flows(s, d)[1]), None),
+    "g14_cycles_nations": (lambda s, d: CY.components(nation_graph(s, d)[1]), f"with recursive e as ({NATION_EDGES[1:-1]}), reach(a, b) as (select src, dst from e union select a, dst from reach join e on b = src) select x.a as id, min(x.b) as component from reach x join reach y on x.a = y.b and x.b = y.a group by 1"),
     "j25_bridges": (lambda s, d: G.bridges(graph(s, d)[0].select("id", (number() % 3).alias("community")), graph(s, d)[1], graph(s, d)[0].select("id", (number() * 11 % 25 / 25).alias("betweenness")), graph(s, d)[0].select("id", F.lit(0.8).alias("beta")), 0.5), None),
     "g12_graph_from_facts": (
         lambda s, d: G.from_facts(t(s, d, "part").selectExpr("p_brand as module", "p_type as file", "p_name as func").distinct(), t(s, d, "part").selectExpr("p_type as file", "p_name as func", "p_brand as name"), t(s, d, "part").selectExpr("p_type as file", "p_brand as module"))[1].groupBy("kind").agg(F.count("*").alias("edges")),

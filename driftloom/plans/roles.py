@@ -72,6 +72,14 @@ def trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return n, e.unionByName(back.groupBy("src", "dst").agg(F.sum("w").alias("weight")))
 
 
+def flows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``graph`` by the way that more went: from a supplier to a part, or back where more
+    than half of the quantity was returned; so some nodes are on cycles and some are not."""
+    x = t(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("weight"), F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0)).alias("_r"))
+    back, s, p = F.col("_r") * 2 > F.col("weight"), F.concat(F.lit("s"), "l_suppkey"), F.concat(F.lit("p"), "l_partkey")
+    return graph(spark, sf_dir)[0], x.select(F.when(back, p).otherwise(s).alias("src"), F.when(back, s).otherwise(p).alias("dst"), "weight")
+
+
 def nation_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A directed graph of nations: from the customer's nation to the supplier's, where
     many orders go; small at any scale, for the iterative operators' twins."""

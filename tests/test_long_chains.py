@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from driftloom.operators import evidence, graph
+from driftloom.operators import cycles, evidence, graph
 
 
 def chain(spark, n):
@@ -24,4 +24,4 @@ def test_subtree_of_a_long_chain(spark):
 
 
 def test_a_long_chain_has_no_cycle(spark):
-    assert graph.cyclic(chain(spark, 204)).count() == 0
+    assert cycles.components(chain(spark, 204)).count() == 0

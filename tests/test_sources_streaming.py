@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftloom.functions import exprs as X
-from driftloom.operators import delta, experiments, graph, pixels, series
+from driftloom.operators import cycles, delta, experiments, graph, pixels, series
 from driftloom.registry import Registry
 from driftloom.sources import logs
 from driftloom.streaming import events as T
@@ -82,7 +82,7 @@ def test_graph_on_a_bridge(spark):
     b = {r["id"]: r["betweenness"] for r in graph.betweenness(src, both, n).collect()}
     assert b[3] == pytest.approx(1.0) and b[4] == pytest.approx(1.0) and b[0] == 0 and b[8] == 0
     assert graph.pagerank(n, both).agg(F.sum("rank")).first()[0] == pytest.approx(1.0, abs=1e-9)
-    assert graph.cyclic(e).count() == 0 and graph.cyclic(both).count() == 8
+    assert cycles.components(e).count() == 0 and cycles.components(both).count() == 8
     assert {r["component"] for r in graph.connected(n, e).collect()} == {0, 8}
 
 
