@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 from driftloom.operators import evidence as E
 from driftloom.operators import tiles as TL
 from driftloom.plans.q_more import r6
-from driftloom.plans.q_stream import shared, stream
 from driftloom.plans.roles import EDGES, NATION_EDGES, PIXELS, TOKENS, graph, nation_graph, pixels, t, tokens
-from driftloom.streaming import events as T
 
 LABELS = ("Call", "Expr", "Assign", "If", "Return", "FunctionDef", "Name")
 
@@ -90,11 +88,6 @@ def preset(s, d):
     return E.preset_window("module-focus", n, e.withColumn("kind", F.lit("call")), a).select("lens", "id", F.col("dist").cast("int").alias("dist"))
 
 
-def thresholds(s, d):
-    e = stream(s, d).select("user_id", F.col("event_id").alias("seq"), "value")
-    return r6(T.threshold_stream(e, shared(s), "user_id"), "alpha", "beta", "z", "frozen")
-
-
 CELLS = f'(select image, y as "row", x as col, g as edge from {PIXELS})'
 MASK = f"m as (select * from {CELLS} where edge > 0.62), adj as (select a.*, b.\"row\" as r2, b.col as c2, b.edge as e2 from m a join m b on a.image=b.image and abs(a.\"row\"-b.\"row\")+abs(a.col-b.col)=1)"
 OCC = lambda x, k: f"(length({x})-length(replace({x},'{k}','')))/{len(k)}.0"
@@ -158,10 +151,4 @@ QUERIES = {
     ),
     "p14_evidence": (evidence, "select l_orderkey, min(l_quantity)>=3 and bool_and(l_quantity=floor(l_quantity)) and max(l_discount)>=0 and max(l_discount)<=max(l_tax) and max(l_tax)<=0.09 as valid from lineitem group by 1"),
     "g13_preset_window": (preset, f"with recursive u as (select src, dst from {NATION_EDGES} union select dst, src from {NATION_EDGES}), b as (select n_nationkey lens, n_nationkey id, 0 dist from nation where n_nationkey%5=0 union select b.lens, u.dst, b.dist+1 from b join u on b.id=u.src where b.dist<2) select lens, id, min(dist) as dist from b group by 1,2"),
-    "t09_stream_thresholds": (
-        thresholds,
-        """with a as (select user_id, event_id, value, avg(value) over w m, quantile_cont(value,0.9) over v alpha, quantile_cont(value,0.95) over v beta, quantile_cont(value,0.99) over v z from events window w as (partition by user_id order by event_id), v as (partition by user_id order by event_id rows between 89 preceding and current row)),
- c as (select *, sum(value-m-1) over (partition by user_id order by event_id) c from a), p as (select *, c-min(c) over (partition by user_id order by event_id) > 50 as drift from c), f as (select *, bool_or(drift) over (partition by user_id order by event_id rows between 20 preceding and current row) held from p)
- select user_id, event_id as seq, round(alpha,6) as alpha, round(beta,6) as beta, round(z,6) as z, drift, round(last_value(case when not held then alpha end ignore nulls) over (partition by user_id order by event_id rows unbounded preceding),6) as frozen from f""",
-    ),
 }

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from threading import Event
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
-
-from driftloom.operators import series
+from pyspark.sql.streaming import StreamingQueryListener
 
 
 def ingest(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -54,50 +52,6 @@ def unfinished(starts: DataFrame, ends: DataFrame, key: str, within: str, late:
     return a.join(b, inside, "leftOuter").select(F.col(f"a.{key}").alias(key), "ts", "end_ts")
 
 
-def carried(events: DataFrame, path: str, step: Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """Runs a stream whose steps need what the batches before left: ``step`` gets a batch
-    and the table carried over, and returns the batch's results and the new table. Both are
-    stored by the batch's number, so that a batch done again writes the same folders. Steps
-    are window passes in the JVM, which spill: no key's rows are held in a Python worker.
-    Returns the results of all batches."""
-
-    def one(batch: DataFrame, number: int) -> None:
-        before = batch.sparkSession.read.parquet(f"{path}/carry/batch={number - 1}") if number else None
-        out, carry = step(batch, before)
-        out.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
-        carry.write.mode("overwrite").parquet(f"{path}/carry/batch={number}")
-
-    query = events.writeStream.foreachBatch(one).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return events.sparkSession.read.parquet(f"{path}/out").drop("batch")
-
-
-def _with_carry(batch: DataFrame, before: DataFrame | None) -> DataFrame:
-    """The batch's rows after those carried over, told apart by ``new``."""
-    rows = batch.withColumn("new", F.lit(True))
-    return rows if before is None else before.withColumn("new", F.lit(False)).unionByName(rows, allowMissingColumns=True)
-
-
-def clean_runs(events: DataFrame, path: str, key: str, start: str, done: str, error: str, within: int | None = None) -> DataFrame:
-    """T5: starts that were done with no error in between, by key: ``key, started, ended``.
-    ``events`` has ``key, kind, at`` (a number), in any order in a batch; at equal times an
-    error comes first, then a start, so that both count before a completion. Carried over
-    are the open starts, but none older than ``within`` before the latest time seen."""
-    rank = F.when(F.col("kind") == error, 0).when(F.col("kind") == start, 1).otherwise(2)
-
-    def step(batch: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        rows = _with_carry(batch.select(key, "kind", "at").filter(F.col("kind").isin(start, done, error)), before)
-        w = W.partitionBy(key).orderBy("new", "at", rank)
-        rows = rows.withColumn("_k", F.lag("kind").over(w)).withColumn("_at", F.lag("at").over(w)).withColumn("_last", F.lead("kind").over(w).isNull())
-        out = rows.filter((F.col("kind") == done) & (F.col("_k") == start)).select(key, F.col("_at").alias("started"), F.col("at").alias("ended"))
-        carry = rows.filter(F.col("_last") & (F.col("kind") == start)).select(key, "kind", "at")
-        if within is not None:
-            carry = carry.crossJoin(rows.agg(F.max("at").alias("_now"))).filter(F.col("at") >= F.col("_now") - within).drop("_now")
-        return out, carry
-
-    return carried(events, path, step)
-
-
 def throughput(events: DataFrame, every: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """Events and rejects by window and topic, and the 95th percentile of latency."""
     e = events.withWatermark("ts", late) if events.isStreaming else events
@@ -116,52 +70,6 @@ def sessions(events: DataFrame, key: str, gap: str = "30 minutes", late: str = "
     return e.groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def ewma_stream(events: DataFrame, path: str, key: str, lam: float = 0.15) -> DataFrame:
-    """Exponential mean of each key's ``value`` in order of ``seq`` within a batch, and of
-    batches. Carried over is each key's last mean, which starts the next batch."""
-
-    def step(batch: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        rows = _with_carry(batch.select(key, "seq", F.col("value").cast("double").alias("value")), before)
-        rows = series.ewma(rows.withColumn("_o", F.struct("new", "seq")), key, "_o", "value", lam)
-        last = rows.groupBy(key).agg(F.max_by(F.struct("seq", F.col("ewma").alias("value")), "_o").alias("l"))
-        return rows.filter("new").select(key, "seq", "ewma"), last.select(key, "l.seq", "l.value")
-
-    return carried(events, path, step)
-
-
-def threshold_stream(events: DataFrame, path: str, key: str, n: int = 90, delta: float = 1.0, limit: float = 50.0, freeze: int = 20) -> DataFrame:
-    """q90, q95 and q99 of the last ``n`` values, Page-Hinkley drift and the value held
-    for ``freeze`` rows after a drift, by key in order of ``seq``. Carried over are the last
-    ``n`` rows of a key with their running sums; the batch twins are W8, W10 and W11."""
-    kept = [key, "seq", "value", "seen", "total", "c", "low", "since", "held"]
-
-    def step(batch: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        rows = _with_carry(batch.select(key, "seq", F.col("value").cast("double").alias("value")), before)
-        for c, kind in (("seen", "long"), ("total", "double"), ("c", "double"), ("low", "double"), ("since", "long"), ("held", "double")):
-            if c not in rows.columns:
-                rows = rows.withColumn(c, F.lit(None).cast(kind))
-        w = W.partitionBy(key).orderBy("new", "seq").rowsBetween(W.unboundedPreceding, 0)
-        was = lambda c, none: F.coalesce(F.last(F.when(~F.col("new"), F.col(c)), ignorenulls=True).over(w), none)
-        rows = rows.select(*rows.columns, *[was(c, F.lit(x)).alias(f"_{c}") for c, x in (("seen", 0), ("total", 0.0), ("c", 0.0), ("low", float("inf")), ("since", freeze + 1))], was("held", F.lit(None).cast("double")).alias("_held"))
-        rows = rows.withColumn("_k", F.sum(F.col("new").cast("long")).over(w))
-        rows = rows.withColumn("_m", (F.col("_total") + F.sum(F.when(F.col("new"), F.col("value")).otherwise(0.0)).over(w)) / (F.col("_seen") + F.col("_k")))
-        rows = rows.withColumn("_c2", F.col("_c") + F.coalesce(F.sum(F.when(F.col("new"), F.col("value") - F.col("_m") - delta)).over(w), F.lit(0.0)))
-        rows = rows.withColumn("_low2", F.least("_low", F.min(F.when(F.col("new"), F.col("_c2"))).over(w)))
-        rows = rows.withColumn("drift", F.col("new") & (F.col("_c2") - F.col("_low2") > limit))
-        last = F.max(F.when(F.col("drift"), F.col("_k"))).over(w)
-        rows = rows.withColumn("_since2", F.coalesce(F.col("_k") - last, F.col("_since") + F.col("_k")))
-        rows = series.rolling_thresholds(rows.withColumn("_o", F.struct("new", "seq")), key, "_o", "value", n)
-        free = F.when(F.col("new") & (F.col("_since2") > freeze), F.col("alpha"))
-        rows = rows.withColumn("frozen", F.coalesce(F.last(free, ignorenulls=True).over(w), F.col("_held")))
-        now = {"seen": F.col("_seen") + F.col("_k"), "total": F.col("_m") * (F.col("_seen") + F.col("_k")), "c": F.col("_c2"), "low": F.col("_low2"), "since": F.col("_since2"), "held": F.col("frozen")}
-        carry = rows.select(key, "seq", "value", "new", *[F.when(F.col("new"), x).otherwise(F.col(c)).alias(c) for c, x in now.items()])
-        place = F.row_number().over(W.partitionBy(key).orderBy(F.desc("new"), F.desc("seq")))
-        carry = carry.withColumn("_p", place).filter(F.col("_p") <= n).select(*kept)
-        return rows.filter("new").select(key, "seq", "alpha", "beta", "z", "drift", "frozen"), carry
-
-    return carried(events, path, step)
-
-
 def replay(history: DataFrame, since) -> DataFrame:
     """The history from a time on, for the same transformations."""
     return history.filter(F.col("ts") >= F.lit(since))
@@ -180,11 +88,40 @@ def run_once(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
+class LateRows(StreamingQueryListener):
+    """Adds up, over every batch of one query, the rows that came after the watermark."""
+
+    def __init__(self) -> None:
+        self.query, self.late, self.ended = None, {}, Event()
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        self.late.setdefault(str(p.runId), {})[p.batchId] = sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        if self.query is None or str(event.runId) == self.query:
+            self.ended.set()
+
+
 def run_counted(stream: DataFrame, path: str) -> DataFrame:
     """Runs a stream over what there is and returns, in one row, how many rows it wrote
-    this time and how many came too late for the watermark."""
-    query = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    late = sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+    this time and how many came too late for the watermark, in all batches: the progress
+    that a query itself remembers ends after some."""
+    seen, streams = LateRows(), stream.sparkSession.streams
+    streams.addListener(seen)
+    try:
+        query = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
+        seen.query = str(query.runId)
+        query.awaitTermination()
+        seen.ended.wait(60)  # events come after the batches
+        late = sum(seen.late.get(seen.query, {}).values())
+    finally:
+        streams.removeListener(seen)
     kept = stream.sparkSession.read.schema(stream.schema).parquet(path).agg(F.count("*").alias("kept"))
     return kept.select("kept", F.lit(late).cast("long").alias("late"))

@@ -6,7 +6,6 @@ from driftloom import named
 from driftloom.functions import exprs as X
 from driftloom.operators import experiments, graph, reports, series
 from driftloom.registry import fields, operators
-from driftloom.streaming import events as streams
 
 
 def slow_propagation(ids, weights, rounds):
@@ -90,37 +89,6 @@ def test_budgets_tags_and_repairs(spark):
     assert (row["n"], row["hours"], row["adopted"]) == (2, 3.0, 0.5)
 
 
-def in_batches(spark, tmp_path, parts, schema, run):
-    """Runs a stream once for each part that comes in; what the last run returns."""
-    for k, rows in enumerate(parts):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        out = run(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out")
-    return out
-
-
-def test_streams_carry_on_over_batches(spark, tmp_path):
-    rng = random.Random(11)
-    values = [(rng.choice("ab"), k, rng.choice((1.0, 2.0, 90.0)) if k > 150 else rng.random()) for k in range(400)]
-    parts = [values[:130], values[130:135], values[135:300], values[300:]]
-    for name, run in (("ewma", lambda e, p: streams.ewma_stream(e, p, "k")), ("thresholds", lambda e, p: streams.threshold_stream(e, p, "k", 30, 0.1, 20.0, 7))):
-        kind = "k string, seq long, value double"
-        several = sorted(map(tuple, in_batches(spark, tmp_path / f"{name}-4", parts, kind, run).collect()))
-        once = sorted(map(tuple, in_batches(spark, tmp_path / f"{name}-1", [values], kind, run).collect()))
-        assert len(once) == 400 and [r[:2] for r in several] == [r[:2] for r in once]
-        odd = [(x, y) for x, y in zip(several, once, strict=True) if any(a != pytest.approx(b, abs=1e-5) for a, b in zip(x[2:], y[2:], strict=True))]
-        assert not odd, (name, len(odd), odd[:2])
-    assert any(r[5] for r in once)
-
-
-def test_clean_runs_over_batches(spark, tmp_path):
-    parts = [[("u", "start", 1), ("v", "start", 2), ("w", "start", 2), ("u", "other", 3)], [("u", "done", 5), ("v", "error", 5), ("v", "done", 6), ("x", "start", 50)], [("w", "done", 51), ("x", "done", 52), ("x", "done", 53)]]
-    run = lambda within: lambda e, p: streams.clean_runs(e, p, "key", "start", "done", "error", within)
-    got = in_batches(spark, tmp_path / "a", parts, "key string, kind string, at long", run(None))
-    assert sorted(map(tuple, got.collect())) == [("u", 1, 5), ("w", 2, 51), ("x", 50, 52)]
-    got = in_batches(spark, tmp_path / "b", parts, "key string, kind string, at long", run(10))
-    assert sorted(map(tuple, got.collect())) == [("u", 1, 5), ("x", 50, 52)]
-
-
 def test_the_entry_needs_no_session():
     import os
     import subprocess
