@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from driftloom.operators.prefix import ewma, frozen, page_hinkley
+from driftloom.operators.prefix import running_sums as ledger
+
+__all__ = ["ewma", "frozen", "ledger", "page_hinkley"]  # series of any length
+
 MAD_SCALE = 1.4826
 
 
@@ -53,17 +56,6 @@ def grid_layout(nodes: DataFrame, by: str, order: list[Column]) -> DataFrame:
     return out.withColumn("u", (F.col("col") + 0.5) / cols).withColumn("v", (F.col("row") + 0.5) / rows).drop("_i", "_n")
 
 
-def ewma(rows: DataFrame, by: str, order: str, x: str, lam: float = 0.15, lost: float = 1e-8) -> DataFrame:
-    """m = lam x + (1 - lam) m, the first value as start. From so many of the last rows
-    that the others together weigh less than ``lost``, so a series of any length fits a
-    frame."""
-    reach = max(2, math.ceil(math.log(lost) / math.log(1 - lam)) + 1) if 0 < lam < 1 else 2
-    w = W.partitionBy(by).orderBy(order).rowsBetween(-(reach - 1), 0)
-    start = F.element_at("_l", 1)
-    mean = F.aggregate(F.slice("_l", F.lit(2), F.size("_l")), start, lambda m, v: lam * v + (1 - lam) * m)
-    return rows.withColumn("_l", F.collect_list(F.col(x).cast("double")).over(w)).withColumn("ewma", mean).drop("_l")
-
-
 def rolling_thresholds(rows: DataFrame, by: str, order: str, x: str, n: int = 90) -> DataFrame:
     """q90, q95 and q99 of the last n rows as alpha, beta and z."""
     w = W.partitionBy(by).orderBy(order).rowsBetween(-(n - 1), 0)
@@ -98,22 +90,6 @@ def robust_z(rows: DataFrame, x: str, mean: str, sigma: str) -> DataFrame:
     return rows.withColumn("z_score", F.when(F.col(sigma) > 0, (F.col(x) - F.col(mean)) / F.col(sigma)).otherwise(0.0))
 
 
-def page_hinkley(rows: DataFrame, by: str, order: str, x: str, delta: float, limit: float) -> DataFrame:
-    """Cumulated deviation from the running mean less its running minimum, over a
-    limit; three running frames of one partitioning."""
-    w = W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    out = rows.withColumn("_m", F.avg(x).over(w)).withColumn("_c", F.sum(F.col(x) - F.col("_m") - delta).over(w))
-    return out.withColumn("ph", F.col("_c") - F.min("_c").over(w)).withColumn("drift", F.col("ph") > limit).drop("_m", "_c")
-
-
-def frozen(rows: DataFrame, by: str, order: str, value: str, drift: str, n: int) -> DataFrame:
-    """For n rows after a drift the last value from before is carried on."""
-    w = W.partitionBy(by).orderBy(order)
-    hold = F.coalesce(F.max(F.col(drift).cast("int")).over(w.rowsBetween(-n, 0)), F.lit(0)) == 1
-    out = rows.withColumn("held", hold)
-    return out.withColumn("frozen", F.last(F.when(~F.col("held"), F.col(value)), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))
-
-
 def latest(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     """The newest n rows of a key."""
     return rows.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col("_r") <= n).drop("_r")
@@ -123,9 +99,3 @@ def pareto_front(rows: DataFrame, by: str, high: str, low: str) -> DataFrame:
     """Rows for which no row with more of ``high`` has as little of ``low``."""
     w = W.partitionBy(by).orderBy(F.desc(high), F.asc(low)).rowsBetween(W.unboundedPreceding, -1)
     return rows.withColumn("_m", F.min(low).over(w)).filter(F.col("_m").isNull() | (F.col(low) < F.col("_m"))).drop("_m")
-
-
-def ledger(rows: DataFrame, by: str, order: str, deltas: list[str]) -> DataFrame:
-    """Running sums of the deltas in order."""
-    w = W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return rows.select("*", *[F.sum(x).over(w).alias(f"run_{x}") for x in deltas])
