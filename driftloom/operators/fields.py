@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftloom.operators.graph import stored
+from driftloom.operators.selection import joined, percentiles
+
 
 def minmax(rows: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     """Into [0, 1] by smallest and largest; a constant is 0. One aggregation, whose
@@ -15,15 +18,18 @@ def minmax(rows: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
 
 
 def robust(rows: DataFrame, value: str, by: list[str], low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """Into [0, 1] by two quantiles, clipped."""
-    s = rows.groupBy(*by).agg(F.percentile(value, F.lit(low)).alias("_lo"), F.percentile(value, F.lit(high)).alias("_hi"))
+    """Into [0, 1] by two quantiles, clipped. They are selected exactly by histograms;
+    no group is gathered."""
+    s = stored(percentiles(rows, value, by, {"_lo": low, "_hi": high}))
     width = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-9))
     return rows.join(s, list(by)).withColumn("norm", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(value) - F.col("_lo")) / width))).drop("_lo", "_hi")
 
 
 def summary(rows: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     """N, min, max, mean, p50, p90."""
-    return rows.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("p50"), F.percentile(value, 0.9).alias("p90"))
+    s = rows.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"))
+    p = stored(percentiles(rows, value, list(by), {"p50": 0.5, "p90": 0.9}))
+    return joined(s, p, list(by), "left")
 
 
 def blend(fields: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -53,7 +59,10 @@ def rolled_up(child: DataFrame, parent_of: DataFrame, key: str, parent: str, val
 
 def point_similarity(rows: DataFrame, by: str, q: float = 0.95, weights: tuple = (1.0, 1.0, 0.25)) -> DataFrame:
     """1 less the distance to a percentile point of S, H and Z over the largest."""
-    ref = rows.agg(*[F.percentile(c, q).alias(f"_{c}") for c in "SHZ"])
+    # one selection for all three: a row for each of them
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("axis"), F.col(c).cast("double").alias("v")) for c in "SHZ"])).alias("e")).select("e.axis", "e.v")
+    point = percentiles(long, "v", ["axis"], {"at": q})
+    ref = point.agg(*[F.max(F.when(F.col("axis") == c, F.col("at"))).alias(f"_{c}") for c in "SHZ"])
     d = F.sqrt(sum((w * F.pow(F.col(c) - F.col(f"_{c}"), 2) for c, w in zip("SHZ", weights, strict=True)), F.lit(0.0)))
     x = rows.crossJoin(ref).select(by, d.alias("d"))
     return x.crossJoin(x.agg(F.max("d").alias("_m"))).select(by, F.when(F.col("_m") > 0, 1 - F.col("d") / F.col("_m")).otherwise(1.0).alias("sim"))
