@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from driftloom.operators.graph import checkpointed
+from driftloom.operators.resamples import intervals
 
 
 def paired(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
@@ -56,47 +55,17 @@ def cliffs_delta(rows: DataFrame, arm: str, value: str, first, second) -> DataFr
     return s.select((F.col("gt") - (F.col("nx") * F.col("ny") - F.col("ge"))).alias("net"), (F.col("nx") * F.col("ny")).alias("pairs"), ((F.col("gt") - (F.col("nx") * F.col("ny") - F.col("ge"))) / (F.col("nx") * F.col("ny"))).alias("delta"))
 
 
-#: Shares of the Poisson distribution of mean 1 up to 0, 1, 2 and so on.
-POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
-#: Up to so many equal values are drawn one by one; the copies of more are nearly normal.
-DRAWN_SINGLY = 32
-
-
-def _share(*parts) -> Column:
-    """A number from 0 up to 1 that a digest of the parts gives."""
-    return F.conv(F.substring(F.md5(F.concat_ws("/", *parts)), 1, 7), 16, 10).cast("double") / (1 << 28)
-
-
-def _copies(u: Column) -> Column:
-    return sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0))
+def bootstrap_ci(values: DataFrame, value: str, rounds: int = 2000, seed: int = 17) -> DataFrame:
+    """2.5 and 97.5 % quantiles, ``low`` and ``high``, of the mean of seeded resamples
+    with replacement. Nulls are left out; without values the limits are null."""
+    found = intervals(values, [], value, rounds, seed).select(F.col("mean_low").alias("low"), F.col("mean_high").alias("high"))
+    return found.agg(F.max("low").alias("low"), F.max("high").alias("high"))  # a row even for no rows
 
 
-def bootstrap_ci(values: DataFrame, value: str, rounds: int = 2000, seed: int = 17) -> DataFrame:
-    """2.5 and 97.5 % quantiles of the mean of seeded resamples. Each value has a
-    Poisson(1) number of copies in each round by a digest, so that no draw needs a join and
-    values are never gathered. (Agrees with drawing with replacement for large n.) Equal
-    values are counted first, and a count's copies drawn together: of n values they are
-    Poisson(n), which is taken as normal beyond DRAWN_SINGLY. Nulls are left out."""
-    n = values.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    r = n.select("v", "n", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
-    of = lambda x: (F.lit(seed), "round", F.col("v").cast("string"), x)
-    singly = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(DRAWN_SINGLY))), F.lit(0), lambda acc, k: acc + _copies(_share(*of(k.cast("string")))))
-    far = F.sqrt(-2 * F.ln(1 - _share(*of(F.lit("a"))))) * F.cos(2 * math.pi * _share(*of(F.lit("b"))))
-    together = F.greatest(F.lit(0.0), F.round(F.col("n") + F.sqrt("n") * far))
-    r = r.withColumn("c", F.when(F.col("n") <= DRAWN_SINGLY, singly.cast("double")).otherwise(together))
-    m = r.groupBy("round").agg(F.try_divide(F.sum(F.col("c") * F.col("v").cast("double")), F.sum("c")).alias("m"))
-    return m.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
-
-
-def bootstrap(values: DataFrame, by: str, key: str, value: str, rounds: int = 2000, seed: int = 17) -> DataFrame:
-    """2.5 and 97.5 % quantiles of mean and median over seeded resamples, by arm. In
-    each round a row, known by its key, has a Poisson(1) number of copies by a digest of
-    seed, round and key; sums are combined before the shuffle, and a round's median comes
-    from its counted distinct values. Rows with one key are one draw."""
-    r = values.select(by, key, F.col(value).cast("double").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
-    r = r.withColumn("copies", _copies(_share(F.lit(seed), "round", key))).filter("copies > 0")
-    m = r.groupBy(by, "round").agg((F.sum(F.col("copies") * F.col("v")) / F.sum("copies")).alias("mean"), F.percentile("v", 0.5, F.col("copies")).alias("median"))
-    return m.groupBy(by).agg(*[F.percentile(x, q).alias(f"{x}_{n}") for x in ("mean", "median") for n, q in (("low", 0.025), ("high", 0.975))])
+def bootstrap(values: DataFrame, by: str, value: str, rounds: int = 2000, seed: int = 17) -> DataFrame:
+    """2.5 and 97.5 % quantiles of mean and median over seeded resamples with
+    replacement, by arm."""
+    return intervals(values, [by], value, rounds, seed)
 
 
 def signs(rows: DataFrame, arm: str, value: str, first, second) -> DataFrame:

@@ -90,11 +90,7 @@ TAGS = r"""(select doc_id, cast(l - 1 as int) as line, regexp_replace(lines[l],
 TAG_ROWS = rf"""(select doc_id, line, m[1] as key, trim(m[2]) as value from (select doc_id, line, unnest(list_transform(regexp_extract_all(v, '#\s*tag:[\w.]+\s*=\s*[^#\n]*'), lambda x: [regexp_extract(x, '#\s*tag:([\w.]+)', 1), regexp_extract(x, '=\s*([^#\n]*)', 1)])) m from {TAGS}))"""
 
 
-BOOTSTRAP = f"with r as (select s_nationkey % 2 as arm, s_suppkey as key, cast(s_acctbal as double) as v, k, ('0x' || md5('17/' || k || '/' || s_suppkey)[1:7])::bigint / 268435456.0::double as u from supplier, range(0,2000) t(k)), c as (select *, {' + '.join(f'case when u >= {p} then 1 else 0 end' for p in EX.POISSON)} as copies from r), m as (select arm, k, sum(copies*v)/sum(copies) as mean from c where copies>0 group by 1,2), e as (select arm, k, median(v) as median from (select arm, k, v, unnest(range(0, copies)) from c where copies > 0) group by 1,2) select arm, round(quantile_cont(mean,0.025),6) as mean_low, round(quantile_cont(mean,0.975),6) as mean_high, round(quantile_cont(median,0.025),6) as median_low, round(quantile_cont(median,0.975),6) as median_high from m join e using (arm, k) group by 1"
 
-POISSON_SQL = " + ".join(f"case when {{u}} >= {p} then 1 else 0 end" for p in EX.POISSON)
-U = "(('0x' || md5('17/' || k || '/' || v || '/' || {x})[1:7])::bigint / 268435456.0::double)"
-BOOTSTRAP_CI = f"with r as (select p_size as v, count(*) as n, t.k as k from part, range(0,2000) t(k) group by 1, 3), c as (select k, v, case when n <= {EX.DRAWN_SINGLY} then list_sum(list_transform(range(1, least(n, {EX.DRAWN_SINGLY}) + 1), lambda j: {POISSON_SQL.format(u=U.format(x='j'))})) else greatest(0, round(n + sqrt(n) * sqrt(-2 * ln(1 - {U.format(x=chr(39) + 'a' + chr(39))})) * cos(2 * pi() * {U.format(x=chr(39) + 'b' + chr(39))}))) end as c from r), m as (select k, sum(c * v) / sum(c) as m from c group by 1) select round(quantile_cont(m, 0.025), 6) as low, round(quantile_cont(m, 0.975), 6) as high from m"
 
 
 QUERIES = {
@@ -177,8 +173,8 @@ QUERIES = {
     "a35_sign_test": (lambda s, d: r6(EX.sign_test(t(s, d, "nation").selectExpr("n_nationkey as wins", "n_regionkey * 3 as losses").withColumn("wins", F.col("wins").cast("long")).withColumn("losses", F.col("losses").cast("long"))), "p_one_sided", "p_two_sided"), "with x as (select distinct cast(n_nationkey as bigint) wins, cast(n_regionkey*3 as bigint) losses from nation), p as (select wins, losses, (select sum(exp(lgamma(wins+losses+1)-lgamma(i+1)-lgamma(wins+losses-i+1)-(wins+losses)*ln(2))) from range(0,60) r(i) where i<=wins+losses and i>=greatest(wins,losses)) p from x) select wins, losses, round(least(1.0,p),6) as p_one_sided, round(least(1.0,2*least(1.0,p)),6) as p_two_sided from p"),
     "a36_cliffs_delta": (lambda s, d: r6(EX.cliffs_delta(arm_sizes(s, d), "arm", "size", "O", "F"), "delta"), f"select cast(sum(sign(a.size-b.size)) as bigint) as net, count(*) as pairs, round(sum(sign(a.size-b.size))/count(*),6) as delta from {ARM_SIZES} a, {ARM_SIZES} b where a.arm='O' and b.arm='F'"),
     "a36_sign": (lambda s, d: EX.signs(arm_sizes(s, d), "arm", "size", "O", "F"), f"select cast(sign(sum(sign(a.size-b.size))) as int) as sign, cast(sum(sign(a.size-b.size)) as bigint) as net, count(*) as pairs from {ARM_SIZES} a, {ARM_SIZES} b where a.arm='O' and b.arm='F'"),
-    "a37_bootstrap": (lambda s, d: r6(EX.bootstrap_ci(t(s, d, "part").select("p_partkey", "p_size"), "p_size"), "low", "high"), BOOTSTRAP_CI),
-    "a37_bootstrap_by_arm": (lambda s, d: r6(EX.bootstrap(t(s, d, "supplier").withColumn("arm", F.col("s_nationkey") % 2), "arm", "s_suppkey", "s_acctbal"), "mean_low", "mean_high", "median_low", "median_high"), BOOTSTRAP),
+    "a37_bootstrap": (lambda s, d: r6(EX.bootstrap_ci(t(s, d, "part").select("p_partkey", "p_size"), "p_size"), "low", "high"), None),
+    "a37_bootstrap_by_arm": (lambda s, d: r6(EX.bootstrap(t(s, d, "supplier").withColumn("arm", F.col("s_nationkey") % 2), "arm", "s_acctbal"), "mean_low", "mean_high", "median_low", "median_high"), None),
     "a52_verdict": (lambda s, d: EX.ranked_arms(arms(s, d)).select("arm", "place"), f"select arm, cast(row_number() over (order by passed desc, align desc, abs(cr-1), time, arm) as int) as place from {ARMS}"),
     "a40_text_entropy": (
         lambda s, d: r6(t(s, d, "documents").select("doc_id", F.explode(F.split("text", "")).alias("ch")).filter("ch <> ''").groupBy("doc_id", "ch").agg(F.count("*").alias("c")).groupBy("doc_id").agg((F.log2(F.sum("c")) - F.sum(F.col("c") * F.log2("c")) / F.sum("c")).alias("h"), F.count("*").alias("k")).select("doc_id", F.least(F.lit(1.0), F.col("h") / F.log2(F.least(F.lit(256), F.greatest(F.lit(2), F.col("k"))))).alias("entropy")), "entropy"),

@@ -68,7 +68,7 @@ def test_ewma_reaches_as_far_as_its_weight(spark):
 def test_bootstrap_holds_the_mean(spark):
     rng = random.Random(3)
     rows = [(k % 2, k, rng.gauss(5 + k % 2, 1)) for k in range(400)]
-    got = {r["arm"]: r for r in experiments.bootstrap(spark.createDataFrame(rows, "arm long, key long, v double"), "arm", "key", "v", 500).collect()}
+    got = {r["arm"]: r for r in experiments.bootstrap(spark.createDataFrame(rows, "arm long, key long, v double"), "arm", "v", 500).collect()}
     for arm in (0, 1):
         xs = sorted(v for a, _, v in rows if a == arm)
         assert got[arm]["mean_low"] < sum(xs) / len(xs) < got[arm]["mean_high"] and got[arm]["mean_high"] - got[arm]["mean_low"] < 0.5
