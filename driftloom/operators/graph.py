@@ -257,20 +257,6 @@ def window(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, depth: int, k
     return out.select(F.col("source").alias("lens"), "id", "dist")
 
 
-def bridges(communities: DataFrame, edges: DataFrame, between: DataFrame, beta: DataFrame, pct: float = 0.9, least: float = 0.6) -> DataFrame:
-    """Nodes with neighbours in two communities, betweenness at or above the
-    percentile of such nodes (nearest rank) and a beta of at least ``least``."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    many = both.join(communities.select(F.col("id").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("id")).agg(F.count_distinct("community").alias("n")).filter("n >= 2")
-    cand = checkpointed(many.join(between, "id"))
-    k = cand.count()
-    if not k:
-        return cand.select("id", "betweenness")
-    at = max(1, -(-int(pct * k * 1000) // 1000))
-    cut = cand.orderBy("betweenness", "id").limit(at).agg(F.max("betweenness")).first()[0]
-    return cand.filter(F.col("betweenness") >= cut).join(beta, "id", "left").filter(F.coalesce("beta", F.lit(0.0)) >= least).select("id", "betweenness")
-
-
 def from_facts(defs: DataFrame, calls: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of definitions (module, file, func), calls (file, func, name)
     and imports (file, module); the first node of an id counts, edges keep their number."""

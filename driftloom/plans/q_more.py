@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftloom.functions import exprs as X
+from driftloom.operators import communities as CM
 from driftloom.operators import cycles as CY
 from driftloom.operators import experiments as EX
 from driftloom.operators import fields as FD
@@ -36,6 +37,16 @@ def other(s, d):
     return p.select((F.col("image") - 1).alias("image"), "x", "y", "g")
 
 
+def real_bridges(s, d):
+    """Suppliers and parts between the communities of their graph; beta is a balance or a
+    price in its range."""
+    n, e = graph(s, d)
+    between = G.betweenness(G.sampled(n), trade(s, d)[1], n)
+    of = lambda x, key, sign, v: FD.minmax(x.select(key, v), v).select(F.concat(F.lit(sign), key).alias("id"), F.col("norm").cast("double").alias("beta"))
+    beta = of(t(s, d, "supplier"), "s_suppkey", "s", "s_acctbal").unionByName(of(t(s, d, "part"), "p_partkey", "p", "p_retailprice"))
+    return r6(CM.bridges(CM.label_communities(n, e), e, between, beta), "betweenness")
+
+
 def pair(s, d):
     return PX.pairs(pixels(s, d), other(s, d))
 
@@ -102,7 +113,7 @@ QUERIES = {
     "g02_bfs": (lambda s, d: G.bfs(sources(s, d), nation_graph(s, d)[1]).select("source", "id", F.col("dist").cast("int").alias("dist")), f"with recursive {BFS} select source, id, min(dist) as dist from b group by 1,2"),
     "g03_harmonic": (lambda s, d: r6(G.harmonic_in(sources(s, d), nation_graph(s, d)[1], nodes_of(s, d)), "harmonic"), f"with recursive {BFS}, m as (select source, id, min(dist) dist from b group by 1,2) select n_nationkey as id, round(coalesce(h,0),6) as harmonic from nation left join (select id, sum(1.0/dist)/5 h from m where dist>0 group by 1) on id=n_nationkey"),
     "g04_betweenness": (lambda s, d: r6(G.betweenness(G.sampled(graph(s, d)[0]), trade(s, d)[1], graph(s, d)[0]), "betweenness"), None),
-    "g05_label_propagation": (lambda s, d: G.label_propagation(*graph(s, d)), None),
+    "g05_label_propagation": (lambda s, d: CM.label_communities(*graph(s, d)), None),
     "g06_grid_label_propagation": (lambda s, d: G.label_propagation(graph(s, d)[0], graph(s, d)[1].withColumn("weight", 1 + F.col("weight") / 1000), rounds=10, weight="weight"), None),
     "g09_components": (lambda s, d: G.connected(nodes_of(s, d), nation_graph(s, d)[1].filter("(src + dst) % 4 = 0")), f"with recursive e as (select src, dst from {NATION_EDGES} where (src+dst)%4=0), u as (select src, dst from e union select dst, src from e), r as (select n_nationkey id, n_nationkey lab from nation union select u.dst, r.lab from r join u on u.src=r.id) select id, min(lab) as component from r group by 1"),
     "g10_clustering": (
@@ -116,7 +127,7 @@ QUERIES = {
     ),
     "g14_cycles": (lambda s, d: CY.components(flows(s, d)[1]), None),
     "g14_cycles_nations": (lambda s, d: CY.components(nation_graph(s, d)[1]), f"with recursive e as ({NATION_EDGES[1:-1]}), reach(a, b) as (select src, dst from e union select a, dst from reach join e on b = src) select x.a as id, min(x.b) as component from reach x join reach y on x.a = y.b and x.b = y.a group by 1"),
-    "j25_bridges": (lambda s, d: G.bridges(graph(s, d)[0].select("id", (number() % 3).alias("community")), graph(s, d)[1], graph(s, d)[0].select("id", (number() * 11 % 25 / 25).alias("betweenness")), graph(s, d)[0].select("id", F.lit(0.8).alias("beta")), 0.5), None),
+    "j25_bridges": (real_bridges, None),
     "g12_graph_from_facts": (
         lambda s, d: G.from_facts(t(s, d, "part").selectExpr("p_brand as module", "p_type as file", "p_name as func").distinct(), t(s, d, "part").selectExpr("p_type as file", "p_name as func", "p_brand as name"), t(s, d, "part").selectExpr("p_type as file", "p_brand as module"))[1].groupBy("kind").agg(F.count("*").alias("edges")),
         "select 'define' as kind, (select count(*) from (select distinct p_brand, p_type from part)) + (select count(*) from (select distinct p_brand, p_type, p_name from part)) as edges union all select 'call', count(*) from part union all select 'import', count(*) from part",
