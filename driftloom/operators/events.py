@@ -92,20 +92,26 @@ def stale(snapshots: DataFrame, current: DataFrame, key: str, digest: str) -> Da
     return j.filter(~F.col(digest).eqNullSafe(F.col("_d"))).drop("_d")
 
 
-def causal_chain(rows: DataFrame, key: str, parent: str, rounds: int = 20) -> DataFrame:
+def causal_chain(rows: DataFrame, key: str, parent: str) -> DataFrame:
     """Root and depth of every row by pointer doubling: each round doubles how far a
-    row sees, so a chain of n rows takes log2(n) joins."""
+    row sees, so a chain of n rows takes log2(n) joins. Rows whose parents form a cycle
+    have no root: when a row still isn't at one after as many steps as there are rows, that
+    is an error."""
     from driftloom.operators.graph import checkpointed
 
     cur = rows.select(F.col(key).alias("id"), F.coalesce(parent, key).alias("up"), F.when(F.col(parent).isNull(), 0).otherwise(1).cast("long").alias("depth"))
     # a parent that isn't there ends the chain
     known = rows.select(F.col(key).alias("up"), F.lit(1).alias("_k")).distinct()
     cur = cur.join(known, "up", "left").select("id", F.when(F.col("_k").isNull(), F.col("id")).otherwise(F.col("up")).alias("up"), F.when(F.col("_k").isNull(), 0).otherwise(F.col("depth")).cast("long").alias("depth"))
-    for _ in range(rounds):
+    seen, n = 1, cur.count()
+    while True:
         nxt = cur.select(F.col("id").alias("up"), F.col("up").alias("_u"), F.col("depth").alias("_d"))
         cur = checkpointed(cur.join(nxt, "up").select("id", F.col("_u").alias("up"), (F.col("depth") + F.col("_d")).alias("depth"), (F.col("_d") > 0).alias("_more")))
         if not cur.filter("_more").limit(1).count():
             break
+        if seen > n:
+            raise ValueError("the parents form a cycle")
+        seen *= 2
     return cur.select(F.col("id").alias(key), F.col("up").alias("root"), "depth")
 
 

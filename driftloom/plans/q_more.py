@@ -12,7 +12,7 @@ from driftloom.operators import fields as FD
 from driftloom.operators import graph as G
 from driftloom.operators import pixels as PX
 from driftloom.operators import series as S
-from driftloom.plans.roles import EDGES, NATION_EDGES, NODES, PIXELS, TOKENS, flows, graph, nation_graph, pixels, t, tokens, trade
+from driftloom.plans.roles import EDGES, NATION_EDGES, NODES, PIXELS, TOKENS, flows, graph, main_links, nation_graph, pixels, t, tokens, trade
 
 
 def r6(df, *names):
@@ -38,10 +38,11 @@ def other(s, d):
 
 
 def real_bridges(s, d):
-    """Suppliers and parts between the communities of their graph; beta is a balance or a
-    price in its range."""
-    n, e = graph(s, d)
-    between = G.betweenness(G.sampled(n), trade(s, d)[1], n)
+    """Suppliers and parts between the communities of their main links; beta is a balance
+    or a price in its range."""
+    n, e = main_links(s, d)
+    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    between = G.betweenness(G.sampled(n), both, n)
     of = lambda x, key, sign, v: FD.minmax(x.select(key, v), v).select(F.concat(F.lit(sign), key).alias("id"), F.col("norm").cast("double").alias("beta"))
     beta = of(t(s, d, "supplier"), "s_suppkey", "s", "s_acctbal").unionByName(of(t(s, d, "part"), "p_partkey", "p", "p_retailprice"))
     return r6(CM.bridges(CM.label_communities(n, e), e, between, beta), "betweenness")

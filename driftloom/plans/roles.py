@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 K = "cast(get_json_object(props, '$.k') as bigint)"
 
@@ -80,6 +81,14 @@ def flows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return graph(spark, sf_dir)[0], x.select(F.when(back, p).otherwise(s).alias("src"), F.when(back, s).otherwise(p).alias("dst"), "weight")
 
 
+def main_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``graph`` with each part's largest supplier and each supplier's ten largest parts
+    only, so that it has communities."""
+    n, e = graph(spark, sf_dir)
+    place = lambda by, other: F.row_number().over(W.partitionBy(by).orderBy(F.desc("weight"), other))
+    return n, e.withColumn("_a", place("dst", "src")).withColumn("_b", place("src", "dst")).filter("_a = 1 OR _b <= 10").drop("_a", "_b")
+
+
 def nation_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A directed graph of nations: from the customer's nation to the supplier's, where
     many orders go; small at any scale, for the iterative operators' twins."""

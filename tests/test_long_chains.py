@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from driftloom.operators import cycles, evidence, graph
+from driftloom.operators import cycles, events, evidence, graph
 
 
 def chain(spark, n):
@@ -25,3 +25,11 @@ def test_subtree_of_a_long_chain(spark):
 
 def test_a_long_chain_has_no_cycle(spark):
     assert cycles.components(chain(spark, 204)).count() == 0
+
+
+def test_causal_chains_end_and_cycles_are_errors(spark):
+    rows = spark.range(1000).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"))
+    got = {r["id"]: (r["root"], r["depth"]) for r in events.causal_chain(rows, "id", "parent").collect()}
+    assert got == {k: (0, k) for k in range(1000)}
+    with pytest.raises(ValueError):
+        events.causal_chain(spark.createDataFrame([(1, 2), (2, 3), (3, 2)], "id long, parent long"), "id", "parent")
