@@ -45,12 +45,29 @@ def chains(events: DataFrame, key: str, kinds: list[str], seconds: int) -> DataF
     return out.select(key, *[f"id{k}" for k in range(len(kinds))])
 
 
-def coupling(changes: DataFrame, commit: str, path: str) -> DataFrame:
-    """Pairs of files changed together, counted. The pairs are the result; AQE
-    splits the join where one commit has very many files."""
-    d = changes.select(commit, path).distinct()
-    a, b = d.select(commit, F.col(path).alias("a")), d.select(commit, F.col(path).alias("b"))
-    return a.join(b, commit).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("together"))
+#: Files of a commit that meet in one unit of work.
+UNIT = 500
+
+
+def units(files: DataFrame, commit: str, path: str, unit: int = UNIT) -> tuple[DataFrame, DataFrame]:
+    """Left and right sides of the pairs of distinct ``files``, as ``commit, i, j`` and a
+    path (``a`` or ``b``). A commit of more than ``unit`` files is cut into chunks, each pair
+    of which is a unit; so any two files meet in one unit, and none holds a large commit."""
+    d = files.select(F.col(commit).alias("commit"), F.col(path).alias("path")).distinct()
+    large = d.groupBy("commit").agg(F.count("*").alias("n")).filter(F.col("n") > unit)
+    d = d.join(large, "commit", "left").withColumn("n", F.coalesce(F.ceil(F.col("n") / unit), F.lit(1)).cast("int"))
+    d = d.withColumn("k", F.pmod(F.xxhash64("path"), F.col("n")).cast("int"))
+    left = d.select("commit", F.col("path").alias("a"), F.col("k").alias("i"), F.explode(F.sequence("k", F.col("n") - 1)).alias("j"))
+    right = d.select("commit", F.col("path").alias("b"), F.explode(F.sequence(F.lit(0), "k")).alias("i"), F.col("k").alias("j"))
+    return left, right
+
+
+def coupling(changes: DataFrame, commit: str, path: str, unit: int = UNIT) -> DataFrame:
+    """Pairs of files changed together, counted; counts are combined before they are
+    shuffled, and a large commit is dealt to many tasks."""
+    left, right = units(changes, commit, path, unit)
+    pairs = left.join(right, ["commit", "i", "j"]).filter((F.col("i") < F.col("j")) | (F.col("a") < F.col("b")))
+    return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("together"))
 
 
 def nearest_before(points: DataFrame, marks: DataFrame, by: str, at: str, name: str) -> DataFrame:
