@@ -12,7 +12,7 @@ from driftloom.operators import fields as FD
 from driftloom.operators import graph as G
 from driftloom.registry import fields, operators
 
-MODULES = ("delta", "events", "evidence", "experiments", "fields", "graph", "pixels", "reports", "series", "tiles")
+MODULES = ("communities", "cycles", "delta", "events", "evidence", "experiments", "fields", "graph", "pixels", "prefix", "reports", "resamples", "selection", "series", "tiles")
 
 
 def _register_operators() -> None:

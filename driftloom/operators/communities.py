@@ -18,10 +18,10 @@ from driftloom.operators.graph import checkpointed, stored
 from driftloom.operators.selection import at_ranks
 
 
-def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
-    """``df`` with the place of each row in order of ``by``, from 0: sorted over ranges; the
-    driver sees a count a range."""
-    at = checkpointed(df.orderBy(by).withColumn("_m", F.monotonically_increasing_id()))
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """``df`` with the place of each row in an order, from 0: sorted over ranges; the driver
+    sees a count a range."""
+    at = checkpointed(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()))
     part, place = F.shiftright("_m", 33), F.col("_m").bitwiseAND((1 << 33) - 1)
     starts, n = [F.lit(-1).cast("long"), F.lit(0).cast("long")], 0
     for r in at.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect():
@@ -76,7 +76,7 @@ def label_communities(nodes: DataFrame, edges: DataFrame, rounds: int = 20, orde
             cur = nxt.select("id", "label")
         if not changed:
             break
-    names = stored(numbered(cur.select("label").distinct(), "label", "community"))
+    names = stored(numbered(cur.select("label").distinct(), ["label"], "community"))
     return cur.join(names, "label").select("id", "community")
 
 

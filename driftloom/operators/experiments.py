@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from driftloom.operators.communities import numbered
 from driftloom.operators.graph import checkpointed
 from driftloom.operators.resamples import intervals
 
@@ -74,6 +75,6 @@ def signs(rows: DataFrame, arm: str, value: str, first, second) -> DataFrame:
 
 
 def ranked_arms(rows: DataFrame) -> DataFrame:
-    """By passes, then alignment, then |cr - 1|, then time."""
-    w = W.orderBy(F.desc("passed"), F.desc("align"), F.abs(F.col("cr") - 1), "time", "arm")
-    return rows.withColumn("place", F.row_number().over(w))
+    """By passes, then alignment, then |cr - 1|, then time; placed over ranges."""
+    placed = numbered(rows, [F.desc("passed"), F.desc("align"), F.abs(F.col("cr") - 1), F.col("time"), F.col("arm")], "place")
+    return placed.withColumn("place", (F.col("place") + 1).cast("int"))
