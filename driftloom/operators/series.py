@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -95,7 +101,37 @@ def latest(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataF
     return rows.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col("_r") <= n).drop("_r")
 
 
-def pareto_front(rows: DataFrame, by: str, high: str, low: str) -> DataFrame:
-    """Rows for which no row with more of ``high`` has as little of ``low``."""
-    w = W.partitionBy(by).orderBy(F.desc(high), F.asc(low)).rowsBetween(W.unboundedPreceding, -1)
-    return rows.withColumn("_m", F.min(low).over(w)).filter(F.col("_m").isNull() | (F.col(low) < F.col("_m"))).drop("_m")
+def _local_fronts(by: list[str], high: str, low: str):
+    """Of a task's rows, those that no other row of the task shows not to be on the front.
+    Held are the fronts so far; rows with nulls are handed on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            full = pc.and_(pc.is_valid(rows[high]), pc.is_valid(rows[low]))
+            yield from rows.filter(pc.invert(full)).to_batches()
+            rows = rows.filter(full)
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            x = pd.DataFrame({"key": np.zeros(len(rows), int), "high": rows[high].to_numpy(), "low": rows[low].to_numpy(), "at": np.arange(len(rows))})
+            if by:
+                x["key"] = rows.select(by).to_pandas().groupby(by, dropna=False, sort=False).ngroup()
+            x = x.sort_values(["key", "high", "low"], ascending=[True, False, True], kind="stable")
+            before = x.groupby("key")["low"].cummin().groupby(x["key"]).shift()
+            held = rows.take(pa.array(x.loc[before.isna() | (x["low"] < before), "at"])).combine_chunks()
+        if held is not None:
+            yield from held.to_batches()
+
+    return run
+
+
+def pareto_front(rows: DataFrame, by: str | None, high: str, low: str) -> DataFrame:
+    """Rows for which no row with more of ``high`` has as little of ``low``, by key, or
+    of all rows; of equal rows one. Each task finds the fronts of its own rows first, so only
+    those are shuffled and merged."""
+    keys = [by] if by else []
+    x = rows.withColumns({"_h": F.col(high).cast("double"), "_l": F.col(low).cast("double")})
+    x = x.mapInArrow(_local_fronts(keys, "_h", "_l"), x.schema).drop("_h", "_l")
+    w = W.partitionBy(*keys).orderBy(F.desc(high), F.asc(low)).rowsBetween(W.unboundedPreceding, -1)
+    return x.withColumn("_m", F.min(low).over(w)).filter(F.col("_m").isNull() | (F.col(low) < F.col("_m"))).drop("_m")
+
