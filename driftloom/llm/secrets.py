@@ -40,6 +40,7 @@ BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+=*+")
 LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
 HEADS = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x20\x5e\x7d\x9c\xbb\xda\xf9]|BZh[1-9]1AY&SY|\xfd7zXZ\x00")
+WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){6,}+[\t\n\r\x20-\x7e]?|(?:\x00[\t\n\r\x20-\x7e]){6,}+")
 ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 PERCENT = re.compile(r"%([0-9A-Fa-f]{2})")
 #: Where the letters of a layer stand in the original: one span for all, or starts and ends.
@@ -92,7 +93,8 @@ def _inflated(raw: bytes) -> list[bytes]:
 
 def readings(raw: bytes) -> list[str]:
     """Texts that bytes hold: themselves, and what is compressed in them, to any depth.
-    Bytes that aren't UTF-8 are read as Latin-1."""
+    Bytes that aren't UTF-8 are read as Latin-1; ASCII letters with a NUL at every second
+    place, as UTF-16 has them, are read without."""
     out, work, seen = [], [raw], set()
     while work:
         data = work.pop()
@@ -105,16 +107,27 @@ def readings(raw: bytes) -> list[str]:
         except UnicodeDecodeError:
             out.append(data.decode("utf-16" if data[:2] in (b"\xff\xfe", b"\xfe\xff") else "latin-1", "replace"))
             work += _inflated(data)
+        if b"\0" in data:
+            out += [m[0].replace(b"\0", b"").decode("ascii") for m in WIDE.finditer(data)]
     return out
 
 
 def _unpacked(body: str) -> list[str]:
+    """What base64 in a run of its letters holds. A path or a word with a hyphen may run
+    straight into it, so the run is read from each of the first four letters: one of them
+    is in step with the data wherever it starts; what comes before reads as noise."""
     body = body.rstrip("=").replace("-", "+").replace("_", "/")
-    body = body[: len(body) - (len(body) % 4 == 1)]
-    try:
-        return readings(base64.b64decode(body + "=" * (-len(body) % 4), validate=True))
-    except (binascii.Error, ValueError):
-        return []
+    out: list[str] = []
+    for first in range(4):
+        part = body[first:]
+        part = part[: len(part) - (len(part) % 4 == 1)]
+        if first and len(part) < 16:
+            break
+        try:
+            out += readings(base64.b64decode(part + "=" * (-len(part) % 4), validate=True))
+        except (binascii.Error, ValueError):
+            continue
+    return out
 
 
 def blocks(text: str) -> list[tuple[int, int, str]]:
