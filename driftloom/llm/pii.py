@@ -18,7 +18,7 @@ match of the same shape; a longer word counts by what of it is in there.
 
 Results for special cases: null and empty texts have no spans; repeated rows each have
 their row; in a null ``doc_id`` nothing changes, as rows aren't looked up by doc_id; long
-texts are read whole; further columns are ignored by :func:`find` and kept by
+texts are read whole, in time by their length and n log n in their matches; further columns are ignored by :func:`find` and kept by
 :func:`redact`; an empty table gives an empty result.
 """
 
@@ -93,6 +93,18 @@ def _is(kind: str) -> Callable[[Column], Column]:
 NO_SPANS = "array<struct<kind:string,start:int,end:int,value:string,before:string,after:string>>"
 
 
+def _running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Running sums (or maxima) of an array: in round k each place takes in the one 2^k
+    before it, so n values take n log n steps and no list is copied for each of them."""
+    rounds = F.sequence(F.lit(0), F.floor(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int"))
+
+    def step(acc: Column, k: Column) -> Column:
+        back = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(acc, lambda x, i: F.when(i < back, x).otherwise(join(x, F.get(acc, i - back))))
+
+    return F.aggregate(rounds, values, step)
+
+
 def _with_matches(df: DataFrame, name: str, kind: str, pattern: str, hint: Column) -> DataFrame:
     """Adds ``name``: the matches in order as structs of kind, start, end (code points),
     value and the text just before and after. The pieces between the matches give the places, as
@@ -102,20 +114,36 @@ def _with_matches(df: DataFrame, name: str, kind: str, pattern: str, hint: Colum
     df = df.withColumn("_found", found)
     df = df.withColumn("_pieces", F.when(F.size("_found") > 0, F.split("_text", pattern, -1)))
     n = F.size("_found")
-    near = F.zip_with(F.slice("_pieces", F.lit(1), n), F.slice("_pieces", F.lit(2), n), lambda p, q: F.struct(p.alias("p"), F.left(q, F.lit(CONTEXT_CHARS)).alias("q")))
+    ahead = F.slice("_pieces", F.lit(1), n)
+    near = F.zip_with(ahead, F.slice("_pieces", F.lit(2), n), lambda p, q: F.struct(F.right(p, F.lit(CONTEXT_CHARS)).alias("p"), F.left(q, F.lit(CONTEXT_CHARS)).alias("q")))
     pairs = F.zip_with(near, "_found", lambda x, m: F.struct(x["p"].alias("p"), x["q"].alias("q"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(NO_SPANS).alias("out"))
+    ends = _running(F.zip_with(ahead, "_found", lambda p, m: F.length(p) + F.length(m)), lambda x, y: x + y)
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(x["p"])
-        end = at + F.length(x["m"])
-        one = F.struct(F.lit(kind).alias("kind"), at.alias("start"), end.alias("end"), x["m"].alias("value"), F.right(x["p"], F.lit(CONTEXT_CHARS)).alias("before"), x["q"].alias("after"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def span(x: Column, end: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), (end - F.length(x["m"])).alias("start"), end.alias("end"), x["m"].alias("value"), x["p"].alias("before"), x["q"].alias("after"))
 
-    spans = F.when(F.col("_pieces").isNotNull(), F.aggregate(pairs, start, step, lambda acc: acc["out"]))
+    spans = F.when(F.col("_pieces").isNotNull(), F.zip_with(pairs, ends, span))
     return df.withColumn(name, F.coalesce(spans, F.array().cast(NO_SPANS))).drop("_found", "_pieces")
 
 
+def _outside(others: Column, base: Column) -> Column:
+    """The spans of ``others`` that meet none of ``base``. All are put in order of their
+    starts; a base span that starts no later is met if the largest end so far lies behind
+    the start, one that starts later if the next base start lies before the end."""
+    late = F.lit(2**31 - 1)
+    known = F.transform(base, lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("other"), s.alias("span")))
+    rows = F.array_sort(F.concat(known, F.transform(others, lambda s: F.struct(s["start"].alias("start"), F.lit(1).alias("other"), s.alias("span")))))
+
+    def free(r: Column) -> Column:
+        ends = _running(F.transform(r, lambda x: F.when(x["other"] == 0, x["span"]["end"]).otherwise(0)), F.greatest)
+        nexts = F.reverse(_running(F.transform(F.reverse(r), lambda x: F.when(x["other"] == 0, x["start"]).otherwise(late)), F.least))
+        beside = F.zip_with(ends, nexts, lambda e, n: F.struct(e.alias("e"), n.alias("n")))
+        kept = F.zip_with(r, beside, lambda x, y: F.when((x["other"] == 1) & (y["e"] <= x["start"]) & (y["n"] >= x["span"]["end"]), x["span"]))
+        return F.filter(kept, lambda s: s.isNotNull())
+
+    return F.transform(F.array(rows), free)[0]  # sorted once, for all uses
+
+
 def _masked(words: Column) -> Column:
     return F.regexp_replace(F.lower(words), "[0-9]", "#")
 
@@ -153,8 +181,8 @@ def spans_of(docs: DataFrame) -> DataFrame:
     for shape, (pattern, hint) in OTHERS.items():
         out = _with_matches(out, f"_{shape}", "other", pattern, F.col("_text").rlike(hint))
     out = out.withColumn("_other", F.concat(*[f"_{shape}" for shape in OTHERS]))
-    free = F.filter("_other", lambda o: ~F.exists("base", lambda b: (b["start"] < o["end"]) & (o["start"] < b["end"])))
-    out = out.withColumn("other", free)
+    mixed = (F.size("_other") > 0) & (F.size("base") > 0)
+    out = out.withColumn("other", F.when(mixed, _outside(F.col("_other"), F.col("base"))).otherwise(F.col("_other")))
     key = F.when(F.size("other") > 0, F.sha2("_text", 256)).otherwise(F.xxhash64("_text").cast("string"))
     return out.withColumn("key", key).drop("_text", "_other", *[f"_{k}" for k in (*KINDS, *OTHERS)])
 
@@ -226,27 +254,58 @@ def find(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", *n, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def _cut(text: Column, cuts: Column) -> Column:
+    """The text's pieces between rising places, one more than places. Each round cuts every
+    piece at the middle one of its places, so a letter is read once a round and the rounds
+    are the logarithm of the number of places."""
+    whole = F.struct(text.alias("s"), F.lit(0).alias("at"), F.lit(0).alias("low"), F.size(cuts).alias("high"))
+    rounds = F.sequence(F.lit(0), F.floor(F.log2(F.greatest(F.size(cuts), F.lit(1)))).cast("int"))
+
+    def halves(p: Column, mid: Column, cut: Column) -> Column:
+        left = F.struct(F.substring(p["s"], F.lit(1), cut - p["at"]).alias("s"), p["at"].alias("at"), p["low"].alias("low"), mid.alias("high"))
+        right = F.struct(F.substring(p["s"], cut - p["at"] + 1, F.length(p["s"])).alias("s"), cut.alias("at"), (mid + 1).alias("low"), p["high"].alias("high"))
+        return F.when(p["low"] >= p["high"], F.array(p)).otherwise(F.array(left, right))
+
+    def step(acc: Column, k: Column) -> Column:
+        def split(p: Column) -> Column:
+            mid = F.shiftright(p["low"] + p["high"], 1)
+            return halves(p, mid, F.get(acc["cuts"], mid))
+
+        return F.struct(acc["cuts"].alias("cuts"), F.flatten(F.transform(acc["pieces"], split)).alias("pieces"))
+
+    return F.aggregate(rounds, F.struct(cuts.alias("cuts"), F.array(whole).alias("pieces")), step, lambda acc: F.transform(acc["pieces"], lambda p: p["s"]))
+
+
+def _redacted(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_clean``: the text with every run of overlapping spans as the kind
+    of its first one in brackets."""
+    some = F.size("spans") > 0
+    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+    rows = rows.withColumn("_ordered", F.when(some, ordered))
+    rows = rows.withColumn("_ends", F.when(some, _running(F.transform("_ordered", lambda s: -s["back"]), F.greatest)))
+    n = F.size("_ordered")
+    before = F.concat(F.array(F.lit(0)), F.slice("_ends", F.lit(1), n - 1))
+    # a run opens where a span starts behind all spans before it
+    opened = F.zip_with("_ordered", before, lambda s, end: F.when(s["start"] >= end, F.struct(s["start"].alias("start"), s["kind"].alias("kind"))))
+    rows = rows.withColumn("_opened", F.when(some, opened))
+    runs = F.filter("_opened", lambda s: s.isNotNull())
+    last = F.concat(F.transform(F.slice("_opened", F.lit(2), n), lambda s: s.isNotNull()), F.array(F.lit(True)))
+    ends = F.filter(F.zip_with("_ends", last, lambda end, x: F.when(x, end)), lambda end: end.isNotNull())
+    cuts = F.flatten(F.zip_with(runs, ends, lambda s, end: F.array(s["start"], end)))
+    names = F.flatten(F.transform(runs, lambda s: F.array(F.lit(None).cast("string"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))))
+    rows = rows.withColumn("_parts", F.when(some, _cut(F.col("text"), cuts)))
+    clean = F.array_join(F.zip_with("_parts", names, lambda part, name: F.coalesce(name, part)), "")
+    return rows.withColumn("_clean", F.when(some, clean).otherwise(F.col("text")))
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; of overlapping spans
     the first (the longest from one start) is named. n_chars follows the text."""
-    found = saved(spans_of(docs.select("text")).filter(F.size("base") + F.size("other") > 0).select("base", "other", "key"))
+    # a filter before the write would be pushed down and repeat every search
+    found = saved(spans_of(docs.select("text")).select("base", "other", "key"))
     rows = docs.select(packed(docs), "text")
-    out = _with_spans(spans_of(rows), stored(discovered(found)))
-    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
-    text = F.col("text")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        inside = s["start"] < acc["at"]
-        return F.struct(
-            F.greatest(acc["at"], -s["back"]).alias("at"),
-            F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.array(piece))).alias("out"),
-        )
-
-    cleaned = F.aggregate(ordered, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    out = _redacted(_with_spans(spans_of(rows), stored(discovered(found))))
     some = F.size("spans") > 0
-    out = out.withColumn("_clean", F.when(some, cleaned).otherwise(text))
     new = {"text": F.col("_clean")}
     if "n_chars" in docs.columns:
         n = F.length("_clean").cast(docs.schema["n_chars"].dataType)
