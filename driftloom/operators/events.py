@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import fnmatch
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window as W
 
+#: Letters of an inner literal that J27 looks up, and tasks that a literal's keys go to.
+GRAM, SALTS = 3, 16
+
+
 def path_pairs(events: DataFrame, key: str, first: str, then: str, seconds: int, between: str | None = None) -> DataFrame:
     """A then B of one key within a window, and no X strictly between.
 
@@ -132,25 +139,72 @@ def causal_chain(rows: DataFrame, key: str, parent: str) -> DataFrame:
     return cur.select(F.col("id").alias(key), F.col("up").alias("root"), "depth")
 
 
+def _regex(glob: str) -> str:
+    """A glob for the whole key as a Java regex: case counts, sets in brackets too."""
+    return r"\A" + fnmatch.translate(glob)[:-2] + r"\z"
+
+
+@F.udf(StringType())
+def _regex_of(glob):  # of the rule table only, never of the keys
+    return None if glob is None else _regex(glob)
+
+
+def pattern_anchors(patterns: DataFrame) -> DataFrame:
+    """Rules with ``side, literal``: what a key must have to match. The longer of the
+    letters before the first and after the last wildcard; if these are fewer than three,
+    three letters between wildcards; a rule without any letter has side ``all``."""
+    p = F.col("pattern")
+    head, tail = F.regexp_extract(p, r"^[^*?\[]*", 0), F.regexp_extract(p, r"[^*?\[\]]*\z", 0)
+    inner = F.filter(F.split(p, "[*?]", -1), lambda x: F.length(x) >= GRAM)
+    gram = F.when(~p.contains("[") & (F.size(inner) > 0), F.left(inner[0], F.lit(GRAM)))
+    rows = patterns.select("*", head.alias("_h"), tail.alias("_t"), gram.alias("_g"))
+    best = F.greatest(F.length("_h"), F.length("_t"))
+    side = F.when((best < GRAM) & F.col("_g").isNotNull(), "gram").when(best == 0, "all").when(F.length("_h") == best, "head").otherwise("tail")
+    rows = rows.withColumn("side", side)
+    return rows.withColumn("literal", F.when(side == "gram", F.col("_g")).when(side == "head", F.col("_h")).when(side == "tail", F.col("_t")).otherwise("")).drop("_h", "_t", "_g")
+
+
+def pattern_hits(keys: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Every ``key`` with every rule whose glob it matches. Keys are looked up by the
+    rules' literals as equal join keys, and only what is found there is matched. Keys are
+    dealt over SALTS tasks a literal, so a frequent one is no hot key."""
+    rules = pattern_anchors(patterns.filter("pattern is not null")).withColumn("_regex", _regex_of("pattern"))
+    sizes = {side: sorted(n) for side, n in rules.groupBy("side").agg(F.collect_set(F.length("literal"))).collect()}  # at most the longest rule's length each
+    k, size = F.col("key"), F.length("key")
+    anchor = lambda side, x: F.struct(F.lit(side).alias("side"), x.alias("literal"))
+    wanted = [F.when(size >= n, anchor("head", F.left(k, F.lit(n)))) for n in sizes.get("head", [])]
+    wanted += [F.when(size >= n, anchor("tail", F.right(k, F.lit(n)))) for n in sizes.get("tail", [])]
+    wanted += [anchor("all", F.lit(""))] if "all" in sizes else []
+    found = F.filter(F.array(*wanted), lambda x: x.isNotNull()) if wanted else F.array().cast("array<struct<side:string,literal:string>>")
+    if "gram" in sizes:
+        grams = F.when(size >= GRAM, F.array_distinct(F.transform(F.sequence(F.lit(1), size - (GRAM - 1)), lambda i: F.substring(k, i, F.lit(GRAM)))))
+        found = F.concat(found, F.transform(F.coalesce(grams, F.array().cast("array<string>")), lambda g: anchor("gram", g)))
+    looked = keys.filter(k.isNotNull()).select("*", F.pmod(F.xxhash64(k), F.lit(SALTS)).alias("_salt"), F.explode(found).alias("_a"))
+    looked = looked.withColumn("side", F.col("_a.side")).withColumn("literal", F.col("_a.literal")).drop("_a")
+    dealt = rules.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return looked.join(dealt, ["side", "literal", "_salt"]).filter(F.rlike(k, F.col("_regex"))).drop("side", "literal", "_salt", "_regex")
+
+
 def pattern_join(keys: DataFrame, patterns: DataFrame, prefer: dict[str, int], deny: list[str], history: list[str]) -> DataFrame:
-    """The best key of each slot. ``patterns``: slot, idx, pattern (glob), weight; a
-    bounded rule table. Of a key's patterns in a slot the lowest idx counts; score is
+    """The best key of each slot. ``patterns``: slot, idx, pattern (glob), weight. Of
+    a key's patterns in a slot the lowest idx counts, then the largest weight; score is
     1000 - idx + weight + 120 if the pattern is the key + max(0, 80 - 5 rank) + 25 for a
-    key of the history; ties go to the preferred, then to the first by name."""
-    from pyspark.sql.functions import broadcast
-
-    like = F.replace(F.replace(F.col("pattern"), F.lit("*"), F.lit("%")), F.lit("?"), F.lit("_"))
-    hit = keys.filter(~F.col("key").isin(*deny)).join(broadcast(patterns.withColumn("_like", like)), F.expr("key LIKE _like"))
-    first = hit.groupBy("slot", "key").agg(F.min_by(F.struct("idx", "pattern", "weight"), "idx").alias("p"))
-    rank = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in prefer.items() for x in kv]), F.col("key")), F.lit(999))
+    key of the history; ties go to the preferred, then to the first by name. Keys that
+    match a glob of ``deny`` are out; null keys match nothing."""
+    allowed = keys
+    for glob in deny:
+        allowed = allowed.filter(~F.col("key").rlike(_regex(glob)))
+    hit = pattern_hits(allowed, patterns)
+    first = hit.groupBy("slot", "key").agg(F.min_by(F.struct("idx", "pattern", "weight"), F.struct("idx", -F.col("weight"))).alias("p"))
+    rank = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in prefer.items() for x in kv]), F.col("key")), F.lit(999)) if prefer else F.lit(999)
     score = 1000 - F.col("p.idx") + F.col("p.weight") + F.when(F.col("p.pattern") == F.col("key"), 120).otherwise(0) + F.greatest(F.lit(0), 80 - 5 * rank) + F.when(F.col("key").isin(*history), 25).otherwise(0)
     best = first.select("slot", "key", score.alias("score"), rank.alias("rank"))
     return _best(best)
 
 
 def _best(scored: DataFrame) -> DataFrame:
-    w = W.partitionBy("slot").orderBy(F.desc("score"), "rank", "key")
-    return scored.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("slot", "key", "score")
+    first = F.min_by(F.struct("key", "score"), F.struct(-F.col("score"), "rank", "key"))
+    return scored.groupBy("slot").agg(first.alias("b")).select("slot", "b.key", "b.score")
 
 
 def fused_findings(findings: DataFrame, by: list[str], line: str, tolerance: int = 2) -> DataFrame:
