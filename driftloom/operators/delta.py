@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -232,14 +236,17 @@ def source_tokens(old: Column, new: Column) -> Column:
     return F.concat(token("ΔIMPORT", F.array_except(imports(new), imports(old))), token("ADD_FN", F.array_except(F.map_keys(b), F.map_keys(a))), token("DEL_FN", F.array_except(F.map_keys(a), F.map_keys(b))), token("MODIFY_SIG", changed))
 
 
-@F.udtf(returnType="key string")
+@F.arrow_udtf(returnType="key string")
 class RowKeys:
-    """The keys of a row as a table function, for vocabularies of one's own; those of
-    :func:`token_keys` need no Python and are the faster way."""
-
-    def eval(self, kind: str | None, bucket: int | None):
-        if kind is not None:
-            yield (f"T:{kind}",)
-            yield (f"KIND:{kind.split('_')[0]}",)
-        if bucket is not None:
-            yield (f"U:{bucket % 10}",)
+    """The keys of rows of ``kind, bucket`` as a table function of a table, for
+    vocabularies of one's own. It works on Arrow batches, not rows; Spark allows such a
+    function on a table argument, not on the right of a lateral join. Nulls have no key.
+    Those of :func:`token_keys` need no Python and are the faster way."""
+
+    def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
+        kind, bucket = rows.column("kind").drop_null().cast(pa.string()), rows.column("bucket").drop_null().cast(pa.int64())
+        first = pc.list_element(pc.split_pattern(kind, "_", max_splits=1), 0)
+        rest = pc.subtract(bucket, pc.multiply(pc.divide(bucket, 10), 10))
+        rest = pc.if_else(pc.less(rest, 0), pc.add(rest, 10), rest)
+        for head, values in (("T:", kind), ("KIND:", first), ("U:", rest.cast(pa.string()))):
+            yield pa.table({"key": pc.binary_join_element_wise(head, values, "")})

@@ -165,8 +165,8 @@ def streamed_history(s, d):
 def row_keys(s, d):
     """Keys of each row by a table function, counted over all rows."""
     s.udtf.register("driftloom_row_keys", D.RowKeys)
-    t(s, d, "events").createOrReplaceTempView("driftloom_events")
-    return s.sql("select k.key, count(*) as n from driftloom_events, lateral driftloom_row_keys(event_type, user_id) k group by k.key")
+    t(s, d, "events").selectExpr("event_type as kind", "user_id as bucket").createOrReplaceTempView("driftloom_events")
+    return s.sql("select key, count(*) as n from driftloom_row_keys(table(driftloom_events)) group by key")
 
 
 QUERIES = {
