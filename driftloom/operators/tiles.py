@@ -15,6 +15,10 @@ KEYWORDS = {
 }
 
 
+#: All white space, which a line is stripped of; its indent counts blanks only.
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
 def occurrences(text: Column, part: str | Column) -> Column:
     part = F.lit(part) if isinstance(part, str) else part
     return (F.length(text) - F.length(F.replace(text, part, F.lit("")))) / F.length(part)
@@ -40,7 +44,7 @@ def text_tiles(docs: DataFrame, by: str, text: str = "text") -> DataFrame:
     largest, mean entropy, and whether a tile is of the best tenth. Empty tiles are 0.
     Lines become numbers before they are dealt to tiles, so no text is copied."""
     x = docs.select(by, F.split(F.coalesce(text, F.lit("")), "\n").alias("_l"))
-    x = x.withColumn("_low", F.transform("_l", lambda v: F.lower(F.trim(v))))
+    x = x.withColumn("_low", F.transform("_l", lambda v: F.lower(F.trim(v, F.lit(WHITE)))))
     side = F.ceil(F.sqrt(F.greatest(F.lit(4), F.ceil(F.size("_l") / 12)))).cast("int")
     x = x.select(by, side.alias("side"), F.size("_l").alias("_lines"), F.zip_with("_l", "_low", line_score).alias("_s"), F.transform("_low", line_entropy).alias("_e"))
     x = x.withColumn("_n", F.col("side") * F.col("side"))

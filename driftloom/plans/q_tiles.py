@@ -105,7 +105,7 @@ QUERIES = {
     "a39_text_tiles": (
         lambda s, d: r6(TL.text_tiles(t(s, d, "documents"), "doc_id"), "edge", "entropy"),
         f"""with l as (select doc_id, l, n, side, greatest(1, cast(ceil(n/cast(side*side as double)) as int)) step from (select *, cast(ceil(sqrt(greatest(4, ceil(n/12.0)))) as int) side from (select doc_id, string_split(text,chr(10)) l, len(string_split(text,chr(10))) n from documents))),
- v as (select doc_id, step, v, lower(trim(v)) low, i from (select doc_id, step, unnest(l) v, unnest(generate_series(0,n-1)) i from l)),
+ v as (select doc_id, step, v, lower(trim(v, '{TL.WHITE}')) low, i from (select doc_id, step, unnest(l) v, unnest(generate_series(0,n-1)) i from l)),
  ch as (select doc_id, i, ch, count(*) c from (select doc_id, i, unnest(regexp_extract_all(low,'(?s).')) ch from v) group by 1,2,3),
  en as (select doc_id, i, least(1.0,(log2(sum(c))-sum(c*log2(c))/sum(c))/log2(least(256,greatest(2,count(*))))) h from ch group by 1,2),
  g as (select v.doc_id, i//step tile, round(sum({SCORE}),9) s, sum(coalesce(h,0))/count(*) e from v left join en using (doc_id, i) group by 1,2),

@@ -26,3 +26,11 @@ def test_unknown_evidence_is_invalid(spark):
 def test_constant_columns_have_no_relation(spark):
     rows = spark.createDataFrame([(1, 1.0, 2.0), (1, 1.0, 3.0), (2, 1.0, 2.0), (2, 2.0, 4.0)], "k int, a double, b double")
     assert {r["k"]: r["rho"] for r in tiles.relation(rows, "k", "a", "b").collect()} == {1: 0.0, 2: pytest.approx(1.0)}
+
+
+def test_lines_are_stripped_of_all_white_space(spark):
+    word = next(iter(tiles.KEYWORDS))
+    plain, tabbed = f"{word} x(1)", f"\t {word} x(1)\r "
+    rows = spark.createDataFrame([(1, plain), (2, tabbed)], "doc_id long, text string")
+    got = {r.doc_id: r.entropy for r in tiles.text_tiles(rows, "doc_id").filter("tile = 0").collect()}
+    assert got[1] == got[2] > 0
