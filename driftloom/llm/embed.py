@@ -7,9 +7,14 @@ exceeds a cap (and at least to its LEAST best, by a lower cap); list decoding fi
 them block by block and drops a partial choice as soon as the best rest can't lift it
 over the cap. Vectors that share a direction are compared by exact cosine.
 
-The number of directions grows with the number of vectors of a label, and the cap with it,
-so that a vector has about ``DIRECTIONS`` of them and is compared with about ``COMPARED``
-others however many there are: the work grows in proportion to the vectors.
+The directions are fitted for each label, to a sample of about ``SAMPLE`` of its vectors;
+every vector is indexed. Filters work on vectors less the label's mean (or a part of it,
+:func:`fitted`), as vectors with a common mean would all lie in the same few caps; cosines
+are those of the vectors themselves. The cap is the one by which the sample's vectors have
+as many directions as a pair of the least cosine needs to share some, and the number of
+directions grows with the label's vectors until a vector is compared with about
+``COMPARED`` others: the work grows in proportion to the vectors, but where more of them
+really lie that close.
 
 Equal vectors of a label are one class with a count. A filter with many classes is cut
 into chunks that meet pairwise; a unit hands on a sum of links and a root for each class,
@@ -34,24 +39,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import bucket_pairs, components, runs_of, saved, union_roots
+from driftloom.llm.common import bucket_pairs, components, runs_of, saved, stored, union_roots
 
 COSINE, SEED, UNIT_ROWS = 0.93, 11, 2048
 #: Directions of a vector and vectors it is compared with, on average; code words of a
 #: block, at least and at most (a third block comes beyond).
 DIRECTIONS, COMPARED, CODE, CODE_MOST = 20, 1000, 128, 1024
-#: Directions that every vector has at least, and by how much its cap is lowered for it.
+#: Directions that every vector has at least (of DIRECTIONS), and by how much its cap is
+#: lowered for it.
 LEAST, STEP = 16, 0.02
+#: Vectors of a label that its directions are fitted to, on average; those that the cap is
+#: measured on; and how often at most the number of directions is doubled for the sample.
+SAMPLE, MEASURED, DOUBLED = 1000, 200, 6
+#: Parts of the mean that may be taken off, and the squared length that all but
+#: SHORT of the vectors must keep: below it a linked pair's rests point too far apart.
+SHIFTS, KEPT_LENGTH, SHORT = (1.0, 0.75, 0.5, 0.25, 0.0), 0.13, 0.02
+#: Directions that a pair of the least cosine shares on average, and a vector has at most.
+#: The cost of a copy of a vector, in comparisons.
+COMMON, MOST, COPY = 8, 400, 100
 
 
-def code_for(n: int, dim: int) -> tuple[int, int, float]:
+def code_for(n: int, dim: int, directions: int = DIRECTIONS) -> tuple[int, int, float]:
     """Blocks, code words of a block, and cap for n vectors that may link. Of n vectors,
-    n * DIRECTIONS / t are in one of t directions, so COMPARED asks for this t; the inner
+    n * directions / t are in one of t directions, so COMPARED asks for this t; the inner
     product of a vector with a random direction is nearly normal, with variance 1 / dim."""
-    wanted = n * DIRECTIONS**2 / COMPARED
+    wanted = n * directions**2 / COMPARED
     blocks = 2 if wanted <= CODE_MOST**2 else 3
     code = max(CODE if blocks == 2 else 1, math.ceil(wanted ** (1 / blocks)))
-    return blocks, code, NormalDist().inv_cdf(1 - DIRECTIONS / code**blocks) / math.sqrt(dim)
+    return blocks, code, NormalDist().inv_cdf(1 - directions / code**blocks) / math.sqrt(dim)
+
+
+def directions_for(cosine: float, of: int) -> int | None:
+    """Directions that a vector needs out of ``of``, so that two vectors of this cosine have
+    COMMON in common: given that one of them is above the cap, its mean there decides how
+    likely the other is. None where it takes more than MOST."""
+    normal, d = NormalDist(), DIRECTIONS
+    while d <= MOST:
+        cap = normal.inv_cdf(1 - d / of)
+        mean = normal.pdf(cap) * of / d
+        if d * normal.cdf((cosine * mean - cap) / math.sqrt(1 - cosine**2)) >= COMMON:
+            return d
+        d = math.ceil(d * 1.1)
+    return None
 
 
 def units(x: np.ndarray) -> np.ndarray:
@@ -98,31 +127,115 @@ def list_decode(unit: np.ndarray, code: list[tuple[slice, np.ndarray]], cap: flo
     return row[order], direction[order]
 
 
-def _filters(classes: DataFrame, n: int) -> DataFrame:
-    """``class, label, n, embedding, filters``: directions of each class. ``n``: classes of
-    the largest label."""
+def rests(x: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """Unit vectors less ``shift``, as unit vectors; one that is the shift stays as it is."""
+    left = x - shift
+    length = np.linalg.norm(left, axis=1, keepdims=True)
+    return np.where(length > 1e-9, left / np.maximum(length, 1e-9), x)
+
+
+def measured_cap(x: np.ndarray, code: list[tuple[slice, np.ndarray]], cap: float, directions: int) -> float:
+    """The cap near ``cap``, in small steps, by which vectors have ``directions`` or a few more."""
+    enough = lambda c: len(above_cap(x[:MEASURED], code, c)[0]) >= directions * min(len(x), MEASURED)
+    while enough(cap) and cap < 1:
+        cap += STEP / 4
+    while not enough(cap) and cap > -1:
+        cap -= STEP / 4
+    return cap
+
+
+def fitted(x: np.ndarray, n: int) -> tuple[np.ndarray, int, int, float, int]:
+    """What is taken off before filtering, blocks, code words, cap and directions of a
+    vector, for n unit vectors of which ``x`` is a sample.
+
+    Two unit vectors of cosine c whose rests have squared length q have rests of cosine
+    1 - (1 - c) / q: the more of the mean is taken off, the more directions a pair needs,
+    but the more evenly they are met. The part of the least cost is taken: the others that a
+    vector is compared with, by the share of pairs measured in the sample, and COPY for each
+    of its directions. Where vectors lie close, as in clusters, directions are doubled as
+    long as that costs less."""
+    dim, mean = x.shape[1], x.mean(axis=0)
+
+    def tried(part: float, more: int) -> tuple | None:
+        length = float(np.quantile(((x - part * mean) ** 2).sum(axis=1), SHORT))
+        if length < KEPT_LENGTH:
+            return None
+        at, need = 0, DIRECTIONS
+        while need > at:
+            at = need
+            blocks, words, cap = code_for(n << more, dim, at)
+            need = directions_for(1 - (1 - COSINE) / length, words**blocks)
+            if need is None:
+                return None
+        code, rest = product_code(dim, min(blocks, dim), words), rests(x, part * mean)
+        cap = measured_cap(rest, code, cap, at)
+        _, load = np.unique(above_cap(rest, code, cap)[1], return_counts=True)
+        share = float((load * (load - 1)).sum()) / max(1, len(x) * (len(x) - 1))
+        return share * n + COPY * at, part, blocks, words, cap, at
+
+    best = min(found for part in SHIFTS if (found := tried(part, 0)))
+    for more in range(1, DOUBLED + 1):
+        if best[0] - COPY * best[-1] <= 2 * COMPARED or (found := tried(best[1], more)) is None or found >= best:
+            break
+        best = found
+    _, part, blocks, words, cap, at = best
+    return part * mean, blocks, words, cap, at
+
+
+def _fits(classes: DataFrame) -> DataFrame:
+    """``label, dim, shift, blocks, words, cap, directions``: a row for each label and
+    length of vectors, from a sample by the hash of the class; a task holds one sample."""
+    classes = classes.withColumn("dim", F.size("embedding"))
+    sizes = stored(classes.groupBy("label", "dim").agg(F.count("*").alias("of")))
+    chance = F.pmod(F.xxhash64("class"), F.lit(1 << 30)) / float(1 << 30)
+    # the smallest class of a label is always in, so that no label is without a fit
+    first = classes.groupBy("label", "dim").agg(F.min("class").alias("class")).join(sizes, ["label", "dim"])
+    sample = classes.join(sizes, ["label", "dim"]).filter(chance * F.col("of") < SAMPLE).select("class", "label", "dim", "of", "embedding")
+    sample = sample.unionByName(classes.join(first, ["class", "label", "dim"]).select("class", "label", "dim", "of", "embedding"))
+
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.sort_by("class")
+        x = units(np.array(table["embedding"].to_pylist(), np.float64))
+        shift, blocks, words, cap, at = fitted(x, table["of"][0].as_py())
+        return pa.table({"label": [table["label"][0].as_py()], "dim": pa.array([x.shape[1]], pa.int32()), "shift": [shift.tolist()], "blocks": pa.array([blocks], pa.int32()), "words": pa.array([words], pa.int32()), "cap": [cap], "directions": pa.array([at], pa.int32())})
+
+    made = sample.groupBy("label", "dim").applyInArrow(fit, "label long, dim int, shift array<double>, blocks int, words int, cap double, directions int")
+    return stored(made)
+
+
+def _filters(classes: DataFrame) -> DataFrame:
+    """``class, label, n, embedding, filters``: directions of each class, by its label's fit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: dict[int, tuple] = {}
+        codes: dict[tuple[int, int, int], list] = {}
         for batch in batches:
             rows = batch.column("embedding").to_pylist()
             found: list[list[int]] = [[] for _ in rows]
-            for dim in {len(v) for v in rows}:
-                at = [k for k, v in enumerate(rows) if len(v) == dim]
-                if dim not in codes:
-                    blocks, words, cap = code_for(n, dim)
-                    codes[dim] = product_code(dim, min(blocks, dim), words), cap
-                x = units(np.array([rows[k] for k in at], np.float64))
-                parts = [list_decode(x[k : k + 256], *codes[dim]) for k in range(0, len(x), 256)]
+            kinds: dict[tuple[int, int], list[int]] = {}
+            for k, (label, v) in enumerate(zip(batch.column("label").to_pylist(), rows, strict=True)):
+                kinds.setdefault((label, len(v)), []).append(k)
+            for (_, dim), at in kinds.items():
+                fit = {name: batch.column(name)[at[0]].as_py() for name in ("shift", "blocks", "words", "cap", "directions")}
+                kind = dim, fit["blocks"], fit["words"]
+                if kind not in codes:
+                    if len(codes) >= 64:
+                        codes.clear()
+                    codes[kind] = product_code(dim, min(fit["blocks"], dim), fit["words"])
+                x = rests(units(np.array([rows[k] for k in at], np.float64)), np.array(fit["shift"]))
+                least = fit["directions"] * LEAST // DIRECTIONS
+                parts = [list_decode(x[k : k + 256], codes[kind], fit["cap"], least) for k in range(0, len(x), 256)]
                 row = np.concatenate([r + 256 * k for k, (r, _) in enumerate(parts)])
                 direction = np.concatenate([d for _, d in parts])
                 edges = np.searchsorted(row, np.arange(len(at) + 1))
                 for k, a, b in zip(at, edges[:-1], edges[1:], strict=True):
                     found[k] = direction[a:b].tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], names=[*batch.schema.names, "filters"])
+            kept = [batch.column(c) for c in ("class", "label", "n", "embedding")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.list_(pa.int32()))], names=["class", "label", "n", "embedding", "filters"])
 
     kind = classes.schema["embedding"].dataType.simpleString()
-    return classes.mapInArrow(run, f"class string, label long, n long, embedding {kind}, filters array<int>")
+    # hash joined or broadcast by the fits' size on disk; a hot label is split by AQE
+    both = classes.withColumn("dim", F.size("embedding")).join(_fits(classes), ["label", "dim"])
+    return both.select("class", "label", "n", "embedding", "shift", "blocks", "words", "cap", "directions").mapInArrow(run, f"class string, label long, n long, embedding {kind}, filters array<int>")
 
 
 def _unit_links(rows: dict, first: int) -> pa.RecordBatch | None:
@@ -184,8 +297,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     half = F.lit(str(1 << 63)).cast("decimal(20,0)")
     node = F.concat(F.lpad((F.col("low").cast("decimal(20,0)") + half).cast("string"), 20, "0"), "class")
     classes = saved(classes.withColumn("node", node))
-    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
-    filtered = saved(_filters(classes.select(F.col("node").alias("class"), "label", "n", "embedding"), largest))
+    filtered = saved(_filters(classes.select(F.col("node").alias("class"), "label", "n", "embedding")))
     dealt = filtered.select("*", F.explode("filters").alias("direction"))
     dealt = dealt.withColumn("key", F.concat_ws("/", "label", "direction"))
     dealt = bucket_pairs(dealt, "key", F.col("class"), UNIT_ROWS)
