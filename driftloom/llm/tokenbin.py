@@ -1,7 +1,8 @@
 """Token ids as fixed-stride shards in training order.
 
 Documents are encoded and cut into sequences of ``LENGTH`` ids. A sequence's number is
-made of its document's doc_id and its place in the document. A keyed Feistel network
+made of its document's doc_id and its place in the document, turned round by the hash of
+the text, so that rows of one doc_id and different texts lie apart. A keyed Feistel network
 permutes the numbers; where it leaves the range of numbers it is applied again (cycle
 walking). Numbers are sparse, so the sequences in the order of their permuted numbers
 have the dense slots 0, 1, 2 and so on. The order depends on the documents and the key
@@ -9,15 +10,17 @@ only, not on how Spark split the input.
 
 The permuted range is cut into even ranges, one a shard. A shard is one file of records
 of ``STRIDE`` bytes in the order of slots: a head of doc_id, place in the document, number
-of real ids and flags, then the ids, then an end byte. :func:`index` counts the records of
+of real ids and flags, then the ids, then an end byte. Shards hold about ``SHARD``
+sequences up to ``WRITERS`` shards; of larger inputs they grow to ``SHARD_MOST``. :func:`index` counts the records of
 the shards from the files' sizes, which gives each shard's first slot; a reader finds any
 slot by its shard and ``offset = (slot - first_slot) * STRIDE`` and reads on from there.
 
 Results for special cases: null and empty texts have no sequence; the last sequence of a
 document is filled with ``PAD``, n_tokens says how many ids are real; rows that share a
-doc_id (or have none) have sequences of their own, ordered by their ids, so that it
-doesn't matter which of two equal rows comes first; a null doc_id is passed on; further
-columns are ignored; an empty table gives no shards and an empty result. Vocabularies of
+doc_id (or have none) have sequences of their own, spread by their texts; rows that are
+equal in both have equal places, ordered by their ids, so that it doesn't matter which of
+them comes first; a null doc_id is passed on; a very long text is encoded whole, in one
+task; further columns are ignored; an empty table gives no shards and an empty result. Vocabularies of
 more than 65,535 ids raise an error.
 """
 
@@ -35,7 +38,7 @@ from pyspark.sql.window import Window as W
 from driftloom.llm.bpe import loader
 from driftloom.llm.common import give_back, shared_dir, stored, texts_of
 
-LENGTH, SHARD, KEY, PAD, ROUNDS = 512, 4096, 0x5EED, 0xFFFF, 6
+LENGTH, SHARD, SHARD_MOST, KEY, PAD, ROUNDS = 512, 4096, 1 << 16, 0x5EED, 0xFFFF, 6
 #: Sequences that one document may have at most: more than a text of 2 GB can have.
 SEQUENCES = 1 << 24
 #: A record's bytes; the last one is the end byte that Spark's text writer adds.
@@ -109,21 +112,29 @@ def sequences(docs: DataFrame, vocabulary: str, key: int = KEY) -> tuple[DataFra
                     number = part.column("hash").to_numpy() % (span - 1) + 1
                 else:
                     number = np.array([0 if d is None else d - low + 1 for d in ids], np.int64)
-                number = number[which] * SEQUENCES + rows["seq"].astype(np.int64)
+                turned = (rows["seq"] + part.column("turn").to_numpy()[which]) % SEQUENCES
+                number = number[which] * SEQUENCES + turned
                 size = RECORD.itemsize
                 record = pa.Array.from_buffers(pa.binary(size), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(feistel(number, n, key)), record], names=["place", "record"])
         batch = part = record = rows = None
         give_back()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id").alias("hash"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id").alias("hash"), F.pmod(F.xxhash64("text"), F.lit(SEQUENCES)).cast("long").alias("turn"))
     return rows.mapInArrow(run, "place long, record binary"), n
 
 
+def shards_for(size: int) -> int:
+    """Shards of ``size`` bytes of text: a task each, then larger ones, as files must not
+    become too many to list."""
+    sequences = size / TEXT_BYTES
+    return max(1, min(round(sequences / SHARD), max(WRITERS, round(sequences / SHARD_MOST))))
+
+
 def write(docs: DataFrame, vocabulary: str, path: str, key: int = KEY) -> None:
     """Writes one file of fixed-stride records for each shard that has any."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, round(size / (TEXT_BYTES * SHARD)))
+    shards = shards_for(size)
     rows, n = sequences(docs, vocabulary, key)
     wide = -(-n // shards)
     rows = rows.withColumn("shard", F.expr(f"cast(place div {wide} as int)"))
