@@ -35,7 +35,7 @@ WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 #: str.split() also cuts at these four, which are no white space here.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
 #: Words kept in each of two generations, and pairs; fewer take less memory, more CPU.
-CACHED_CHARS, CACHE_WORDS, CACHE_PAIRS = 40, 250_000, 500_000
+CACHED_CHARS, CACHE_WORDS, CACHE_PAIRS = 40, 120_000, 500_000
 #: Texts are taken together up to so many characters (or one text, if it is longer).
 TOGETHER_CHARS = 1 << 20
 #: Words of more bytes are encoded alone; of the others, so many in one step at most.

@@ -98,8 +98,9 @@ def over_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
 
 def give_back() -> None:
     """At a task's end: the worker process waits for the next task, and should not hold
-    Arrow's unused memory meanwhile."""
+    unused memory of Arrow or of the system's allocator meanwhile."""
     pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
