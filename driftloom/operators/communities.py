@@ -14,22 +14,10 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.operators.graph import checkpointed, stored
+from driftloom.operators.graph import adjacency, indexed, numbered, passed, stored
 from driftloom.operators.selection import at_ranks
 
 
-def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
-    """``df`` with the place of each row in an order, from 0: sorted over ranges; the driver
-    sees a count a range."""
-    at = checkpointed(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()))
-    part, place = F.shiftright("_m", 33), F.col("_m").bitwiseAND((1 << 33) - 1)
-    starts, n = [F.lit(-1).cast("long"), F.lit(0).cast("long")], 0
-    for r in at.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect():
-        starts += [F.lit(r["p"]).cast("long"), F.lit(n).cast("long")]
-        n += r["n"]
-    return at.withColumn(name, place + F.element_at(F.create_map(*starts), part)).drop("_m")
-
-
 def coloured(nodes: DataFrame, links: DataFrame, order: Column | None = None) -> DataFrame:
     """``id, colour`` from 0. ``links``: ``src, dst`` in both directions. The order is by id;
     one by a hash of it needs few colours on any graph, that by id as many as the longest

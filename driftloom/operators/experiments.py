@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from driftloom.operators.communities import numbered
-from driftloom.operators.graph import checkpointed
+from driftloom.operators.graph import checkpointed, numbered
 from driftloom.operators.resamples import intervals
 
 
