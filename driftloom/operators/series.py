@@ -101,9 +101,9 @@ def latest(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataF
     return rows.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col("_r") <= n).drop("_r")
 
 
-def _local_fronts(by: list[str], high: str, low: str):
+def _local_fronts(by: list[str], high: str, low: str, ties: list[str]):
     """Of a task's rows, those that no other row of the task shows not to be on the front.
-    Held are the fronts so far; rows with nulls are handed on."""
+    Of equal rows the first by ``ties`` stays. Held are the fronts so far; rows with nulls are handed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -116,6 +116,9 @@ def _local_fronts(by: list[str], high: str, low: str):
             x = pd.DataFrame({"key": np.zeros(len(rows), int), "high": rows[high].to_numpy(), "low": rows[low].to_numpy(), "at": np.arange(len(rows))})
             if by:
                 x["key"] = rows.select(by).to_pandas().groupby(by, dropna=False, sort=False).ngroup()
+            if ties:
+                first = rows.select(ties).rename_columns([f"t{k}" for k in range(len(ties))]).to_pandas()
+                x = x.loc[first.sort_values(list(first.columns), kind="stable", na_position="first").index]
             x = x.sort_values(["key", "high", "low"], ascending=[True, False, True], kind="stable")
             before = x.groupby("key")["low"].cummin().groupby(x["key"]).shift()
             held = rows.take(pa.array(x.loc[before.isna() | (x["low"] < before), "at"])).combine_chunks()
@@ -127,11 +130,12 @@ def _local_fronts(by: list[str], high: str, low: str):
 
 def pareto_front(rows: DataFrame, by: str | None, high: str, low: str) -> DataFrame:
     """Rows for which no row with more of ``high`` has as little of ``low``, by key, or
-    of all rows; of equal rows one. Each task finds the fronts of its own rows first, so only
-    those are shuffled and merged."""
+    of all rows; of rows equal in these one, the first by the other columns in turn. Each task
+    finds the fronts of its own rows first, so only those are shuffled and merged."""
     keys = [by] if by else []
+    ties = [c for c in rows.columns if c not in (by, high, low)]
     x = rows.withColumns({"_h": F.col(high).cast("double"), "_l": F.col(low).cast("double")})
-    x = x.mapInArrow(_local_fronts(keys, "_h", "_l"), x.schema).drop("_h", "_l")
-    w = W.partitionBy(*keys).orderBy(F.desc(high), F.asc(low)).rowsBetween(W.unboundedPreceding, -1)
+    x = x.mapInArrow(_local_fronts(keys, "_h", "_l", ties), x.schema).drop("_h", "_l")
+    w = W.partitionBy(*keys).orderBy(F.desc(high), F.asc(low), *ties).rowsBetween(W.unboundedPreceding, -1)
     return x.withColumn("_m", F.min(low).over(w)).filter(F.col("_m").isNull() | (F.col(low) < F.col("_m"))).drop("_m")
 

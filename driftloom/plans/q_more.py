@@ -154,8 +154,8 @@ QUERIES = {
     "w02_sampling": (lambda s, d: S.sampled(t(s, d, "part").select("p_brand", "p_partkey"), "p_brand", "p_partkey", 4), "select p_brand, p_partkey from (select p_brand, p_partkey, row_number() over (partition by p_brand order by p_partkey)-1 r, greatest(1, count(*) over (partition by p_brand)//4) st from part) where r%st=0 and r/st<4"),
     "w03_layout": (lambda s, d: r6(S.grid_layout(t(s, d, "part").select("p_brand", "p_partkey", "p_size"), "p_brand", [F.col("p_size"), F.col("p_partkey")]), "u", "v"), "select p_brand, p_partkey, p_size, cast(i//c as int) as row, cast(i%c as int) as col, round((i%c+0.5)/c,6) as u, round((i//c+0.5)/ceil(n/c),6) as v from (select *, cast(ceil(sqrt(n)) as int) c from (select p_brand, p_partkey, p_size, row_number() over (partition by p_brand order by p_size, p_partkey)-1 i, count(*) over (partition by p_brand) n from part))"),
     "w05_sequence_fingerprint": (lambda s, d: S.sequence_fingerprint(tokens(s, d), "commit", "seq", F.concat_ws("@", "type", "file")), f"""select "commit", sha256(array_to_string(list(i order by seq) || coalesce(list(i || '>' || n order by seq) filter (where n is not null), []), '|')) as fingerprint from (select "commit", seq, type || '@' || file i, lead(type || '@' || file) over (partition by "commit" order by seq) n from {TOKENS}) group by 1"""),
-    "w06_pareto_front_all": (lambda s, d: S.pareto_front(t(s, d, "part").select("p_brand", "p_partkey", "p_size", "p_retailprice"), None, "p_size", "p_retailprice"), "select p_brand, p_partkey, p_size, p_retailprice from (select *, min(p_retailprice) over (order by p_size desc, p_retailprice rows between unbounded preceding and 1 preceding) m from part) where m is null or p_retailprice<m"),
-    "w06_pareto_front": (lambda s, d: S.pareto_front(t(s, d, "part").select("p_brand", "p_partkey", "p_size", "p_retailprice"), "p_brand", "p_size", "p_retailprice"), "select p_brand, p_partkey, p_size, p_retailprice from (select *, min(p_retailprice) over (partition by p_brand order by p_size desc, p_retailprice rows between unbounded preceding and 1 preceding) m from part) where m is null or p_retailprice<m"),
+    "w06_pareto_front_all": (lambda s, d: S.pareto_front(t(s, d, "part").select("p_brand", "p_partkey", "p_size", "p_retailprice"), None, "p_size", "p_retailprice"), "select p_brand, p_partkey, p_size, p_retailprice from (select *, min(p_retailprice) over (order by p_size desc, p_retailprice, p_brand, p_partkey rows between unbounded preceding and 1 preceding) m from part) where m is null or p_retailprice<m"),
+    "w06_pareto_front": (lambda s, d: S.pareto_front(t(s, d, "part").select("p_brand", "p_partkey", "p_size", "p_retailprice"), "p_brand", "p_size", "p_retailprice"), "select p_brand, p_partkey, p_size, p_retailprice from (select *, min(p_retailprice) over (partition by p_brand order by p_size desc, p_retailprice, p_partkey rows between unbounded preceding and 1 preceding) m from part) where m is null or p_retailprice<m"),
     "w07_ewma": (lambda s, d: r6(S.ewma(series(s, d), "user_id", "event_id", "value"), "ewma"), "select user_id, event_id, value, round(list_reduce(list(value) over (partition by user_id order by event_id rows between 119 preceding and current row), lambda m, v: 0.15*v+0.85*m),6) as ewma from events"),
     "w08_rolling_thresholds": (lambda s, d: r6(S.rolling_thresholds(series(s, d), "user_id", "event_id", "value"), "alpha", "beta", "z"), "select user_id, event_id, value, round(quantile_cont(value,0.9) over w,6) as alpha, round(quantile_cont(value,0.95) over w,6) as beta, round(quantile_cont(value,0.99) over w,6) as z from events window w as (partition by user_id order by event_id rows between 89 preceding and current row)"),
     "w09_w12_robust_z": (lambda s, d: r6(S.robust_z(S.rolling_mad(series(s, d), "user_id", "event_id", "value"), "value", "median", "sigma"), "median", "sigma", "z_score"), "select user_id, event_id, value, round(md,6) as median, round(1.4826*sg,6) as sigma, round(case when sg>0 then (value-md)/(1.4826*sg) else 0 end,6) as z_score from (select user_id, event_id, value, median(value) over w md, mad(value) over w sg from events window w as (partition by user_id order by event_id rows between 89 preceding and current row))"),

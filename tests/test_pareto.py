@@ -17,3 +17,13 @@ def test_fronts_by_key_and_of_all(spark):
         got = [(by and r["k"], r["h"], r["l"]) for r in out.collect() if r["h"] is not None]
         assert out.columns == df.columns and len(got) == len(set(got)) and set(got) == want
     assert series.pareto_front(df.filter("false"), "k", "h", "l").count() == 0
+
+
+def test_of_equal_rows_the_first_by_the_other_columns(spark):
+    rows = [("a", 5, 1, k) for k in (9, None, 3, 7)] + [("b", 5, 1, 4), ("b", 5, 1, 2), ("b", 6, 2, 8)]
+    for parts in (1, 3):
+        for order in (rows, rows[::-1]):
+            df = spark.createDataFrame(order, "k string, h long, l long, id long").repartition(parts, "id")
+            assert sorted((r["k"], r["h"], r["id"]) for r in series.pareto_front(df, "k", "h", "l").collect()) in ([("a", 5, None), ("b", 5, 2), ("b", 6, 8)],)
+            full = df.filter("id IS NOT NULL")
+            assert sorted((r["k"], r["h"], r["id"]) for r in series.pareto_front(full, None, "h", "l").collect()) == [("a", 5, 3), ("b", 6, 8)]
