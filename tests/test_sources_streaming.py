@@ -114,3 +114,9 @@ def test_registry():
     assert r.apply("B", "x") == ("x", 3) and r.apply("blur", "x", k=5) == ("x", 5)
     with pytest.raises(ValueError):
         r.register("b", lambda df: df)
+
+
+def test_percentile_of_large_groups_is_exact(spark):
+    rows = spark.range(300_000).selectExpr("timestamp '2024-01-01' as ts", "'a' as topic", "false as rejected", "cast(id * 7919 % 300007 as double) as latency")
+    want = sorted(k * 7919 % 300007 for k in range(300_000))[285_000 - 1]
+    assert T.throughput(rows, "1 day").first()["p95"] == want
