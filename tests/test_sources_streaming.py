@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from driftloom.functions import exprs as X
 from driftloom.operators import cycles, delta, experiments, graph, pixels, series
+from driftloom.plans import catalog
 from driftloom.registry import Registry
 from driftloom.sources import logs
 from driftloom.streaming import events as T
@@ -116,6 +117,14 @@ def test_registry():
         r.register("b", lambda df: df)
 
 
+def test_thresholds_of_every_event(spark):
+    """T9 ends its stream, so that the last hour's events are not left out."""
+    sf = "/root/testdata/sf0.001"
+    want = [r["event_id"] for r in spark.read.parquet(f"{sf}/events.parquet").select("event_id").collect()]
+    got = [r["seq"] for r in catalog.queries()["t09_stream_thresholds"](spark, sf).select("seq").collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_percentile_of_large_groups_is_exact(spark):
     rows = spark.range(300_000).selectExpr("timestamp '2024-01-01' as ts", "'a' as topic", "false as rejected", "cast(id * 7919 % 300007 as double) as latency")
     want = sorted(k * 7919 % 300007 for k in range(300_000))[285_000 - 1]
