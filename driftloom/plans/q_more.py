@@ -41,6 +41,7 @@ def real_bridges(s, d):
     """Suppliers and parts between the communities of their main links; beta is a balance
     or a price in its range."""
     n, e = main_links(s, d)
+    e = G.stored(e)
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     between = G.betweenness(G.sampled(n), both, n)
     of = lambda x, key, sign, v: FD.minmax(x.select(key, v), v).select(F.concat(F.lit(sign), key).alias("id"), F.col("norm").cast("double").alias("beta"))
