@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from driftloom.operators.graph import adjacency, indexed, numbered, passed, stored
 from driftloom.operators.selection import at_ranks
 
+#: Up to so many colours have arrays of their own.
+FEW = 8
+
 
 def coloured(nodes: DataFrame, links: DataFrame, order: Column | None = None) -> DataFrame:
     """``id, colour`` from 0. ``links``: ``src, dst`` in both directions. The order is by id;
@@ -47,25 +50,36 @@ def label_communities(nodes: DataFrame, edges: DataFrame, rounds: int = 20, orde
     among its neighbours (each edge counts, in both directions), the smallest on a tie;
     communities are numbered from 0 in order of their labels. Nodes without edges keep their
     own label."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    colours = coloured(nodes, both, order)
-    links = both.groupBy("src", "dst").agg(F.count("*").alias("n"))
-    links = stored(links.join(colours.select(F.col("id").alias("src"), "colour"), "src"))
+    own = edges.select("src", "dst")
+    if order is None:
+        ids, own = indexed(nodes, own)
+        cur = ids.select(F.col("n").alias("id"))
+    else:  # the order needs the ids themselves
+        ids, cur = stored(nodes.select("id", F.col("id").alias("n")).distinct()), nodes.select("id").distinct()
+    own = stored(own)
+    both = own.unionByName(own.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    colours = coloured(cur, both, order)
+    # a neighbour that is no node has no label to give
+    to = both.join(colours.select(F.col("id").alias("dst"), "colour"), "dst").select("src", "dst", "colour")
     most = (colours.agg(F.max("colour")).first()[0] or 0) + 1
-    cur = stored(colours.select("id", F.col("id").alias("label")))
+    near = [adjacency(to.filter(F.col("colour") == k).drop("colour")) for k in range(most)] if most <= FEW else None
+    links = near or stored(to)
+    cur = stored(colours.select("id", "colour", F.col("id").alias("label")))
     for _ in range(rounds):
         changed = 0
         for k in range(most):
-            votes = links.filter(F.col("colour") == k).join(cur.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.sum("n").alias("v"))
+            labels = cur.select("id", "label")
+            sent = passed(near[k], labels) if near else links.filter(F.col("colour") == k).join(labels.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "label")
+            votes = sent.groupBy("id", "label").agg(F.count("*").alias("v"))
             best = votes.groupBy("id").agg(F.min(F.struct((-F.col("v")).alias("v"), "label")).alias("_b"))
-            nxt = cur.join(best, "id", "left").select("id", F.coalesce("_b.label", "label").alias("label"), (F.col("_b.label") != F.col("label")).alias("_new"))
+            nxt = cur.join(best, "id", "left").select("id", "colour", F.coalesce("_b.label", "label").alias("label"), (F.col("_b.label") != F.col("label")).alias("_new"))
             nxt = stored(nxt)
             changed += nxt.filter("_new").limit(1).count()
-            cur = nxt.select("id", "label")
+            cur = nxt.drop("_new")
         if not changed:
             break
     names = stored(numbered(cur.select("label").distinct(), ["label"], "community"))
-    return cur.join(names, "label").select("id", "community")
+    return cur.withColumnRenamed("id", "n").join(ids, "n").join(names, "label").select("id", "community")
 
 
 def bridges(communities: DataFrame, edges: DataFrame, between: DataFrame, beta: DataFrame, pct: float = 0.9, least: float = 0.6) -> DataFrame:
