@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window as W
 
+from driftloom.operators.prefix import running_sums
+
 #: Letters of an inner literal that J27 looks up, and tasks that a literal's keys go to.
 GRAM, SALTS = 3, 16
 
@@ -85,13 +87,28 @@ def nearest_before(points: DataFrame, marks: DataFrame, by: str, at: str, name:
 
 
 def in_ranges(points: DataFrame, ranges: DataFrame, by: str, at: str, low: str, high: str, width: int = 64) -> DataFrame:
-    """Points joined left to the ranges that hold them, by buckets of ``width``."""
+    """Points joined left to the ranges that hold them, by buckets of ``width``. That
+    gives all pairs; who only counts them takes :func:`range_hits`."""
     r = ranges.withColumn("_b", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
     p = points.withColumn("_b", F.floor(F.col(at) / width))
     held = p.join(r, [by, "_b"], "left").filter(F.col(low).isNull() | F.col(at).between(F.col(low), F.col(high)))
     return held.drop("_b")
 
 
+def range_hits(points: DataFrame, ranges: DataFrame, by: str, at: str, low: str, high: str) -> DataFrame:
+    """Points with ``hits``, the number of ranges that hold each. No pair is formed: it
+    is the ranges that begin at the point or before less those that end before it, as running
+    sums over the places of points and ends, cut into blocks (W14). A range with a null end,
+    or whose low is above its high, holds nothing; a point with a null has no hits."""
+    ends = ranges.filter(F.col(by).isNotNull() & (F.col(low) <= F.col(high)))
+    place = lambda x, c, begins, stops: x.select(F.col(by).alias("_k"), F.col(c).alias("_at"), F.lit(begins).cast("long").alias("_begins"), F.lit(stops).cast("long").alias("_stops"))
+    places = place(points.filter(F.col(by).isNotNull() & F.col(at).isNotNull()), at, 0, 0).unionByName(place(ends, low, 1, 0)).unionByName(place(ends, high, 0, 1))
+    places = places.groupBy("_k", "_at").agg(F.sum("_begins").alias("_begins"), F.sum("_stops").alias("_stops"))
+    held = running_sums(places, "_k", "_at", ["_begins", "_stops"]).select("_k", "_at", (F.col("run__begins") - F.col("run__stops") + F.col("_stops")).alias("_hits"))
+    met = points.join(held.filter("_hits > 0"), (F.col(by) == F.col("_k")) & (F.col(at) == F.col("_at")), "left")
+    return met.withColumn("hits", F.coalesce("_hits", F.lit(0).cast("long"))).drop("_k", "_at", "_hits")
+
+
 def dedup_insert(target: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """Rows to append: one for each new id that the target hasn't."""
     first = new.groupBy(key).agg(F.min_by(F.struct(*new.columns), order).alias("_r")).select("_r.*")
