@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -219,21 +219,40 @@ def diff_summary(files: DataFrame, by: list[str]) -> DataFrame:
     return files.groupBy(*by).agg(F.count_distinct("path").alias("files"), *status, F.sum("adds").alias("adds"), F.sum("dels").alias("dels"), (F.sum("adds") + F.sum("dels")).alias("delta"), (F.sum("adds") - F.sum("dels")).alias("net"))
 
 
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with x worked out once: in a lambda's body Spark works out an expression
+    anew for each element and each mention."""
+    return F.transform(F.array(x), f)[0]
+
+
 def source_tokens(old: Column, new: Column) -> Column:
     """Tokens of two text versions by patterns: added imports, functions added or
-    removed, functions with other arguments (the last definition of a name counts)."""
-    imports = lambda x: F.array_distinct(F.transform(F.regexp_extract_all(x, F.lit(r"(?m)^[ \t]*((?:import|from)[ \t]+[^\n#]+)"), F.lit(1)), lambda v: F.trim(v)))
+    removed, functions with other arguments (the last definition of a name counts). Each text
+    is read once a pattern, and the functions of both are sorted by name, so that the work
+    grows with the text, not with the square of its functions."""
     names = r"(?m)^[ \t]*(?:async[ \t]+)?def[ \t]+(\w+)[ \t]*\(([^)]*)\)"
-
-    def functions(x: Column) -> Column:
-        pairs = F.arrays_zip(F.regexp_extract_all(x, F.lit(names), F.lit(1)).alias("name"), F.regexp_extract_all(x, F.lit(names), F.lit(2)).alias("args"))
-        return F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["name"]), F.create_map(p["name"], p["args"])))
-
-    a, b = functions(old), functions(new)
+    part = lambda x, k: F.regexp_extract(x, names, k)
+    imports = lambda x: F.array_distinct(F.transform(F.regexp_extract_all(x, F.lit(r"(?m)^[ \t]*((?:import|from)[ \t]+[^\n#]+)"), F.lit(1)), lambda v: F.trim(v)))
+    functions = lambda x, side: F.transform(F.regexp_extract_all(x, F.lit(names), F.lit(0)), lambda v, k: F.struct(part(v, 1).alias("name"), F.lit(side).alias("side"), k.alias("k"), part(v, 2).alias("args")))
     token = lambda kind, xs: F.transform(xs, lambda x: F.struct(F.lit(kind).alias("type"), x.alias("target")))
-    both = F.array_intersect(F.map_keys(a), F.map_keys(b))
-    changed = F.filter(both, lambda k: ~F.element_at(a, k).eqNullSafe(F.element_at(b, k)))
-    return F.concat(token("ΔIMPORT", F.array_except(imports(new), imports(old))), token("ADD_FN", F.array_except(F.map_keys(b), F.map_keys(a))), token("DEL_FN", F.array_except(F.map_keys(a), F.map_keys(b))), token("MODIFY_SIG", changed))
+    # an index outside the array is null, which no name equals
+    last = lambda xs: F.filter(xs, lambda x, k: ~(F.get(xs, k + 1)["name"].eqNullSafe(x["name"]) & F.get(xs, k + 1)["side"].eqNullSafe(x["side"])))
+
+    def tokens(xs: Column) -> Column:
+        """``xs``: of each name its last definition in the old text, then that in the new."""
+        twin = lambda k: F.get(xs, k)["name"]
+        kinds = {
+            "ADD_FN": lambda x, k: (x["side"] == 1) & ~twin(k - 1).eqNullSafe(x["name"]),
+            "DEL_FN": lambda x, k: (x["side"] == 0) & ~twin(k + 1).eqNullSafe(x["name"]),
+            "MODIFY_SIG": lambda x, k: (x["side"] == 0) & twin(k + 1).eqNullSafe(x["name"]) & (F.get(xs, k + 1)["args"] != x["args"]),
+        }
+        placed = [F.sort_array(F.transform(F.filter(xs, keep), lambda x: F.struct(x["k"].alias("k"), x["name"].alias("name")))) for keep in kinds.values()]
+        return F.concat(*[token(kind, F.transform(p, lambda x: x["name"])) for kind, p in zip(kinds, placed, strict=True)])
+
+    def both(v: Column) -> Column:
+        return F.concat(token("ΔIMPORT", F.array_except(imports(v["new"]), imports(v["old"]))), _let(F.sort_array(F.concat(functions(v["old"], 0), functions(v["new"], 1))), lambda xs: _let(last(xs), tokens)))
+
+    return _let(F.struct(old.alias("old"), new.alias("new")), both)
 
 
 @F.arrow_udtf(returnType="key string")
