@@ -10,6 +10,7 @@ from itertools import count
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window as W
 
 #: Edges of a node in one array; sources in a word of bits; sources of a pass of G4;
@@ -260,20 +261,29 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 20, weig
     the smallest on a tie, all at once; a node that would swap labels with the round
     before last keeps the smaller. A community is named by one of its nodes' ids."""
     w = F.coalesce(F.col(weight), F.lit(1.0)) if weight else F.lit(1.0)
-    e = edges.filter("src <> dst").select("src", "dst", w.alias("_w"))
-    e = checkpointed(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "_w")))
-    cur = checkpointed(nodes.select("id", F.col("id").alias("label"), F.col("id").alias("prev")))
+    e, cur, ids = edges.filter("src <> dst").select("src", "dst", w.alias("_w")), nodes.select("id").distinct(), None
+    if not isinstance(nodes.schema["id"].dataType, IntegralType):
+        ids, e = indexed(nodes, e)
+        cur = ids.select(F.col("n").alias("id"))
+    e = stored(e)
+    near = adjacency(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "_w")), "_w")
+    # the votes of nodes that one array holds are dealt by node, which spares a second shuffle
+    hubs = near.groupBy("src").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
+    cur = stored(cur.select("id", F.col("id").alias("label"), F.col("id").alias("prev")))
     for _ in range(rounds):
-        votes = e.join(cur.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.sum("_w").alias("v"))
+        sent = passed(near, cur.select("id", "label")).select("id", "label", "_o._w")
+        votes = (sent if hubs else sent.repartition("id")).groupBy("id", "label").agg(F.sum("_w").alias("v"))
         best = votes.groupBy("id").agg(F.min(F.struct(-F.col("v"), F.col("label"))).alias("b")).select("id", F.col("b.label").alias("_new"))
         nxt = cur.join(best, "id", "left").withColumn("_new", F.coalesce("_new", "label"))
         new = F.when((F.col("_new") == F.col("prev")) & (F.col("_new") != F.col("label")), F.least("_new", "label")).otherwise(F.col("_new"))
-        nxt = checkpointed(nxt.select("id", new.alias("label"), F.col("label").alias("prev")))
-        changed = nxt.filter("label <> prev").limit(1).count()
-        cur = nxt
-        if not changed:
+        cur = stored(nxt.select("id", new.alias("label"), F.col("label").alias("prev")))
+        if not cur.filter("label <> prev").limit(1).count():
             break
-    return cur.select("id", F.col("label").alias("community"))
+    out = cur.select("id", F.col("label").alias("community"))
+    if ids is None:
+        return out
+    named = out.join(ids.select(F.col("n").alias("community"), F.col("id").alias("_name")), "community").select(F.col("id").alias("n"), "_name")
+    return named.join(ids, "n").select("id", F.col("_name").alias("community"))
 
 
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
