@@ -12,7 +12,8 @@ taking away the graph's loose ends does not show. So:
    node that gave the colour, within the colour, is that node's component. Components
    leave the graph, and so do edges between colours, which are on no cycle.
 
-All steps are joins and grouped minima on stored tables; the driver sees counts.
+All steps are joins and grouped minima on stored tables; the driver sees counts. Nodes are
+numbered in the order of their ids, and colours go along edges stored once as arrays.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from driftloom.operators.graph import stored
+from driftloom.operators.graph import adjacency, indexed, passed, stored
 
 #: Trimming and shrinking go on while they take away this share of the edges.
 PAYS = 0.1
@@ -30,7 +32,7 @@ PAYS = 0.1
 
 def _trimmed(edges: DataFrame) -> DataFrame:
     """Edges whose source has an edge in and whose target has one out."""
-    ins, outs = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
+    ins, outs = stored(edges.select(F.col("dst").alias("src")).distinct()), stored(edges.select(F.col("src").alias("dst")).distinct())
     return edges.join(ins, "src", "left_semi").join(outs, "dst", "left_semi")
 
 
@@ -79,42 +81,45 @@ def _shrunk(edges: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataF
     return stored(both), inner.select("id", "left", "right"), loops, ends.filter("ring").select("id", F.col("low").alias("component"))
 
 
-def _coloured(edges: DataFrame) -> DataFrame:
-    """``id, colour``: the smallest node that reaches each node."""
-    cur = stored(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("colour", F.col("id")))
+def _coloured(near: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``id, colour``: the smallest node that reaches each node. Only nodes with a new
+    colour send it."""
+    cur = front = stored(nodes.select("id", F.col("id").alias("colour")))
     while True:
-        got = edges.join(cur.select(F.col("id").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("_c"))
+        got = passed(near, front).groupBy("id").agg(F.min("colour").alias("_c"))
         nxt = cur.join(got, "id", "left").select("id", F.col("colour").alias("_old"), F.least("colour", F.coalesce("_c", "colour")).alias("_new"))
         jump = nxt.select(F.col("id").alias("_new"), F.col("_new").alias("_jump"))
         nxt = stored(nxt.join(jump, "_new").select("id", "_old", F.least("_new", "_jump").alias("colour")))
-        cur = nxt.select("id", "colour")
-        if not nxt.filter("colour <> _old").limit(1).count():
+        cur, front = nxt.select("id", "colour"), stored(nxt.filter("colour <> _old").select("id", "colour"))
+        if not front.limit(1).count():
             return cur
 
 
-def _back(edges: DataFrame, colours: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _back(edges: DataFrame, back: DataFrame, colours: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes that reach the node of their colour (``id, component``), and the edges of one
-    colour among the others."""
-    a, b = colours.select(F.col("id").alias("src"), "colour"), colours.select(F.col("id").alias("dst"), F.col("colour").alias("_c"))
-    same = stored(edges.join(a, "src").join(b, "dst").filter("colour = _c").select("src", "dst", "colour"))
+    colour among the others. ``back``: the edges turned round, as arrays."""
+    colours = stored(colours)
     seen = front = stored(colours.filter("id = colour").select("id", F.col("colour").alias("component")))
     while True:
-        nxt = same.join(front.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id"), F.col("colour").alias("component")).distinct()
+        nxt = passed(back, front).select("id", "component").distinct().join(colours, "id").filter("component = colour").select("id", "component")
         front = stored(nxt.join(seen.select("id"), "id", "left_anti"))
         if not front.limit(1).count():
             break
         seen = stored(seen.unionByName(front))
-    left = same.select("src", "dst")
-    for end in ("src", "dst"):
-        left = left.join(seen.select(F.col("id").alias(end)), end, "left_anti")
-    return seen, stored(left)
+    rest = stored(colours.join(seen.select("id"), "id", "left_anti"))
+    a, b = rest.select(F.col("id").alias("src"), "colour"), rest.select(F.col("id").alias("dst"), F.col("colour").alias("_c"))
+    return seen, stored(edges.join(a, "src").join(b, "dst").filter("colour = _c").select("src", "dst"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``id, component`` of every node on a cycle (a loop of one edge is one), the component
     named by its smallest node. ``edges``: ``src, dst``; those with a null end don't count."""
-    every = stored(edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct())
-    cur, found, levels = stored(every.filter("src <> dst")), [], []
+    given, ids = edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL"), None
+    if not all(isinstance(f.dataType, IntegralType) for f in given.schema):
+        given = stored(given)
+        ids, given = indexed(given.select(F.explode(F.array("src", "dst")).alias("id")), given)
+    every = stored(given.distinct())
+    cur, found, levels = every.filter("src <> dst"), [], []
     size = cur.count()
     while size:
         cur = stored(_trimmed(cur))
@@ -127,7 +132,9 @@ def components(edges: DataFrame) -> DataFrame:
                 found.append(rings)
                 left = cur.count()
         if left and size - left < PAYS * size:
-            part, cur = _back(cur, _coloured(cur))
+            near, back = adjacency(cur), adjacency(cur.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+            # every node left has an edge out and one in
+            part, cur = _back(cur, back, _coloured(near, near.select(F.col("src").alias("id")).unionByName(back.select(F.col("src").alias("id"))).distinct()))
             # a node alone is a component only if it is on a loop
             many = part.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component")
             found.append(stored(part.join(many, "component").select("id", "component")))
@@ -142,4 +149,8 @@ def components(edges: DataFrame) -> DataFrame:
             ends = inner.join(of.select(F.col("id").alias("left"), "component"), "left").join(of.select(F.col("id").alias("right"), F.col("component").alias("_c")), "right")
             of = stored(of.unionByName(ends.filter("component = _c").select("id", "component")))
     low = of.groupBy("component").agg(F.min("id").alias("_low"))
-    return of.join(low, "component").select("id", F.col("_low").alias("component"))
+    out = of.join(low, "component").select("id", F.col("_low").alias("component"))
+    if ids is None:
+        return out
+    named = out.join(ids.select(F.col("n").alias("component"), F.col("id").alias("_name")), "component").select(F.col("id").alias("n"), "_name")
+    return named.join(ids, "n").select("id", F.col("_name").alias("component"))
